@@ -6,6 +6,8 @@ by salts, or by a histogram of the sort key before any window sees them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,36 +48,42 @@ def shuffle_key(row_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
 
 
-def take_smallest(df: DataFrame, key: str, wanted: DataFrame, groups: list[str]) -> DataFrame:
-    """Adds ``taken``: true for the ``n_take`` smallest hex keys of each group.
+def smallest_keys(df: DataFrame, key: Column, n_take: dict, group: str | None = None) -> Column:
+    """A condition that holds for the ``n_take[g]`` smallest hex keys of each group ``g``.
 
-    ``wanted`` has the group columns and ``n_take``, one row per group, and must be small.
-    A histogram over the first four hex digits (at most 65 536 bins per group) tells for each
-    bin whether it lies wholly inside, wholly outside, or across the cut. Only rows of the one
-    bin across the cut are ranked."""
-    binned = df.withColumn("bin", F.substring(key, 1, 4))
-    so_far = Window.partitionBy(*groups).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        binned.groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("n_bin"))
-        .withColumn("n_before", F.coalesce(F.sum("n_bin").over(so_far), F.lit(0)))
-    )
-    same_group = [F.col(f"b.{g}").eqNullSafe(F.col(f"w.{g}")) for g in groups]
-    cut = (
-        bins.alias("b").join(F.broadcast(wanted.alias("w")), same_group or F.lit(True))
-        .filter((F.col("n_before") < F.col("n_take")) & (F.col("n_before") + F.col("n_bin") >= F.col("n_take")))
-        .select(*[F.col(f"b.{g}").alias(g) for g in groups], F.col("bin").alias("cut_bin"),
-                (F.col("n_take") - F.col("n_before")).alias("n_rest"))
+    Two small jobs find each group's last key inside: a histogram over the first four hex digits
+    (65 536 bins) tells the bin the cut falls into, and only that bin's keys are ranked. The
+    rows themselves are neither shuffled nor joined, they are compared with a literal. Keys must
+    be unique, and groups few, such as classes. Without a group use the key None."""
+    by = F.lit(None).cast("string") if group is None else F.col(group)
+    keyed = df.select(by.alias("g"), key.alias("key")).withColumn("bin", F.substring("key", 1, 4))
+    takes = {g: n for g, n in n_take.items() if n > 0}
+
+    if not takes:
+        return F.lit(False)
+
+    def of_group(values: dict, c: Column = F.col("g")) -> Column:
+        return F.coalesce(*[F.when(c.eqNullSafe(F.lit(g)), F.lit(v)) for g, v in values.items()], F.lit(None))
+
+    so_far = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    cut_bins = (
+        keyed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n_bin"))
+        .withColumn("n_upto", F.sum("n_bin").over(so_far))
+        .withColumn("n_take", of_group(takes))
+        .filter((F.col("n_upto") >= F.col("n_take")) & (F.col("n_upto") - F.col("n_bin") < F.col("n_take")))
+        .collect()
     )
-    at_cut = [F.col(f"r.{g}").eqNullSafe(F.col(f"c.{g}")) for g in groups]
-    placed = binned.alias("r").join(F.broadcast(cut.alias("c")), at_cut or F.lit(True), "left").select(
-        "r.*", "cut_bin", "n_rest"
+    in_cut = F.coalesce(F.col("bin") == of_group({r["g"]: r["bin"] for r in cut_bins}), F.lit(False))
+    rests = {r["g"]: r["n_take"] - (r["n_upto"] - r["n_bin"]) for r in cut_bins}
+    last = (
+        keyed.filter(in_cut)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("key")))
+        .filter(F.col("rank") == of_group(rests))
+        .collect()
     )
-    in_cut = F.col("bin") == F.col("cut_bin")
-    inside = placed.filter(F.col("bin") < F.col("cut_bin")).withColumn("taken", F.lit(True))
-    beyond = placed.filter(F.col("cut_bin").isNull() | (F.col("bin") > F.col("cut_bin"))).withColumn("taken", F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(*groups, "bin").orderBy(key))
-    across = placed.filter(in_cut).withColumn("taken", rank <= F.col("n_rest"))
-    return inside.unionByName(across).unionByName(beyond).drop("bin", "cut_bin", "n_rest")
+    last_key = of_group({r["g"]: r["key"] for r in last}, by)
+    beyond = [by.eqNullSafe(F.lit(g)) for g in takes if g not in rests]  # more wanted than there are
+    return F.coalesce(key <= last_key, reduce(lambda a, b: a | b, beyond, F.lit(False)))
 
 
 def split_rows(
@@ -84,27 +92,17 @@ def split_rows(
     """Adds ``is_test``: an exact, repeatable share of ``ceil(test_size * n)`` test rows.
 
     With a label the share is kept per class: train seats are handed out by largest remainder.
-    As in the scripts this follows, stratification is dropped when there is only one class or
-    one class has fewer than ``min_per_class`` rows. Works on one class count, which is small."""
-    keyed = df.withColumn("split_key", shuffle_key(F.col(row_id), seed))
-    if label is not None:
-        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-        if len(counts) < 2 or min(r["n"] for r in counts) < min_per_class:
-            label = None
-        else:
-            per_class = {r[label]: r["n"] for r in counts}
+    Stratification is dropped when there is only one class or one class has fewer than
+    ``min_per_class`` rows. ``row_id`` must be unique."""
     if label is None:
-        groups = []
-        n_rows = df.count()
-        seats = [(_ceil_share(n_rows, test_size),)]
-        wanted = df.sparkSession.createDataFrame(seats, "n_take bigint")
+        per_class = {None: df.count()}
     else:
-        groups = [label]
-        kind = df.schema[label].dataType.simpleString()
-        seats = list(test_seats(per_class, test_size).items())
-        wanted = df.sparkSession.createDataFrame(seats, f"`{label}` {kind}, n_take bigint")
-    taken = take_smallest(keyed, "split_key", wanted, groups)
-    return taken.withColumnRenamed("taken", "is_test").drop("split_key")
+        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+        per_class = {r[label]: r["n"] for r in counts}
+        if len(per_class) < 2 or min(per_class.values()) < min_per_class:
+            label, per_class = None, {None: sum(per_class.values())}
+    key = shuffle_key(F.col(row_id), seed)
+    return df.withColumn("is_test", smallest_keys(df, key, test_seats(per_class, test_size), label))
 
 
 def _ceil_share(n: int, share: float) -> int:
@@ -127,9 +125,7 @@ def sample_rows(df: DataFrame, row_id: str, most: int = 4000, seed: int = 42) ->
     """A repeatable random sample of exactly ``most`` whole rows, or all rows if there are fewer."""
     if df.count() <= most:
         return df
-    wanted = df.sparkSession.createDataFrame([(most,)], "n_take bigint")
-    keyed = df.withColumn("sample_key", shuffle_key(F.col(row_id), seed))
-    return take_smallest(keyed, "sample_key", wanted, []).filter("taken").drop("taken", "sample_key")
+    return df.filter(smallest_keys(df, shuffle_key(F.col(row_id), seed), {None: most}))
 
 
 def running_totals(df: DataFrame, order: str, values: list[str], descending: bool = True, slices: int = 256) -> DataFrame:
