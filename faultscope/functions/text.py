@@ -51,17 +51,25 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(source), "".join(target), expand
 
 
+def _char_class(chars: list[str]) -> str:
+    """A regex class of these characters, runs of neighbours as ranges."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]"
+
+
 def fold_letters(c: Column) -> Column:
     """Accents stripped, ligatures and unit signs spelled out, other non-ASCII dropped.
 
     Letters of the folded characters come out in lower case, because ``clean_text`` lowers
-    them next. Pure ASCII texts, found by comparing byte and character counts, are left alone."""
+    them next. Pure ASCII texts, found by comparing byte and character counts, are left alone,
+    and the spelled-out characters are looked for among the non-ASCII ones only."""
     source, target, expand = _fold_tables()
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in expand])
-    rare = "[" + "".join(a for a, _ in expand) + "]"
-    spelled = F.when(
-        c.rlike(rare), F.aggregate(pairs, c, lambda text, p: F.replace(text, p["a"], p["b"]))
-    ).otherwise(c)
+    rare = F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(_char_class([a for a, _ in expand]))
+    spelled = F.aggregate(
+        F.when(rare, pairs).otherwise(F.slice(pairs, 1, 0)), c, lambda text, p: F.replace(text, p["a"], p["b"]))
     folded = F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]+", "")
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)
 

@@ -10,7 +10,7 @@ from typing import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 # Extensions read as pictures, which hold no text without OCR.
@@ -49,7 +49,7 @@ def decode_utf8(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html_lib.unescape, na_action="ignore")
 
@@ -96,7 +96,7 @@ FILE_READERS: dict[str, Extractor] = {"csv": _csv_text, "json": _json_text, "doc
 
 
 def _read_files(readers: dict[str, Extractor]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def read(chunks: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for kinds, payloads in chunks:
             yield pd.Series([_safely(readers.get(k), p) for k, p in zip(kinds, payloads)], dtype="object")
