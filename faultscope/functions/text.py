@@ -66,10 +66,11 @@ def fold_letters(c: Column) -> Column:
     them next. Pure ASCII texts, found by comparing byte and character counts, are left alone,
     and the spelled-out characters are looked for among the non-ASCII ones only."""
     source, target, expand = _fold_tables()
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in expand])
+    pairs = F.split(F.lit("\n".join(a + b for a, b in expand)), "\n")  # a character and its spelling each
     rare = F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(_char_class([a for a, _ in expand]))
     spelled = F.aggregate(
-        F.when(rare, pairs).otherwise(F.slice(pairs, 1, 0)), c, lambda text, p: F.replace(text, p["a"], p["b"]))
+        F.when(rare, pairs).otherwise(F.array().cast("array<string>")), c,
+        lambda text, pair: F.replace(text, F.left(pair, F.lit(1)), F.substring(pair, 2, 8)))
     folded = F.regexp_replace(F.translate(spelled, source, target), r"[^\x00-\x7F]+", "")
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)
 

@@ -20,6 +20,7 @@ from faultscope.operators.tfidf import add_grams, count_terms, fit_vocabulary
 
 # A model keeps its vocabulary on the driver; above this size training refuses rather than cuts.
 LARGEST_VOCABULARY = 5_000_000
+ROWS_PER_TASK = 2000
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def classifier(preset: Preset, n_rows: int, features: str = "features", label: s
     if preset.classifier == "logreg":
         return LogisticRegression(
             featuresCol=features, labelCol=label, regParam=1.0 / (preset.C * n_rows), elasticNetParam=0.0,
-            standardization=False, maxIter=preset.max_iter, tol=1e-8,
+            standardization=False, maxIter=preset.max_iter,
         )
     if preset.classifier == "rf":
         return RandomForestClassifier(
@@ -78,12 +79,20 @@ def train_text_classifier(
     n_rows = train.count()
     features = text_features(train, text, row_id, preset, n_rows, cleaned)
     prepared = features.transform(add_grams(train, text, preset.ngrams, cleaned)).select("features", F.col(label).cast("double").alias(label))
+    return PipelineModel([*features.stages, _fit(classifier(preset, n_rows, label=label), prepared, n_rows)])
+
+
+def _fit(estimator, prepared: DataFrame, n_rows: int):
+    """Fits on persisted features. A small training set is gathered in few partitions, because
+    every iteration is a job over all of them; large ones keep theirs."""
+    few = -(-n_rows // ROWS_PER_TASK)
+    if few < prepared.sparkSession.sparkContext.defaultParallelism:
+        prepared = prepared.repartition(few)
     prepared = prepared.persist()
     try:
-        fitted = classifier(preset, n_rows, label=label).fit(prepared)
+        return estimator.fit(prepared)
     finally:
         prepared.unpersist()
-    return PipelineModel([*features.stages, fitted])
 
 
 def model_vocabulary(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -125,12 +134,9 @@ def embed_texts(df: DataFrame, text: str, embedder: Callable[[list[str]], "objec
 
 def train_embedding_classifier(train: DataFrame, embedding: str, label: str, preset: Preset = Preset(max_iter=2000)) -> PipelineModel:
     """Logistic regression on dense vectors."""
-    prepared = _dense(train, embedding).select("features", F.col(label).cast("double").alias(label)).persist()
-    try:
-        fitted = classifier(preset, prepared.count(), label=label).fit(prepared)
-    finally:
-        prepared.unpersist()
-    return PipelineModel([fitted])
+    n_rows = train.count()
+    prepared = _dense(train, embedding).select("features", F.col(label).cast("double").alias(label))
+    return PipelineModel([_fit(classifier(preset, n_rows, label=label), prepared, n_rows)])
 
 
 def score_embeddings(df: DataFrame, model: PipelineModel, embedding: str, threshold: float = 0.5) -> DataFrame:

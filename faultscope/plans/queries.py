@@ -12,7 +12,7 @@ from faultscope.plans import ingest, scoring
 from faultscope.plans.dashboard import enrich, selection
 from faultscope.plans.stand_ins import (
     EQUIPMENT, dated_reports, device_reports, labelled_documents, nested_events, pick, prediction_rows,
-    scored_documents, table, trouble_reports, uploaded_files,
+    scored_documents, table, texts, trouble_reports, uploaded_files,
 )
 from faultscope.session import scratch_path
 from faultscope.sources import documents, history, tables
@@ -25,7 +25,7 @@ HEAD_TERMS = 20_000
 # ---- text and rules
 
 def low_quality_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", tx.guess_language(F.col("text")).alias("guessed"))
+    docs = texts(spark, sf).select("doc_id", tx.guess_language(F.col("text")).alias("guessed"))
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id").groupBy("guessed").agg(
         F.count(F.lit(1)).alias("n_docs"),
@@ -34,7 +34,7 @@ def low_quality_by_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_text_profile(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
+    return texts(spark, sf).select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
 
 
 def plain_lower(spark, sf):
@@ -42,7 +42,7 @@ def plain_lower(spark, sf):
 
 
 def lang_guess_matrix(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang", tx.guess_language(F.col("text")).alias("guessed")).agg(
+    return texts(spark, sf).groupBy("lang", tx.guess_language(F.col("text")).alias("guessed")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -51,12 +51,12 @@ def _glossary(texts: list[str]) -> list[str]:
 
 
 def translation_policy(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     return scoring.translate_if_needed(docs, "text", translator=_glossary).select("doc_id", "src_lang", "translated", "model_text")
 
 
 def clipped_text(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     padded = F.concat(F.lit(" \n"), "text", F.lit("\x00\t "))
     return docs.select("doc_id", tx.clip_text(padded, 2000).alias("clipped"))
 
@@ -105,7 +105,7 @@ def maintenance_interval(spark, sf):
 # ---- preparation
 
 def _mixed_columns(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.select(
         "doc_id",
         F.when(F.col("lang") == "en", F.col("text")).alias("EVENT_TEXT"),
@@ -128,7 +128,7 @@ def processed_table(spark, sf):
 
 
 def legacy_table(spark, sf):
-    raw = table(spark, sf, "documents").select(
+    raw = texts(spark, sf).select(
         F.lit("20240101").alias("date_received"), F.col("lang").alias("event_type"), F.col("source").alias("brand_name"),
         F.col("text").alias("event_text"))
     return prepare.legacy_table(raw)
@@ -288,7 +288,7 @@ def training_sample(spark, sf):
 # ---- TF-IDF and similarity
 
 def _vocabulary(spark, sf, ngrams=(1, 2)):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     postings = tfidf.count_terms(tfidf.add_grams(docs, "text", ngrams), "doc_id")
     return postings, tfidf.fit_vocabulary(postings, docs.count(), min_df=2, max_features=HEAD_TERMS)
 
@@ -307,13 +307,13 @@ def tfidf_keywords(spark, sf):
 
 def similar_cases(spark, sf):
     _, vocabulary = _vocabulary(spark, sf)
-    return similarity.similar_cases(table(spark, sf, "documents"), table(spark, sf, "benchmark"), vocabulary).select(
+    return similarity.similar_cases(texts(spark, sf), table(spark, sf, "benchmark"), vocabulary).select(
         "item_id", "rank", "doc_id", F.round("similarity", 5).alias("similarity"))
 
 
 def similar_case_view(spark, sf):
     _, vocabulary = _vocabulary(spark, sf)
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("TypeDetecte"), F.col("source").alias("date_received"))
+    docs = texts(spark, sf).select("doc_id", "text", F.col("lang").alias("TypeDetecte"), F.col("source").alias("date_received"))
     cases = similarity.similar_cases(docs, table(spark, sf, "benchmark"), vocabulary, k=5)
     return similarity.similar_case_view(cases, docs, "doc_id", "item_id", "text").drop("similarity_pct")
 
@@ -407,7 +407,7 @@ def _one_line(c):
 
 
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", _one_line(documents.html_to_text(F.col("html"))).alias("text"))
+    return texts(spark, sf, "pages").select("page_id", _one_line(documents.html_to_text(F.col("html"))).alias("text"))
 
 
 def file_text(spark, sf):
@@ -433,7 +433,7 @@ def document_scoring(spark, sf):
 
 def keyword_export(spark, sf):
     model = _quick_model(spark, sf)
-    notes = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), "text")
+    notes = texts(spark, sf).select(F.col("doc_id").cast("string").alias("name"), "text")
     return scoring.keyword_export(scoring.score_documents(notes, model, "name", "text", max_chars=None))
 
 
@@ -490,9 +490,9 @@ def _stream(spark, sf, name):
 def stream_scoring(spark, sf):
     model = _quick_model(spark, sf)
     target, checkpoint = scratch_path(spark, "history"), scratch_path(spark, "checkpoint")
-    texts = _stream(spark, sf, "conversations").select(
+    turns = _stream(spark, sf, "conversations").select(
         F.concat_ws("_", "conv_id", "turn").alias("name"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id")).alias("ts"))
-    jobs.score_stream(texts, model, "name", "text", "ts", target, checkpoint, max_chars=None).awaitTermination()
+    jobs.score_stream(turns, model, "name", "text", "ts", target, checkpoint, max_chars=None).awaitTermination()
     return history.read_history(spark, target).select("file_name", "ts", "label", F.round("proba", 6).alias("proba"), "src_lang", "top_keywords")
 
 

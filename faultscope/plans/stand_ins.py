@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
+from faultscope.sources.tables import read_texts
+
 DEVICE_PHRASES = [
     "MRI", "CT unit", "x-ray", "ultrasound", "ventilator", "anesthesia", "infusion pump", "defibrillator",
     "pacemaker", "dialysis", "endoscope", "ECG monitor", "wheelchair",
@@ -30,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROW_IDS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return read_texts(spark, f"{sf_dir}/{name}.parquet", ROW_IDS[name])
+
+
 def pick(words: list[str], number: Column) -> Column:
     return F.get(F.array(*[F.lit(w) for w in words]), F.pmod(number, F.lit(len(words))).cast("int"))
 
@@ -82,7 +91,7 @@ def dated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("event_text"), F.col("source").alias("event_type"), "n_chars")
+    docs = texts(spark, sf_dir).select("doc_id", F.col("text").alias("event_text"), F.col("source").alias("event_type"), "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return docs.join(labels, "doc_id", how)
 
@@ -133,7 +142,7 @@ def docx_bytes(texts: pd.Series) -> pd.Series:
 
 def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of every supported kind as ``(name, content)``."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = texts(spark, sf_dir, "pages").select(
         F.concat_ws("", F.lit("page_"), "page_id", F.lit(".HTML")).alias("name"), F.col("html").cast("binary").alias("content"))
     props = table(spark, sf_dir, "events").select(
         F.concat_ws("", F.lit("event_"), "event_id", F.lit(".json")).alias("name"), F.col("props").cast("binary").alias("content"))

@@ -86,6 +86,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return None
 
 
+def read_texts(spark: SparkSession, path: str, row_id: str) -> DataFrame:
+    """A Parquet table for work that is heavy per row. A table in fewer pieces than half the cores
+    (a small file, say) is spread by ``row_id`` first; larger ones are read as they are."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, row_id) if df.rdd.getNumPartitions() <= cores // 2 else df
+
+
 def load_main_dataset(
     spark: SparkSession, processed: list[str], raw: list[str], max_rows: int | None = None, required: bool = False
 ) -> DataFrame:
