@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted spellings besides eight digits, tried in order.
+# Accepted spellings besides eight digits, each with the shape that asks for it.
+# Only a matching shape is parsed: a failed parse costs far more than a failed match.
+_CLOCK = r"\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
+_FRACTION = "[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"
 DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S][XXX]",
-    "yyyy/M/d",
-    "yyyy.M.d",
-    "M/d/yyyy",
-    "M-d-yyyy",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyy-MM",
-    "yyyy",
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{4}-\d{2}-\d{2} " + _CLOCK, f"yyyy-MM-dd HH:mm[:ss]{_FRACTION}"),
+    (r"\d{4}-\d{2}-\d{2}T" + _CLOCK + r"(Z|[+-]\d{2}:\d{2})?", f"yyyy-MM-dd'T'HH:mm[:ss]{_FRACTION}[XXX]"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{4}\.\d{1,2}\.\d{1,2}", "yyyy.M.d"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"[A-Z][a-z]{3,} \d{1,2}, \d{4}", "MMMM d, yyyy"),
+    (r"\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy"),
+    (r"\d{1,2} [A-Z][a-z]{3,} \d{4}", "d MMMM yyyy"),
+    (r"\d{4}-\d{2}", "yyyy-MM"),
+    (r"\d{4}", "yyyy"),
 ]
 # Range of a nanosecond timestamp, outside of which a date counts as missing.
 EARLIEST, LATEST = "1677-09-22 00:00:00", "2262-04-11 00:00:00"
@@ -31,8 +33,8 @@ EARLIEST, LATEST = "1677-09-22 00:00:00", "2262-04-11 00:00:00"
 def parse_date(c: Column) -> Column:
     """Eight digits as ``yyyyMMdd``, else the first format that fits, else null."""
     text = F.trim(c.cast("string"))
-    general = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
-    parsed = F.when(c.cast("string").rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd"))).otherwise(general)
+    shaped = [(r"\d{8}", "yyyyMMdd"), *DATE_FORMATS]
+    parsed = F.coalesce(*[F.when(text.rlike(f"^(?:{shape})$"), F.try_to_timestamp(text, F.lit(f))) for shape, f in shaped])
     return F.when(parsed.between(F.lit(EARLIEST).cast("timestamp"), F.lit(LATEST).cast("timestamp")), parsed)
 
 

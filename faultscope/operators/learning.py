@@ -20,7 +20,8 @@ from faultscope.operators.tfidf import add_grams, count_terms, fit_vocabulary
 
 # A model keeps its vocabulary on the driver; above this size training refuses rather than cuts.
 LARGEST_VOCABULARY = 5_000_000
-ROWS_PER_TASK = 2000
+# Logistic regression runs a job per iteration, so a small training set is kept in few tasks.
+ROWS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -83,11 +84,12 @@ def train_text_classifier(
 
 
 def _fit(estimator, prepared: DataFrame, n_rows: int):
-    """Fits on persisted features. A small training set is gathered in few partitions, because
-    every iteration is a job over all of them; large ones keep theirs."""
-    few = -(-n_rows // ROWS_PER_TASK)
-    if few < prepared.sparkSession.sparkContext.defaultParallelism:
-        prepared = prepared.repartition(few)
+    """Fits on persisted features, spread over the cores, or over fewer tasks if the work per
+    iteration is small. Features that already come in more pieces keep them."""
+    cores = prepared.sparkSession.sparkContext.defaultParallelism
+    tasks = -(-n_rows // ROWS_PER_TASK) if isinstance(estimator, LogisticRegression) else cores
+    if n_rows < cores * ROWS_PER_TASK:
+        prepared = prepared.repartition(tasks)
     prepared = prepared.persist()
     try:
         return estimator.fit(prepared)

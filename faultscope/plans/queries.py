@@ -20,6 +20,7 @@ from faultscope.streaming import jobs
 
 COLLECTION = dict(keywords=["blue bolt", "widget", "economy"], start="1996-01-01", end="1999-12-31", max_records=150, page=100)
 HEAD_TERMS = 20_000
+FOREST_QUERY = learning.Preset(classifier="rf", min_df=2, max_features=500)
 
 
 # ---- text and rules
@@ -337,7 +338,7 @@ def train_eval_logreg(spark, sf):
 
 def train_eval_forest(spark, sf):
     train, test = _split_documents(spark, sf)
-    model = learning.train_text_classifier(train, "event_text", "label", "doc_id", learning.FULL_FOREST)
+    model = learning.train_text_classifier(train, "event_text", "label", "doc_id", FOREST_QUERY)
     return evaluation.class_report(learning.score_texts(test, model, "event_text")).select(
         "class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 

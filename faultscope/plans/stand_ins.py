@@ -157,4 +157,6 @@ def uploaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FFFE"))).alias("content"))
     scans = table(spark, sf_dir, "benchmark").select(
         F.concat_ws("", F.lit("scan_"), "item_id", F.lit(".png")).alias("name"), F.col("text").cast("binary").alias("content"))
-    return pages.union(props).union(sheets).union(letters).union(notes).union(scans)
+    files = pages.union(props).union(sheets).union(letters).union(notes).union(scans)
+    # a fixed number of partitions, as small results of the grouping would else end up in one
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
