@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.operators.ranking import running_totals
+from faultscope.session import materialize
 
 
 def _ratio(top: Column, bottom: Column, undefined: float = 0.0) -> Column:
@@ -14,10 +15,11 @@ def _ratio(top: Column, bottom: Column, undefined: float = 0.0) -> Column:
 
 def scores_with_totals(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row per distinct score with positives and negatives, and how many of each score at
-    least as high. Ties are aggregated first, so a score shared by many rows is one row."""
+    least as high. Ties are aggregated first, so a score shared by many rows is one row. The
+    aggregate is written once, as it is read for the cuts, the offsets and the totals."""
     per_score = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    return running_totals(per_score, "score", ["pos", "neg"])
+    return running_totals(materialize(per_score, "scores"), "score", ["pos", "neg"])
 
 
 def binary_metrics(scored: DataFrame, label: str = "label", score: str = "proba", threshold: float = 0.5) -> DataFrame:

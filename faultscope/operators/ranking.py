@@ -25,18 +25,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     ])
 
 
-def top_per_group(
-    df: DataFrame, groups: list[str], order: list[Column], most: int, spread: Column, salts: int = 64
-) -> DataFrame:
+def top_per_group(df: DataFrame, groups: list[str], order: list[Column], most: int, salts: int = 64) -> DataFrame:
     """At most ``most`` rows per group by ``order``, with their ``rank``.
 
     Two rounds: the first keeps the best of every (group, salt), so no task sees more than a
-    share of a hot group, the second ranks the few that are left. ``spread`` is hashed into the
-    salt and should differ between the rows of a group."""
+    share of a hot group, the second ranks the few that are left. The salt is the same for all
+    rows of a task, so that the limit Spark puts before the first shuffle keeps only ``most`` rows
+    per group and task. Which salt a row gets does not matter for the result."""
     inner = Window.partitionBy(*groups, "salt").orderBy(*order)
     outer = Window.partitionBy(*groups).orderBy(*order)
     return (
-        df.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+        df.withColumn("salt", F.spark_partition_id() % salts)
         .withColumn("rank", F.row_number().over(inner)).filter(F.col("rank") <= most)
         .withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= most)
         .drop("salt")

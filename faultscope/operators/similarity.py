@@ -52,7 +52,7 @@ def similar_cases(
     length = F.sqrt(F.max(F.when(F.col(query_id).isNull(), F.col("total"))).over(Window.partitionBy(row_id)))
     sims = totals.select(row_id, query_id, F.round(F.col("total") / length, 9).alias("similarity")).filter(
         F.col(query_id).isNotNull())
-    best = top_per_group(sims, [query_id], [F.desc("similarity"), F.asc(row_id)], k, F.col(row_id))
+    best = top_per_group(sims, [query_id], [F.desc("similarity"), F.asc(row_id)], k)
     return fill_up(best, history, weights, row_id, query_id, k)
 
 

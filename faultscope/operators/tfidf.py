@@ -75,7 +75,7 @@ def join_terms(postings: DataFrame, terms: DataFrame, spread: Column, max_broadc
     left = postings.join(hot, "term", "left").withColumn(
         "salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("salts")), F.lit(0))).drop("salts")
     right = terms.join(hot, "term", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).cast("bigint")).drop("salts")
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1))).drop("salts")
     return left.join(right, ["term", "salt"]).drop("salt")
 
 

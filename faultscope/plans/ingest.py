@@ -8,6 +8,7 @@ from faultscope.operators.prepare import (
     cap_per_keyword, dedup_first, flatten_events, processed_table, search_events,
 )
 from faultscope.operators.quality import quality_report, report_to_json, report_to_markdown
+from faultscope.session import broadcast_if_small, materialize
 from faultscope.sources.tables import RAW_SCHEMA, write_table, write_text_document
 
 # Search phrases and limits of the standard collection.
@@ -24,9 +25,15 @@ def collect_incidents(
     max_records: int = MAX_RECORDS, page: int = PAGE,
 ) -> DataFrame:
     """The raw table: events per keyword up to the collection limit, flattened, each incident
-    once. An event found by several keywords arrives with the first of them."""
-    found = cap_per_keyword(search_events(events, keywords, start, end), arrival, max_records, page)
-    flat = flatten_events(found, extra=["keyword_pos", arrival])
+    once. An event found by several keywords arrives with the first of them.
+
+    Searching and capping only move keywords and arrival numbers (``arrival`` must be unique). At
+    most the cap per keyword is left of those, and the events themselves are picked by joining
+    these few, so they are not shuffled before that."""
+    found = search_events(events, keywords, start, end).select("keyword", "keyword_pos", arrival)
+    wanted = materialize(cap_per_keyword(found, arrival, max_records, page), "collected")
+    side, _ = broadcast_if_small(wanted, len(keywords) * (max_records + page))
+    flat = flatten_events(events.join(side, arrival), extra=["keyword_pos", arrival])
     return dedup_first(flat, ["keyword_pos", arrival]).select(*RAW_SCHEMA.names)
 
 

@@ -14,6 +14,7 @@ from faultscope.functions.text import clean_text, clip_text, ensure_str, guess_l
 from faultscope.operators.learning import model_vocabulary, score_texts
 from faultscope.operators.prepare import drop_blank
 from faultscope.operators.tfidf import add_grams, count_terms, keyword_lists, top_keywords
+from faultscope.session import materialize
 
 Translator = Callable[[list[str]], list[str]]
 # Language choices offered to users.
@@ -85,6 +86,8 @@ def score_documents(
     ``compat_language`` records an untranslated text as French under automatic choice."""
     clipped = drop_blank(documents.select(name, clip_text(F.col(text), max_chars).alias("doc_text")), "doc_text")
     ready = translate_if_needed(clipped, "doc_text", choice, force, translator)
+    if translator is not None and force:
+        ready = materialize(ready, "translated")  # texts are scored and explained, but translated once
     if compat_language and LANGUAGE_CHOICES[choice] is None:
         ready = ready.withColumn("src_lang", F.when(F.col("translated") == 1, "en").otherwise("fr"))
     scored = score_texts(ready, model, "model_text", threshold)

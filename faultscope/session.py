@@ -57,9 +57,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only after counting; the flag tells the caller which join it gets.
-
-    Meant for written tables, where the count comes from file footers."""
-    small = df.count() <= max_rows
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 256 * 1024 * 1024) -> tuple[DataFrame, bool]:
+    """Hint a broadcast only after measuring rows and bytes; the flag tells the caller which join
+    it gets. Meant for written tables, as it reads the data once."""
+    width = sum((F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) if t == "string" else F.lit(8) for n, t in df.dtypes), F.lit(0))
+    size = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(width), F.lit(0)).alias("n_bytes")).first()
+    small = size["n_rows"] <= max_rows and size["n_bytes"] <= max_bytes
     return (F.broadcast(df) if small else df), small

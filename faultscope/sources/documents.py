@@ -136,5 +136,5 @@ def extract_text(df: DataFrame, name: str = "path", content: str = "content", re
 def text_or_trace(content: Column) -> Column:
     """Decoded text, or for files without any a marker with the first 64 bytes in base 64."""
     text = decode_utf8(content)
-    trace = F.concat(F.lit("(binaire) "), F.base64(F.substring(content, 1, 64)), F.lit("…"))
+    trace = F.concat(F.lit("(binaire) "), F.regexp_replace(F.base64(F.substring(content, 1, 64)), "[\r\n]", ""), F.lit("…"))
     return F.when(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]", "") == "", trace).otherwise(text)

@@ -16,7 +16,7 @@ def key(seed, i):
 def test_top_per_group_hot_group(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
                                   (F.col("id") * 37 % 101).alias("v"))
-    got = {(r["g"], r["rank"]): r["id"] for r in rk.top_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 5, F.col("id")).collect()}
+    got = {(r["g"], r["rank"]): r["id"] for r in rk.top_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 5).collect()}
     rows = [(r["g"], r["v"], r["id"]) for r in df.collect()]
     want = {}
     for g in {r[0] for r in rows}:
