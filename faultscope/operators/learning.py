@@ -9,7 +9,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -67,9 +67,12 @@ def text_features(train: DataFrame, text: str, row_id: str, preset: Preset, n_ro
     vocabulary = fit_vocabulary(postings, n_rows, preset.min_df, preset.max_features)
     if preset.max_features is None and vocabulary.count() > LARGEST_VOCABULARY:
         raise ValueError(f"over {LARGEST_VOCABULARY} terms: set max_features or min_df")
-    rows = vocabulary.orderBy("term").select("term", "idf").collect()
-    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="grams", outputCol="term_counts")
-    idf = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="term_counts", outputCol="weights")
+    # The chosen terms, one per row, are the whole corpus of the vectorizer, so it keeps them all.
+    chosen = vocabulary.select(F.array("term").alias("grams"))
+    counts = CountVectorizer(inputCol="grams", outputCol="term_counts", vocabSize=max(vocabulary.count(), 1), minDF=1).fit(chosen)
+    weight = {r["term"]: r["idf"] for r in vocabulary.select("term", "idf").collect()}
+    idf = ElementwiseProduct(
+        scalingVec=Vectors.dense([weight[t] for t in counts.vocabulary]), inputCol="term_counts", outputCol="weights")
     return PipelineModel([counts, idf, Normalizer(p=2.0, inputCol="weights", outputCol="features")])
 
 

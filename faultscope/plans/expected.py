@@ -280,10 +280,10 @@ SELECT coalesce(nullif(event_type, 'signup'), 'nan') AS value, count(*) AS n FRO
     "document_norms": TERMS + " SELECT doc_id, count(*) AS n_terms, round(sqrt(sum(weight * weight)), 5) AS norm FROM weights GROUP BY 1",
     "tfidf_keywords": TERMS + """,
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM weights)
-SELECT doc_id, rank, term AS word, round(100 * weight / sum(weight) OVER (PARTITION BY doc_id), 1) AS pct FROM top WHERE rank <= 15""",
-    "similar_cases": SIMILAR + " SELECT item_id, rank, doc_id, round(similarity, 5) AS similarity FROM ranked WHERE rank <= 10",
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, term AS word, round(100 * weight / sum(weight) OVER (PARTITION BY doc_id), 1) AS pct FROM top WHERE rank <= 15""",
+    "similar_cases": SIMILAR + " SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(similarity, 5) AS similarity FROM ranked WHERE rank <= 10",
     "similar_case_view": SIMILAR + """
-SELECT item_id, rank, doc_id, source AS date, lang AS detected_type,
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, source AS date, lang AS detected_type,
        CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '…' ELSE text END AS excerpt
 FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5""",
     "score_metrics": METRICS,
