@@ -287,6 +287,9 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, source AS date, lang AS d
        CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '…' ELSE text END AS excerpt
 FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5""",
     "score_metrics": METRICS,
+    "decision_and_confidence": f"""
+SELECT doc_id, CASE WHEN proba >= 0.5 THEN 'Critique' ELSE 'Pas critique' END AS decision,
+       CASE WHEN proba >= 0.25 THEN 'Critique' ELSE 'Pas critique' END AS strict_decision, round(100 * proba, 1) AS confidence FROM {SCORED}""",
     "metrics_record": METRICS,
     "confusion": f"""
 SELECT t.k AS label, p.k AS pred, count(doc_id) AS n FROM (VALUES (0), (1)) t(k), (VALUES (0), (1)) p(k)
@@ -321,6 +324,10 @@ SELECT ts, source, coalesce(file_name, '') AS file_name, model_type, label, roun
        CASE WHEN turn < 2 THEN first_word || ' (62.5%), été (37.5%)' ELSE '' END AS top_keywords
 FROM {STORED} ORDER BY ts DESC LIMIT 1000""",
     "csv_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "kept_table": "SELECT p_partkey, p_name FROM part",
+    "report_documents": f"""
+SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_cols, count(*) - count(DISTINCT (event_text, event_type, label)) AS dup_rows
+FROM {LABELLED.format(how='LEFT')}""",
     "event_archive_round_trip": NESTED + """
 SELECT date_received, event_type, count(*) AS n, CAST(sum(length(event_text)) AS BIGINT) AS chars,
        CAST(sum(length(brand_name)) AS BIGINT) AS brand_chars FROM flat GROUP BY 1, 2""",

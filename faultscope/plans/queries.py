@@ -371,6 +371,13 @@ def _metrics(df):
     return df.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "f1", "roc_auc")], "n_samples")
 
 
+def decision_and_confidence(spark, sf):
+    proba = F.col("proba")
+    return scored_documents(spark, sf).select(
+        "doc_id", tx.decision_label(proba).alias("decision"), tx.decision_label(proba, 0.25).alias("strict_decision"),
+        tx.confidence_percent(proba).alias("confidence"))
+
+
 def metrics_record(spark, sf):
     path = scratch_path(spark, "metrics")
     tables.write_metrics(evaluation.binary_metrics(scored_documents(spark, sf)), path)
@@ -473,6 +480,20 @@ def csv_round_trip(spark, sf):
         F.col("doc_id").try_cast("bigint").alias("doc_id"), "text", "lang", "source", F.col("n_chars").try_cast("bigint").alias("n_chars"))
 
 
+def kept_table(spark, sf):
+    path = scratch_path(spark, "kept")
+    tables.write_table(table(spark, sf, "part").select("p_partkey", "p_name"), path)
+    tables.write_table(table(spark, sf, "part").select("p_partkey").limit(0), path, force=False)
+    return spark.read.parquet(path)
+
+
+def report_documents(spark, sf):
+    json_path, markdown_path = scratch_path(spark, "quality-json"), scratch_path(spark, "quality-md")
+    ingest.write_quality_report(_quality_frame(spark, sf), json_path, markdown_path)
+    doc = spark.read.schema("rows bigint, cols bigint, dup_rows bigint").json(json_path, multiLine=True)
+    return doc.select(F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"), "dup_rows")
+
+
 def event_archive_round_trip(spark, sf):
     path = scratch_path(spark, "events")
     tables.write_event_archive(nested_events(spark, sf).drop("o_orderkey"), path)
@@ -529,9 +550,9 @@ QUERIES = {
         monthly_counts_of_type, severity_filter, top_values_with_missing, top_values_present, facet_values, kpis,
         forecast_by_status, forecast_total, date_parse, preview, stratified_split, plain_split, training_sample,
         term_vocabulary, document_norms, tfidf_keywords, similar_cases, similar_case_view, train_eval_logreg,
-        train_eval_forest, embedding_classifier, predict_texts, score_metrics, metrics_record, confusion, roc_points,
+        train_eval_forest, embedding_classifier, predict_texts, score_metrics, decision_and_confidence, metrics_record, confusion, roc_points,
         roc_points_plotted, pr_points, class_report, html_text, file_text, unreadable_trace, document_scoring,
-        keyword_export, history_recent, history_search, history_view, csv_round_trip, event_archive_round_trip,
+        keyword_export, history_recent, history_search, history_view, csv_round_trip, kept_table, report_documents, event_archive_round_trip,
         stream_scoring, stream_dedup, stream_daily_counts, stream_monthly_counts,
     )
 }
