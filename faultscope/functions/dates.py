@@ -51,5 +51,5 @@ def month_of(ts: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """Second-precise text with a ``Z``; the session time zone must be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Second-precise UTC text with a ``Z``, whatever the session time zone is."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

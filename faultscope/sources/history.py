@@ -48,7 +48,7 @@ def history_rows(predictions: DataFrame, run: str, ts: datetime | Column, row_ke
         "detected_type", "src_lang",
         F.col("translated").cast("int").alias("translated"),
         keywords_to_json(F.col("top_keywords")).alias("top_keywords"),
-        F.to_date(stamp).alias("ts_date"),
+        F.to_date(F.substring(iso_utc(stamp), 1, 10)).alias("ts_date"),  # the date of the stored text
         F.lit(run).alias("run"),
     )
 

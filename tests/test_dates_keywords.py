@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from faultscope.functions import dates as d
 from faultscope.functions import keywords as k
 
@@ -23,6 +25,15 @@ def test_date_column_choice(spark):
     assert d.add_parsed_date(df.select(df["Date"].alias("x"))).first()["date_dt"] is None
 
 
+def test_iso_is_utc_in_any_session_zone(spark):
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        stamp = spark.range(1).select(d.iso_utc(F.timestamp_seconds(F.lit(1704067200))).alias("ts")).first()["ts"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert stamp == "2024-01-01T00:00:00Z"
+
+
 def test_iso_and_month(column):
     ts = [datetime(2024, 5, 6, 7, 8, 9)]
     assert column(d.iso_utc, ts, "timestamp") == ["2024-05-06T07:08:09Z"]
