@@ -86,9 +86,9 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def requests(chunk: int, digests: np.ndarray, counts: np.ndarray | None, shards: int) -> list[dict]:
-    """One row for each shard that has a share of the sorted ``digests``."""
-    shift = 64 - (shards.bit_length() - 1)
+def requests(chunk: int, digests: np.ndarray, counts: np.ndarray | None, shards: int, bits: int = 64) -> list[dict]:
+    """One row for each shard that has a share of the sorted ``digests``, which have ``bits`` bits."""
+    shift = bits - (shards.bit_length() - 1)
     cuts = np.searchsorted(digests, np.arange(shards, dtype=np.uint64) << np.uint64(shift))
     ends = np.append(cuts[1:], len(digests))
     return [
@@ -98,6 +98,6 @@ def requests(chunk: int, digests: np.ndarray, counts: np.ndarray | None, shards:
     ]
 
 
-def received(shard: int, data: bytes, shards: int) -> np.ndarray:
-    shift = 64 - (shards.bit_length() - 1)
+def received(shard: int, data: bytes, shards: int, bits: int = 64) -> np.ndarray:
+    shift = bits - (shards.bit_length() - 1)
     return unpack(data[4:], int.from_bytes(data[:4], "little"), shard << shift)
