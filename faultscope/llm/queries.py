@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultscope.llm import near_dedup, packing, substring_dedup, token_counts
+from faultscope.llm import metric_tree, near_dedup, packing, paragraph_sketch, substring_dedup, token_counts
 from faultscope.llm.common import table
 
 
@@ -31,6 +31,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_metric_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -39,5 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_metric_tree_top_k": op5_metric_tree_top_k,
+    "op6_paragraph_sketch": op6_paragraph_sketch,
     "op10_packing": op10_packing,
 }

@@ -37,10 +37,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """``digests`` of all words of a batch of texts; those of text i are ``first[i]:first[i + 1]``."""
+    """``digests`` of all words of a batch of texts; those of text i are ``first[i]:first[i + 1]``.
+    ``new_line``: whether a line break precedes the word, if asked for."""
 
     digests: np.ndarray
     first: np.ndarray
+    new_line: np.ndarray | None = None
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -49,7 +51,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def words_of(texts: list[bytes]) -> Words:
+def words_of(texts: list[bytes], lines: bool = False) -> Words:
     raw = np.frombuffer(b"\n".join([*texts, bytes(8)]), dtype=np.uint8)
     size = len(raw) - 8
     gap = SEPARATOR[raw[:size]]
@@ -69,7 +71,10 @@ def words_of(texts: list[bytes]) -> Words:
     for i in at:
         whole = raw[starts[i]:starts[i] + lengths[i]].tobytes()
         digests[i] = int.from_bytes(blake2b(whole, digest_size=8).digest(), "little")
-    return Words(digests, first)
+    if not lines:
+        return Words(digests, first)
+    line = np.cumsum(raw[:size] == 0x0A, dtype=np.int64)[starts]
+    return Words(digests, first, np.concatenate(([True], line[1:] != line[:-1]))[:len(line)])
 
 
 def windows_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
