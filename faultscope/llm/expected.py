@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can state."""
 
+from faultscope.llm import warc
+
 OP4 = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -31,7 +33,70 @@ SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scor
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+
+
+def _rake_sql(sweeps: int = 8, temperature: float = 0.9) -> str:
+    """Raking unrolled: one step for each margin of each sweep."""
+    parts = ["""described AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+    CASE WHEN regexp_matches(t, '[lL]icense|[cC]opyright|rights reserved') THEN 'legal'
+      WHEN regexp_matches(t, 'https?://|password|token =|@') THEN 'technical'
+      WHEN regexp_matches(t, ' \\| |\\t') THEN 'tabular' ELSE 'general' END AS topic,
+    len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
+        "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM described GROUP BY ALL HAVING sum(n_tokens) > 0)"]
+    for m in ("source", "lang", "topic"):
+        parts.append(f"p_{m} AS (SELECT {m}, pow(sum(n) / (SELECT sum(n) FROM cells), {temperature}) AS p FROM cells GROUP BY {m})")
+        parts.append(f"t_{m} AS (SELECT {m}, p / (SELECT sum(p) FROM p_{m}) AS target FROM p_{m})")
+    parts.append("w0 AS MATERIALIZED (SELECT *, n AS w FROM cells)")
+    step = 0
+    for _ in range(sweeps):
+        for m in ("source", "lang", "topic"):
+            parts.append(f"w{step + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (w), w * target / sum(w) OVER (PARTITION BY {m}) AS w FROM w{step} AS a JOIN t_{m} USING ({m}))")
+            step += 1
+    return f"""
+WITH {", ".join(parts)}, done AS (SELECT *, w / n / (SELECT max(w / n) FROM w{step}) AS p FROM w{step})
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(w, 0), 9) AS weight, round(coalesce(p, 1.0), 9) AS probability,
+  ('0x' || substr(md5('mix:' || doc_id), 1, 8))::BIGINT / 4294967296.0 < coalesce(p, 1.0) AS kept
+FROM described AS d LEFT JOIN done USING (source, lang, topic)
+"""
+
+
+def _text_sql(html: str) -> str:
+    for pattern, new in warc.TO_TEXT:
+        html = f"regexp_replace({html}, '{pattern}', E'{new.encode('unicode_escape').decode()}', 'g')"
+    for entity, new in warc.ENTITIES:
+        html = f"replace({html}, '{entity}', '{new.replace(chr(39), chr(39) * 2)}')"
+    for pattern, new in warc.SPACES:
+        html = f"regexp_replace({html}, '{pattern}', E'{new.encode('unicode_escape').decode()}', 'g')"
+    return html
+
+
+def _uuid_sql(parts: str) -> str:
+    return f"regexp_replace(md5({parts}), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '<urn:uuid:\\1-\\2-\\3-\\4-\\5>')"
+
+
+_TITLE = r"regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
+OP9 = f"""
+WITH r AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS source_payload_digest FROM pages
+), s AS (
+  SELECT *, {_uuid_sql("concat_ws(chr(10), 'response', coalesce(page_id::VARCHAR, ''), target_uri, source_payload_digest)")} AS refers_to FROM r
+), d AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'title: ' || {_text_sql(_TITLE)} || E'\\r\\nlanguage: ' || regexp_extract(payload, '(?i)<html[^>]*\\blang="([^"]*)"', 1)
+    || E'\\r\\npayload-length: ' || strlen(payload) || E'\\r\\n'
+    || list_aggregate(list_transform(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1), lambda x: 'outlink: ' || x || E'\\r\\n') || [''], 'string_agg', '') AS block
+  FROM s
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {_text_sql("payload")} FROM s
+)
+SELECT page_id, record_type, {_uuid_sql("record_type || chr(10) || refers_to")} AS record_id, refers_to, target_uri, source_payload_digest, content_type,
+  strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM d
+"""
+
 EXPECTED = {
     "op4_substring_dedup": OP4,
     "op5_metric_tree_top_k": OP5,
+    "op7_mixing": _rake_sql(),
+    "op9_warc_derivatives": OP9,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultscope.llm import metric_tree, near_dedup, packing, paragraph_sketch, substring_dedup, token_counts
+from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, substring_dedup, token_counts, warc
 from faultscope.llm.common import table
 
 
@@ -39,6 +39,15 @@ def op6_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.sampled(table(spark, sf_dir, "documents"))
+    return mix.withColumns({"weight": F.round("weight", 9), "probability": F.round("probability", 9)})
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -49,5 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_metric_tree_top_k": op5_metric_tree_top_k,
     "op6_paragraph_sketch": op6_paragraph_sketch,
+    "op7_mixing": op7_mixing,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_packing": op10_packing,
 }
