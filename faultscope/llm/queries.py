@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, substring_dedup, token_counts, warc
+from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, pii, substring_dedup, token_counts, toxicity, warc
 from faultscope.llm.common import table
 
 
@@ -18,6 +18,18 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -44,6 +56,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.withColumns({"weight": F.round("weight", 9), "probability": F.round("probability", 9)})
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
@@ -53,12 +69,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_metric_tree_top_k": op5_metric_tree_top_k,
     "op6_paragraph_sketch": op6_paragraph_sketch,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_packing": op10_packing,
 }
