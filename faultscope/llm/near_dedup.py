@@ -3,12 +3,13 @@
 1. Shingle counts of all documents meet in shards (``exchange``), which return document frequencies.
 2. A document can reach the threshold with another one only if that share of its own weight lies in
    shingles that some other document has; all others are done.
-3. The rest draw ``bands * rows`` samples. One sample of a document is the shingle with the smallest
+3. The rest draw samples. One sample of a document is the shingle with the smallest
    value and its quantised weight; two documents agree on it with the probability of their weighted
    Jaccard similarity. Equal samples of a whole band make a candidate.
-4. In each bucket, all members are compared with the smallest id; those that fail are compared with
-   the smallest of the failed ones, until none is left. No pairs of a group are listed.
-5. Links of exact weighted Jaccard similarity at or above the threshold give components.
+4. In each bucket, members are compared by exact weighted Jaccard similarity with a head, then with
+   more heads in rounds, but never with members that links have already joined: copies of one text are
+   one component after a round or two, and no group's pairs are listed.
+5. Links at or above the threshold give components.
 
 A shingle's weight is its count times sqrt(1 + ln(N / df) / ln N), between count and 1.42 times that.
 Plain IDF would give the few edited words of a copy many times the weight of what a large group of
@@ -20,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.llm import exchange
@@ -29,13 +30,18 @@ from faultscope.llm.components import component_of
 from faultscope.llm.words import batches, mix, windows_of, words_of
 from faultscope.session import materialize
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 6
+#: Samples drawn; the first ``BANDS * ROWS`` make the bands, all of them the estimate before a comparison.
+SAMPLES = 256
 BITS = 48
 ANSWER = "chunk int, shard int, shared binary, frequency binary"
-SKETCH = "doc_id bigint, digest binary, bands array<bigint>, keys binary, weights binary"
+SKETCH = "doc_id bigint, digest binary, bands array<bigint>, nibbles array<bigint>, keys binary, weights binary, whole double, shared double"
 _REQUEST = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("digests", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("shared", pa.binary()), ("frequency", pa.binary())])
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("keys", pa.binary()), ("weights", pa.binary())])
+_SKETCH = pa.schema([
+    ("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("nibbles", pa.list_(pa.int64())), ("keys", pa.binary()), ("weights", pa.binary()),
+    ("whole", pa.float64()), ("shared", pa.float64()),
+])
 
 
 def shingles(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +112,32 @@ def band_digests(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def nibbles_of(samples: np.ndarray) -> np.ndarray:
+    """The lowest four bits of all samples, 16 samples to a 64-bit value."""
+    n, width = samples.shape
+    out = np.zeros((n, -(-width // 16) * 16), dtype=np.uint64)
+    out[:, :width] = samples & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(out.reshape(n, -1, 16) << shifts, axis=2).view(np.int64)
+
+
+def unlike(a: str, b: str) -> Column:
+    """In how many samples two arrays of nibbles differ."""
+    def differing(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, n: total + n)
+
+
+def most_unlike(n_samples: int, similarity: float) -> float:
+    """Differing nibbles that two documents at the threshold exceed with a chance of about 2e-4."""
+    q = (1 - similarity) * 15 / 16
+    return n_samples * q + 3.5 * (n_samples * q * (1 - q)) ** 0.5
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = float(np.minimum(a[1][i], b[1][j]).sum())
@@ -155,11 +187,13 @@ def sketches(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataF
             return _SKETCH.empty_table()
         starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         ends = np.append(starts[1:], len(key))
-        signed = band_digests(weighted_samples(key, weight.astype(np.float64), starts, bands * rows), bands, rows)
+        samples = weighted_samples(key, weight.astype(np.float64), starts, max(SAMPLES, bands * rows))
+        signed, nibbles = band_digests(samples[:, :bands * rows], bands, rows), nibbles_of(samples)
         ids = chunk["doc_id"].to_pylist()
         return arrow_table([
-            {"doc_id": ids[o], "digest": blake2b(texts[o], digest_size=16).digest(), "bands": signed[k].tolist(),
-             "keys": int(b - a).to_bytes(4, "little") + exchange.pack(key[a:b], 0), "weights": weight[a:b].tobytes()}
+            {"doc_id": ids[o], "digest": blake2b(texts[o], digest_size=16).digest(), "bands": signed[k].tolist(), "nibbles": nibbles[k].tolist(),
+             "keys": int(b - a).to_bytes(4, "little") + exchange.pack(key[a:b], 0), "weights": weight[a:b].tobytes(),
+             "whole": float(whole[o]), "shared": float(shared[o])}
             for k, (o, a, b) in enumerate(zip(owner[starts], starts, ends, strict=True))], _SKETCH)
 
     answers = dealt.applyInArrow(ask, exchange.REQUEST).groupBy("shard").applyInArrow(answer, ANSWER)
@@ -178,22 +212,48 @@ def _similarities(pairs):
         yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(alike, pa.float64())], names=["u", "v", "similarity"])
 
 
-def _links(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
-    """Links of bucket members (``band``, ``bucket``, ``doc_id``) to the heads of their buckets."""
-    spark, found = members.sparkSession, None
+def _texts_joined(members: DataFrame, vectors: DataFrame, similarity: float, n_samples: int) -> DataFrame:
+    """``doc_id`` and ``root`` of the documents that links join to a smaller id.
+
+    ``members`` are rows of ``band``, ``bucket``, ``doc_id``, ``whole``, ``shared``, ``nibbles``. A round compares the heads of each bucket
+    with its members of other components, then takes the heads out of it, and joins components. So
+    every two members of a bucket are compared unless other links have joined them or their weights
+    rule the threshold out (what two documents have in common is at most the lesser ``shared``) or
+    their samples differ more often than is credible at the threshold. A bucket's first
+    head is one; their number grows fourfold by the round, so that rounds are few."""
+    u = vectors.select(F.col("doc_id").alias("u"), F.col("keys").alias("u_keys"), F.col("weights").alias("u_weights"))
+    v = vectors.select(F.col("doc_id").alias("v"), F.col("keys").alias("v_keys"), F.col("weights").alias("v_weights"))
+    members = members.withColumn("component", F.col("doc_id"))
+    roots, n_heads, bound = None, 1, most_unlike(n_samples, similarity)
+
+    def possible(common: Column, rest: Column) -> Column:
+        return common >= F.lit(similarity * (1 - 1e-5)) * rest
+
     while True:
-        heads = members.groupBy("band", "bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
-        open_ = materialize(members.join(heads.drop("last"), ["band", "bucket"]).where("doc_id > head"), "candidates")
-        u = vectors.select(F.col("doc_id").alias("u"), F.col("keys").alias("u_keys"), F.col("weights").alias("u_weights"))
-        v = vectors.select(F.col("doc_id").alias("v"), F.col("keys").alias("v_keys"), F.col("weights").alias("v_weights"))
-        pairs = open_.select(F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct()
-        checked = materialize(pairs.join(u, "u").join(v, "v").mapInArrow(_similarities, "u bigint, v bigint, similarity double"), "similarities")
-        alike = checked.where(F.col("similarity") >= similarity)
-        found = alike if found is None else found.union(alike)
-        failed = checked.where(F.col("similarity") < similarity).select(F.col("u").alias("doc_id"), F.col("v").alias("head"))
-        if failed.isEmpty():
-            return found
-        members = materialize(open_.join(failed.distinct(), ["doc_id", "head"]).drop("head"), "left-over")
+        lot = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1)) if roots is not None else F.col("doc_id")
+        buckets = members.groupBy("band", "bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(lot).alias("least"),
+            F.max("shared").alias("most"), F.min("whole").alias("lightest"))
+        drawn = (lot == F.col("least")) | ((lot < F.lit(float(1 << 32)) * n_heads / F.col("n")) if roots is not None else F.lit(False))
+        open_ = members.join(buckets.where("low < high"), ["band", "bucket"])
+        common = F.least("shared", "most")
+        open_ = open_.where(possible(common, F.col("whole") + F.greatest(F.col("lightest") - common, F.lit(0.0))))
+        open_ = materialize(open_.select("band", "bucket", "doc_id", "whole", "shared", "nibbles", "component", drawn.alias("is_head")), "open-buckets")
+        if open_.isEmpty():
+            return roots
+        own = ("doc_id", "component", "whole", "shared", "nibbles")
+        heads = open_.where("is_head").select("band", "bucket", *[F.col(c).alias("head" if c == "doc_id" else f"head_{c}") for c in own])
+        common = F.least("shared", "head_shared")
+        pairs = open_.join(heads, ["band", "bucket"]).where(
+            (F.col("component") != F.col("head_component")) & possible(common, F.col("whole") + F.col("head_whole") - common)
+            & (unlike("nibbles", "head_nibbles") <= F.lit(bound)))
+        pairs = pairs.select(F.greatest("doc_id", "head").alias("u"), F.least("doc_id", "head").alias("v")).distinct()
+        checked = pairs.join(u, "u").join(v, "v").mapInArrow(_similarities, "u bigint, v bigint, similarity double")
+        links = materialize(checked.where(F.col("similarity") >= similarity).select("u", "v"), "links")
+        roots = component_of(links if roots is None else links.union(roots.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))))
+        roots = roots.withColumnRenamed("node", "doc_id")
+        members = open_.where("NOT is_head").join(roots, "doc_id", "left").select("band", "bucket", "doc_id", "whole", "shared", "nibbles", F.coalesce("root", "doc_id").alias("component"))
+        n_heads *= 4
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,8 +268,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     copies = materialize(every.select("doc_id", "digest").join(first, "digest").select("doc_id", "first_id"), "copies")
     distinct = every.join(first.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"], "left_semi")
     vectors = materialize(distinct.dropDuplicates(["doc_id", "digest"]), "distinct-texts")
-    members = vectors.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    links = _links(members, vectors.select("doc_id", "keys", "weights"), similarity)
-    links = links.select("u", "v").union(copies.where("doc_id <> first_id").select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")))
-    roots = component_of(links)
-    return docs.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    members = vectors.select("doc_id", "whole", "shared", "nibbles", F.posexplode("bands").alias("band", "bucket"))
+    roots = _texts_joined(members, vectors.select("doc_id", "keys", "weights"), similarity, max(SAMPLES, bands * rows))
+    found = copies if roots is None else copies.join(roots.withColumnRenamed("doc_id", "first_id"), "first_id", "left")
+    root = F.col("first_id") if roots is None else F.coalesce("root", "first_id")
+    classes = found.groupBy("doc_id").agg(F.min(root).alias("class"))
+    return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
