@@ -33,7 +33,7 @@ def _encoded(path: str, pre_tokens: list[str]) -> Iterator[bytes]:
 
 def _memo(path: str) -> Memo:
     if path not in _MEMOS:
-        _MEMOS[path] = Memo(lambda pre_tokens: _encoded(path, pre_tokens), most=250_000)
+        _MEMOS[path] = Memo(lambda pre_tokens: _encoded(path, pre_tokens), most=500_000)
     return _MEMOS[path]
 
 
