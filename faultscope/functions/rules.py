@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultscope.functions.text import ensure_str
+from faultscope.functions.text import OUTER_SPACE, ensure_str
 
 # Device patterns and their type names, in rule order.
 DEVICE_RULES = [
@@ -101,8 +101,8 @@ def critical_by_words(cleaned: Column, folded: bool = False) -> Column:
 
 
 def critical_by_event_type(event_type: Column, critical: list[str] = CRITICAL_EVENT_TYPES, trim: bool = True) -> Column:
-    """1 when the event type is in the critical set, ignoring case; null counts as 0."""
-    name = F.lower(F.trim(event_type) if trim else event_type)
+    """1 when the event type is in the critical set, ignoring case and outer white space; null counts as 0."""
+    name = F.lower(F.regexp_replace(event_type, OUTER_SPACE, "") if trim else event_type)
     return F.coalesce(name.isin(critical), F.lit(False)).cast("int")
 
 

@@ -100,7 +100,7 @@ def guess_language(c: Column) -> Column:
     return F.when(hits(ENGLISH_STOPS) > hits(FRENCH_STOPS), "en").otherwise("fr")
 
 
-def clip_text(c: Column, max_chars: int | None = 12000) -> Column:
+def clip_text(c: Column, max_chars: int | None = None) -> Column:
     """Without NUL characters and outer white space, at most ``max_chars`` long (None: whole)."""
     bare = F.regexp_replace(F.replace(ensure_str(c), F.lit("\x00"), F.lit("")), OUTER_SPACE, "")
     return bare if max_chars is None else F.substring(bare, 1, max_chars)

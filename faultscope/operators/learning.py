@@ -157,17 +157,11 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-_LOADED: dict[tuple[str, str], PipelineModel] = {}
-
-
 def load_model(spark: SparkSession, path: str, fallback: str | None = None) -> PipelineModel:
-    """A saved model, read once per application; ``fallback`` is tried when the path has none."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _LOADED:
-        try:
-            _LOADED[key] = PipelineModel.load(path)
-        except Exception:
-            if fallback is None:
-                raise
-            _LOADED[key] = PipelineModel.load(fallback)
-    return _LOADED[key]
+    """The model saved last at a path; ``fallback`` is tried when the path has none."""
+    try:
+        return PipelineModel.load(path)
+    except Exception:
+        if fallback is None:
+            raise
+        return PipelineModel.load(fallback)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.functions.rules import OTHER_TYPE, device_type
-from faultscope.functions.text import clean_text, clip_text, ensure_str, guess_language
+from faultscope.functions.text import OUTER_SPACE, clean_text, clip_text, ensure_str, guess_language
 from faultscope.operators.learning import model_vocabulary, score_texts
 from faultscope.operators.prepare import drop_blank
 from faultscope.operators.tfidf import add_grams, count_terms, keyword_lists, top_keywords
@@ -32,7 +32,7 @@ def translate_if_needed(
     whole = ensure_str(F.col(text))
     fixed = LANGUAGE_CHOICES[choice]
     source = guess_language(whole) if fixed is None else F.lit(fixed)
-    blank = F.trim(whole) == ""
+    blank = F.regexp_replace(whole, OUTER_SPACE, "") == ""
     df = df.withColumn("src_lang", F.when(blank, "fr").otherwise(source))
     if translator is None or not force:
         return df.withColumn("model_text", whole).withColumn("translated", F.lit(0))
@@ -76,7 +76,7 @@ def predict(
 
 def score_documents(
     documents: DataFrame, model: PipelineModel, name: str, text: str, source: str = "doc", choice: str = "Auto",
-    force: bool = True, translator: Translator | None = None, max_chars: int | None = 12000, k: int = 15,
+    force: bool = True, translator: Translator | None = None, max_chars: int | None = None, k: int = 15,
     threshold: float = 0.5, model_type: str = "TFIDF", compat_language: bool = False,
 ) -> DataFrame:
     """Predictions ready for ``history_rows``: clean-up, translation policy, score, device type and

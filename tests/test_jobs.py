@@ -106,3 +106,16 @@ def test_stream_scoring(spark, tmp_path, model):
     got = {r["file_name"]: (r["label"], r["ts"]) for r in h.read_history(spark, out).collect()}
     assert got == {n: ("Critique" if "fire" in t else "Pas critique", ts.strftime("%Y-%m-%dT%H:%M:%SZ")) for n, t, ts in rows}
     assert h.read_history(spark, out).select("run").distinct().count() == 2
+
+
+def test_streams_share_a_history_and_repeated_names_stay_single(spark, model, tmp_path):
+    history_path = str(tmp_path / "history")
+    schema = "name string, text string, ts timestamp"
+    for k, rows in enumerate(([("same", "pump failure alarm", "2024-01-01 10:00:00"), ("same", "screen works well", "2024-01-01 11:00:00")], [("n2", "pump stopped", "2024-01-01 12:00:00")])):
+        folder = str(tmp_path / f"in{k}")
+        spark.createDataFrame(rows, "name string, text string, ts string").selectExpr("name", "text", "CAST(ts AS timestamp) AS ts").write.parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        jobs.score_stream(stream, model, "name", "text", "ts", history_path, str(tmp_path / f"checkpoint{k}")).awaitTermination()
+    stored = spark.read.parquet(history_path).collect()
+    assert sorted(row.file_name for row in stored) == ["n2", "same", "same"] and len({row.id for row in stored}) == 3
+    assert len({row.ts for row in stored}) == 3

@@ -57,3 +57,7 @@ def test_recommendation(column):
 
 def test_maintenance_hours(column):
     assert column(r.maintenance_hours, ["IRM", "Brancard", None]) == [2000, 1000, 1000]
+
+
+def test_event_type_ignores_all_outer_white_space(column):
+    assert column(r.critical_by_event_type, ["\tDeath\n", " injury ", "Other", None]) == [1, 1, 0, 0]
