@@ -16,8 +16,12 @@ def _ratio(top: Column, bottom: Column, undefined: float = 0.0) -> Column:
 def scores_with_totals(scored: DataFrame, label: str, score: str) -> DataFrame:
     """One row per distinct score with positives and negatives, and how many of each score at
     least as high. Ties are aggregated first, so a score shared by many rows is one row. The
-    aggregate is written once, as it is read for the cuts, the offsets and the totals."""
-    per_score = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
+    aggregate is written once, as it is read for the cuts, the offsets and the totals. A null or
+    NaN score is an error."""
+    value = F.col(score).cast("double")
+    known = F.when(value.isNotNull() & ~F.isnan(value), value).otherwise(
+        F.raise_error(F.lit(f"{score} holds null or NaN")).cast("double"))
+    per_score = scored.groupBy(known.alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     return running_totals(materialize(per_score, "scores"), "score", ["pos", "neg"])
 

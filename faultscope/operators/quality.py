@@ -77,18 +77,18 @@ def report_to_json(report: DataFrame, file_md5: str | None = None) -> str:
 
 
 def report_to_markdown(report_json: str) -> str:
+    """A table of the single figures, then one table for each section of counts."""
     doc = json.loads(report_json)
-    lines = [
-        "# Data quality",
-        f"- Rows: **{doc['rows']}**, columns: **{doc['cols']}**",
-        f"- Duplicates: **{doc['dup_rows']}**",
-        f"- Label balance: **{doc.get('class_balance', {})}**",
-        f"- Top event types: **{doc.get('top_event_type', {})}**",
-        f"- Nulls by column: `{doc.get('nulls_by_col', {})}`",
-    ]
-    if "file_md5" in doc:
-        lines.append(f"- MD5: `{doc['file_md5']}`")
-    return "\n".join(lines) + "\n"
+    tables = {section: value for section, value in doc.items() if isinstance(value, dict)}
+    single = {section: value for section, value in doc.items() if section not in tables}
+    blocks = [_markdown_table("section", single)]
+    blocks += [f"## {section}\n\n" + _markdown_table("item", counts) for section, counts in tables.items()]
+    return "\n\n".join(blocks) + "\n"
+
+
+def _markdown_table(head: str, values: dict) -> str:
+    rows = [(head, "value"), ("---", "---:"), *values.items()]
+    return "\n".join(f"| {str(name).replace('|', '&#124;')} | {value} |" for name, value in rows)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -106,18 +106,24 @@ def missing_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> li
 
 def length_stats(df: DataFrame, text: str = "event_text", label: str = "label") -> DataFrame:
     """Rows, text lengths (exact, linearly interpolated, whole characters) and mean label."""
-    return df.select(F.char_length(text).alias("len"), F.col(label).alias("label")).agg(*_stats())
+    lengths = df.select(F.char_length(text).alias("len"), F.col(label).alias("label")).groupBy("len").agg(*_sums())
+    return lengths.agg(*_stats())
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"), F.count("label").alias("label_n")]
 
 
 def _stats() -> list[Column]:
-    percentile = F.percentile("len", F.array(F.lit(0.5), F.lit(0.95)))
+    """Over rows that stand for ``n`` texts of one length each."""
+    percentile = F.percentile("len", F.array(F.lit(0.5), F.lit(0.95)), F.col("n"))
     return [
-        F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.min("len").alias("len_min"),
         percentile[0].cast("int").alias("len_p50"),
         percentile[1].cast("int").alias("len_p95"),
         F.max("len").alias("len_max"),
-        F.avg("label").alias("label_ratio"),
+        F.try_divide(F.sum("label_sum"), F.sum("label_n")).alias("label_ratio"),
     ]
 
 
@@ -129,16 +135,24 @@ def dataset_gate(df: DataFrame, text: str = "event_text", label: str = "label")
     absent = missing_columns(df, [text, label])
     if absent:
         failed = F.array(F.lit("missing columns: " + ", ".join(absent)))
+        unknown = {"null_texts": "bigint", "bad_labels": "bigint", "dup_texts": "bigint", "n_rows": "bigint",
+                   "len_min": "int", "len_p50": "int", "len_p95": "int", "len_max": "int", "label_ratio": "double"}
         return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(False).alias("passed"), failed.alias("failed_checks"), "n_rows")
+            F.lit(False).alias("passed"), failed.alias("failed_checks"),
+            *[F.col(c) if c == "n_rows" else F.lit(None).cast(t).alias(c) for c, t in unknown.items()])
     bad = F.col("label").isNull() | ~F.col("label").isin(0, 1)
     measured = df.select(
         F.char_length(text).alias("len"), F.col(label).alias("label"),
         F.coalesce(F.sha2(F.col(text), 256), F.lit("-")).alias("digest"),
-    ).agg(
-        F.count_if(F.col("len").isNull()).alias("null_texts"),
-        F.count_if(bad).alias("bad_labels"),
-        (F.count(F.lit(1)) - F.count_distinct("digest")).alias("dup_texts"),
+    )
+    # One row per distinct text, then one per length: what the last aggregate sees is small.
+    texts = measured.groupBy("digest").agg(F.first("len").alias("len"), F.count_if(bad).alias("bad"), *_sums())
+    lengths = texts.groupBy("len").agg(
+        F.sum("bad").alias("bad"), (F.sum("n") - F.count(F.lit(1))).alias("dup"),
+        *[F.sum(c).alias(c) for c in ("n", "label_sum", "label_n")])
+    measured = lengths.agg(
+        F.coalesce(F.sum(F.when(F.col("len").isNull(), F.col("n"))), F.lit(0)).alias("null_texts"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_labels"), F.coalesce(F.sum("dup"), F.lit(0)).alias("dup_texts"),
         *_stats(),
     )
     checks = F.array_compact(F.array(

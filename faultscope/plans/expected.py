@@ -50,7 +50,7 @@ HOURS = "CASE equipment " + " ".join(f"WHEN {_quoted(e)} THEN {h}" for e, h in M
 MIXED = """
 SELECT doc_id, CASE WHEN lang = 'en' THEN trim(text, chr(9) || chr(10) || chr(13) || ' ')
                     WHEN lang = 'fr' THEN trim(text, chr(9) || chr(10) || chr(13) || ' ')
-                    ELSE concat_ws(' ', source, lang, nullif(trim(etype), ''), CAST(n_chars AS VARCHAR)) END AS event_text,
+                    ELSE concat_ws(' ', source, lang, nullif(trim(text, chr(9) || chr(10) || chr(13) || ' '), ''), nullif(trim(etype), ''), CAST(n_chars AS VARCHAR)) END AS event_text,
        etype, n_chars, lang
 FROM (SELECT *, CASE source WHEN 'src0' THEN ' Death' WHEN 'src1' THEN 'INJURY ' WHEN 'src2' THEN 'Malfunction' END AS etype
       FROM documents)"""
@@ -105,14 +105,16 @@ fit AS (SELECT {g} regr_slope(n, x) AS s, regr_intercept(n, x) AS i, max(month)
 SELECT {g} CAST(last + to_months(CAST(step AS INTEGER)) AS DATE) AS month, round(greatest(0.0, i + s * (c + step - 1)), 4) AS incidents
 FROM fit, (SELECT unnest([1, 2, 3]) AS step)"""
 
-TERMS = f"""
+ALL_TERMS = f"""
 WITH cleaned AS (SELECT doc_id, list_filter(string_split({_clean('text')}, ' '), lambda w: length(w) >= 2) AS w FROM documents),
 grams AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM cleaned),
 postings AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
 vocabulary AS (
   SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf
-  FROM postings GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 20000),
+  FROM postings GROUP BY term {{limit}}),
 weights AS (SELECT doc_id, term, tf * idf AS weight FROM postings JOIN vocabulary USING (term))"""
+TERMS = ALL_TERMS.format(limit="")
+FULL_TERMS = ALL_TERMS.format(limit="HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 20000")
 
 SIMILAR = TERMS + f""",
 qclean AS (SELECT item_id, list_filter(string_split({_clean('text')}, ' '), lambda w: length(w) >= 2) AS w FROM benchmark),
@@ -276,14 +278,15 @@ SELECT coalesce(nullif(event_type, 'signup'), 'nan') AS value, count(*) AS n FRO
     "stratified_split": _split("labels", "doc_id", "quality"),
     "plain_split": _split("orders", "o_orderkey", None),
     "training_sample": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY md5('42:' || o_orderkey) LIMIT 4000",
-    "term_vocabulary": TERMS + " SELECT term, df, cf, round(idf, 6) AS idf FROM vocabulary",
+    "term_vocabulary": FULL_TERMS + " SELECT term, df, cf, round(idf, 6) AS idf FROM vocabulary",
+    "whole_vocabulary": TERMS + " SELECT term, df, cf, round(idf, 6) AS idf FROM vocabulary",
     "document_norms": TERMS + " SELECT doc_id, count(*) AS n_terms, round(sqrt(sum(weight * weight)), 5) AS norm FROM weights GROUP BY 1",
     "tfidf_keywords": TERMS + """,
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM weights)
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, term AS word, round(100 * weight / sum(weight) OVER (PARTITION BY doc_id), 1) AS pct FROM top WHERE rank <= 15""",
     "similar_cases": SIMILAR + " SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(similarity, 5) AS similarity FROM ranked WHERE rank <= 10",
     "similar_case_view": SIMILAR + """
-SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, source AS date, lang AS detected_type,
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(100 * similarity, 1) AS similarity_pct, source AS date, lang AS detected_type,
        CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '…' ELSE text END AS excerpt
 FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5""",
     "score_metrics": METRICS,
@@ -294,10 +297,11 @@ SELECT doc_id, CASE WHEN proba >= 0.5 THEN 'Critique' ELSE 'Pas critique' END AS
     "confusion": f"""
 SELECT t.k AS label, p.k AS pred, count(doc_id) AS n FROM (VALUES (0), (1)) t(k), (VALUES (0), (1)) p(k)
 LEFT JOIN {SCORED} s ON s.label = t.k AND s.pred = p.k GROUP BY 1, 2""",
-    "roc_points": CURVE + " SELECT round(proba, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM t",
+    "roc_points": CURVE + " SELECT round(proba, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM t UNION ALL SELECT NULL, 0.0, 0.0",
     "roc_points_plotted": CURVE + """
 SELECT round(proba, 6) AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM t
-WHERE rn = 1 OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg""",
+WHERE rn = 1 OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg
+UNION ALL SELECT NULL, 0.0, 0.0""",
     "pr_points": CURVE + """
 SELECT round(proba, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall FROM t
 UNION ALL SELECT NULL, 1.0, 0.0""",

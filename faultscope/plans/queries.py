@@ -19,8 +19,6 @@ from faultscope.sources import documents, history, tables
 from faultscope.streaming import jobs
 
 COLLECTION = dict(keywords=["blue bolt", "widget", "economy"], start="1996-01-01", end="1999-12-31", max_records=150, page=100)
-HEAD_TERMS = 20_000
-FOREST_QUERY = learning.Preset(classifier="rf", min_df=2, max_features=500)
 
 
 # ---- text and rules
@@ -113,6 +111,7 @@ def _mixed_columns(spark, sf):
         F.when(F.col("lang") == "fr", F.concat(F.lit(" \n"), "text", F.lit("\t"))).alias("Narrative"),
         F.lit("  ").alias("Summary"),
         "source", "lang",
+        F.when(~F.col("lang").isin("en", "fr"), F.concat(F.lit("\n "), "text")).alias("Remarks"),
         F.when(F.col("source") == "src0", " Death").when(F.col("source") == "src1", "INJURY ").when(
             F.col("source") == "src2", "Malfunction").alias("EVENT_TYPE"),
         F.col("n_chars").cast("string").alias("Report_Date"),
@@ -288,13 +287,19 @@ def training_sample(spark, sf):
 
 # ---- TF-IDF and similarity
 
-def _vocabulary(spark, sf, ngrams=(1, 2)):
+def _vocabulary(spark, sf, ngrams=(1, 2), min_df=1, max_features=None):
     docs = texts(spark, sf).select("doc_id", "text")
     postings = tfidf.count_terms(tfidf.add_grams(docs, "text", ngrams), "doc_id")
-    return postings, tfidf.fit_vocabulary(postings, docs.count(), min_df=2, max_features=HEAD_TERMS)
+    return postings, tfidf.fit_vocabulary(postings, docs.count(), min_df=min_df, max_features=max_features)
 
 
 def term_vocabulary(spark, sf):
+    """The vocabulary of a preset; ``whole_vocabulary`` has no limit."""
+    return _vocabulary(spark, sf, min_df=learning.FULL.min_df, max_features=learning.FULL.max_features)[1].withColumn(
+        "idf", F.round("idf", 6))
+
+
+def whole_vocabulary(spark, sf):
     return _vocabulary(spark, sf)[1].withColumn("idf", F.round("idf", 6))
 
 
@@ -316,7 +321,7 @@ def similar_case_view(spark, sf):
     _, vocabulary = _vocabulary(spark, sf)
     docs = texts(spark, sf).select("doc_id", "text", F.col("lang").alias("TypeDetecte"), F.col("source").alias("date_received"))
     cases = similarity.similar_cases(docs, table(spark, sf, "benchmark"), vocabulary, k=5)
-    return similarity.similar_case_view(cases, docs, "doc_id", "item_id", "text").drop("similarity_pct")
+    return similarity.similar_case_view(cases, docs, "doc_id", "item_id", "text")
 
 
 # ---- models
@@ -338,7 +343,7 @@ def train_eval_logreg(spark, sf):
 
 def train_eval_forest(spark, sf):
     train, test = _split_documents(spark, sf)
-    model = learning.train_text_classifier(train, "event_text", "label", "doc_id", FOREST_QUERY)
+    model = learning.train_text_classifier(train, "event_text", "label", "doc_id", learning.FULL_FOREST)
     return evaluation.class_report(learning.score_texts(test, model, "event_text")).select(
         "class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 
@@ -351,7 +356,7 @@ def embedding_classifier(spark, sf):
 
 
 def _quick_model(spark, sf):
-    return learning.train_text_classifier(labelled_documents(spark, sf), "event_text", "label", "doc_id", learning.Preset(max_features=5000))
+    return learning.train_text_classifier(labelled_documents(spark, sf), "event_text", "label", "doc_id", learning.MINIMAL)
 
 
 def predict_texts(spark, sf):
@@ -388,14 +393,20 @@ def confusion(spark, sf):
     return evaluation.confusion(scored_documents(spark, sf))
 
 
+def _curve(points):
+    """Rounded points; the start above every score has a null threshold."""
+    threshold = F.when(F.col("threshold") < float("inf"), F.round("threshold", 6)).alias("threshold")
+    return points.select(threshold, F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
 def roc_points(spark, sf):
-    points = evaluation.roc_points(scored_documents(spark, sf), drop_intermediate=False).filter(F.col("threshold") < float("inf"))
-    return points.select(F.round("threshold", 6).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    points = evaluation.roc_points(scored_documents(spark, sf), drop_intermediate=False)
+    return _curve(points)
 
 
 def roc_points_plotted(spark, sf):
-    points = evaluation.roc_points(scored_documents(spark, sf)).filter(F.col("threshold") < float("inf"))
-    return points.select(F.round("threshold", 6).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    points = evaluation.roc_points(scored_documents(spark, sf))
+    return _curve(points)
 
 
 def pr_points(spark, sf):
@@ -431,7 +442,7 @@ def unreadable_trace(spark, sf):
 
 def document_scoring(spark, sf):
     model = _quick_model(spark, sf)
-    files = documents.extract_text(uploaded_files(spark, sf).filter(F.col("name").endswith(".HTML")), "name", "content")
+    files = documents.extract_text(uploaded_files(spark, sf), "name", "content")
     scored = scoring.score_documents(files, model, "name", "text", max_chars=None)
     path = scratch_path(spark, "history")
     history.append_history(history.history_rows(scored, "docs", F.lit("2024-01-01 00:00:00").cast("timestamp"), ["file_name"]), path)
@@ -549,7 +560,7 @@ QUERIES = {
         dataset_fingerprint, file_checksums, dataset_gate, dataset_gate_labelled, length_stats, monthly_counts,
         monthly_counts_of_type, severity_filter, top_values_with_missing, top_values_present, facet_values, kpis,
         forecast_by_status, forecast_total, date_parse, preview, stratified_split, plain_split, training_sample,
-        term_vocabulary, document_norms, tfidf_keywords, similar_cases, similar_case_view, train_eval_logreg,
+        term_vocabulary, whole_vocabulary, document_norms, tfidf_keywords, similar_cases, similar_case_view, train_eval_logreg,
         train_eval_forest, embedding_classifier, predict_texts, score_metrics, decision_and_confidence, metrics_record, confusion, roc_points,
         roc_points_plotted, pr_points, class_report, html_text, file_text, unreadable_trace, document_scoring,
         keyword_export, history_recent, history_search, history_view, csv_round_trip, kept_table, report_documents, event_archive_round_trip,

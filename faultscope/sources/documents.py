@@ -26,7 +26,8 @@ HIDDEN_PARTS = (
     r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
     r"|<template\b.*?(?:</template\s*>|\z)|<rt\b.*?(?:</rt\s*>|\z)|<rp\b.*?(?:</rp\s*>|\z)"
 )
-TAGS = r"""(?s)</?[a-zA-Z][^<>'"]*+(?:(?:"[^"]*+"|'[^']*+')[^<>'"]*+)*+>|<[!?][^>]*+>"""
+# a tag with an unpaired quote ends at the next ``>``.
+TAGS = r"""(?s)</?[a-zA-Z](?:[^<>'"]*+(?:(?:"[^"]*+"|'[^']*+')[^<>'"]*+)*+|[^<>]*+)>|<[!?][^>]*+>"""
 # Entities decoded as plain replacements; ``&amp;`` comes last so that nothing is decoded twice.
 COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
                    ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]

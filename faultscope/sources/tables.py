@@ -95,16 +95,15 @@ def read_texts(spark: SparkSession, path: str, row_id: str) -> DataFrame:
 
 
 def load_main_dataset(
-    spark: SparkSession, processed: list[str], raw: list[str], max_rows: int | None = None, required: bool = False
+    spark: SparkSession, processed: list[str], raw: list[str], required: bool = False
 ) -> DataFrame:
     """The first processed table with rows, else the first raw one, else an empty processed table.
 
-    ``max_rows`` limits what is shown interactively and is off by default; ``required`` raises
-    when there is nothing."""
+    ``required`` raises when there is nothing."""
     for path in [*processed, *raw]:
         df = read_table(spark, path)
         if df is not None:
-            return df if max_rows is None else df.limit(max_rows)
+            return df
     if required:
         raise FileNotFoundError(f"no table with rows among {[*processed, *raw]}")
     return spark.createDataFrame([], PROCESSED_SCHEMA)

@@ -163,3 +163,9 @@ def test_confusion_and_report(spark):
     assert rep["0"]["precision"] == 0.5 and rep["accuracy"]["f1"] == 0.75
     assert abs(rep["weighted avg"]["precision"] - (0.5 * 1 + 1 * 3) / 4) < 1e-12
     assert abs(rep["macro avg"]["recall"] - (1 + 2 / 3) / 2) < 1e-12
+
+
+@pytest.mark.parametrize("wrong", [None, float("nan")])
+def test_missing_scores_are_an_error(spark, wrong):
+    with pytest.raises(Exception, match="null or NaN"):
+        ev.binary_metrics(scored(spark, [(1, 0.5), (0, wrong)])).collect()

@@ -30,7 +30,7 @@ def test_report_documents(spark):
     assert doc["rows"] == 6 and doc["cols"] == 3 and doc["dup_rows"] == 2 and doc["file_md5"] == "abc"
     assert doc["class_balance"] == {"1": 2, "0": 2, "2": 1, "nan": 1}
     assert doc["top_event_type"] == {"x": 3, "y": 1}
-    assert "**6**" in q.report_to_markdown(json.dumps(doc))
+    assert "| rows | 6 |" in q.report_to_markdown(json.dumps(doc))
 
 
 def test_fingerprint_ignores_order(spark):
@@ -47,6 +47,9 @@ def test_gate(spark):
     assert (good["len_min"], good["len_p50"], good["len_p95"], good["len_max"]) == (3, 3, 5, 6)
     absent = q.dataset_gate(frame(spark).drop("label")).first()
     assert not absent["passed"] and absent["failed_checks"] == ["missing columns: label"]
+    assert absent.__fields__ == good.__fields__ and absent["len_max"] is None
+    empty = q.dataset_gate(frame(spark).limit(0)).first()
+    assert empty["passed"] and empty["n_rows"] == 0 and empty["label_ratio"] is None
 
 
 def test_value_counts(spark):
