@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
@@ -128,15 +129,31 @@ def _log_ratio(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
 
 def fit(rows: list[tuple[str, int]]) -> dict:
     """The model of labelled texts as plain values. Copies of a text count once, near copies nearly so."""
-    toxic = {frozenset(WORD.findall(t.lower())): t for t, label in rows if label == 1}
-    clean = {frozenset(WORD.findall(t.lower())): t for t, label in rows if label == 0}
+    names: list[str] = []
+    numbers: dict[str, int] = {}
+
+    def word_set(text: str) -> bytes:
+        """The distinct words as packed numbers, as sets of strings would take many times the room."""
+        found = array("q")
+        for w in set(WORD.findall(text.lower())):
+            if w not in numbers:
+                numbers[w] = len(names)
+                names.append(w)
+            found.append(numbers[w])
+        return array("q", sorted(found)).tobytes()
+
+    def words_of(packed: bytes) -> list[str]:
+        return [names[i] for i in array("q", packed)]
+
+    toxic = {word_set(t): t for t, label in rows if label == 1}
+    clean = {word_set(t): t for t, label in rows if label == 0}
     toxic = {k: t for k, t in toxic.items() if k not in clean}
     n_pos, n_neg = len(toxic), len(clean)
     model = {"prior": math.log((n_pos + 0.5) / (n_neg + 1.5)), "terms": [], "weights": [], "fuzzy": [], "known": {}, "quoted": QUOTED_PART}
     if not n_pos or not n_neg:
         return model
     votes, prefix_votes, forms = defaultdict(set), defaultdict(set), defaultdict(set)
-    for words in toxic:
+    for words in map(words_of, toxic):
         if not words:
             continue
         vote = min(crc32(w.encode()) for w in words)
@@ -152,7 +169,7 @@ def fit(rows: list[tuple[str, int]]) -> dict:
         p for p, v in prefix_votes.items()
         if len(v) >= needed and len(forms[p]) >= 3 and len(v - votes[max(forms[p], key=lambda w: (len(votes[w]), w))]) >= needed / 2}
     against, stem_against = defaultdict(int), defaultdict(int)
-    for words in clean:
+    for words in map(words_of, clean):
         for w in words:
             if w in words_left:
                 against[w] += 1
@@ -168,7 +185,7 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     automaton, near = Automaton(entries), {}
     seen = defaultdict(lambda: [0, 0])
     for group, side in ((toxic, 0), (clean, 1)):
-        for words in group:
+        for words in map(words_of, group):
             for w in words:
                 if w not in near:
                     near[w] = automaton.nearest(w)
