@@ -18,7 +18,8 @@ import math
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import md5
 from zlib import crc32
 
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from faultscope.llm.common import whole_texts
+from faultscope.session import materialize
 
 WORD = re.compile(r"\w+")
 SAMPLE_ROWS = 12_000
@@ -127,29 +129,56 @@ def _log_ratio(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
     return math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
 
 
+def word_list(text: str) -> str:
+    """The distinct words of a text, in order; copies and nearly all near copies differ little in it."""
+    return " ".join(sorted(set(WORD.findall(text.lower()))))
+
+
 def fit(rows: list[tuple[str, int]]) -> dict:
-    """The model of labelled texts as plain values. Copies of a text count once, near copies nearly so."""
+    """The model of labelled texts as plain values. Texts of the same words count once, as clean if one is."""
+    rows = [(text, label) for text, label in rows if label in (0, 1)]
+    sets: dict[str, int] = {}
+    for text, label in rows:
+        words = word_list(text)
+        sets[words] = min(sets.get(words, 1), label)
+    model = learn_words(sets.items())
+    scorer, marks = Scorer(model), {}
+    for text, label in rows:
+        words, mark = word_list(text), (label, scorer.only_quoted(text))
+        marks[words] = min(marks.get(words, mark), mark)
+    quotations = [label for label, only in marks.values() if only]
+    return with_quotations(model, sum(quotations), len(quotations) - sum(quotations))
+
+
+def with_quotations(model: dict, toxic: int, clean: int) -> dict:
+    """The model with the part that a quoted hit counts, from the texts whose hits are all quoted."""
+    if not model["weights"]:
+        return model
+    own = _log_ratio(toxic, clean, *model["texts"]) / max(model["weights"])
+    n = toxic + clean
+    return model | {"quoted": min(1.0, max(0.0, (PRIOR_DOCS * QUOTED_PART + n * own) / (PRIOR_DOCS + n)))}
+
+
+def learn_words(rows: Iterable[tuple[str, int]]) -> dict:
+    """The lexicon and its weights from different word lists. They are read once and kept as packed numbers."""
     names: list[str] = []
     numbers: dict[str, int] = {}
-
-    def word_set(text: str) -> bytes:
-        """The distinct words as packed numbers, as sets of strings would take many times the room."""
-        found = array("q")
-        for w in set(WORD.findall(text.lower())):
+    toxic: list[bytes] = []
+    clean: list[bytes] = []
+    for listed, label in rows:
+        found = array("I")
+        for w in listed.split(" ") if listed else []:
             if w not in numbers:
                 numbers[w] = len(names)
                 names.append(w)
             found.append(numbers[w])
-        return array("q", sorted(found)).tobytes()
+        (toxic if label == 1 else clean).append(found.tobytes())
 
     def words_of(packed: bytes) -> list[str]:
-        return [names[i] for i in array("q", packed)]
+        return [names[i] for i in array("I", packed)]
 
-    toxic = {word_set(t): t for t, label in rows if label == 1}
-    clean = {word_set(t): t for t, label in rows if label == 0}
-    toxic = {k: t for k, t in toxic.items() if k not in clean}
     n_pos, n_neg = len(toxic), len(clean)
-    model = {"prior": math.log((n_pos + 0.5) / (n_neg + 1.5)), "terms": [], "weights": [], "fuzzy": [], "known": {}, "quoted": QUOTED_PART}
+    model = {"prior": math.log((n_pos + 0.5) / (n_neg + 1.5)), "terms": [], "weights": [], "fuzzy": [], "known": {}, "quoted": QUOTED_PART, "texts": [n_pos, n_neg]}
     if not n_pos or not n_neg:
         return model
     votes, prefix_votes, forms = defaultdict(set), defaultdict(set), defaultdict(set)
@@ -198,15 +227,6 @@ def fit(rows: list[tuple[str, int]]) -> dict:
         if neg:
             model["known"][w] = min(_log_ratio(pos, neg, n_pos, n_neg), model["weights"][near[w][0]])
     model["fuzzy"] = [(PRIOR_DOCS * FUZZY_WEIGHT + (p + n) * _log_ratio(p, n, n_pos, n_neg)) / (PRIOR_DOCS + p + n) for p, n in fuzzy]
-    scorer = Scorer(model)
-    quoted = [0, 0]
-    for group, side in ((toxic, 0), (clean, 1)):
-        for text in group.values():
-            hits = scorer.hits(text)
-            quoted[side] += bool(hits) and all(h[2] for h in hits)
-    own = _log_ratio(*quoted, n_pos, n_neg) / max(model["weights"], default=1.0)
-    n_quoted = sum(quoted)
-    model["quoted"] = min(1.0, max(0.0, (PRIOR_DOCS * QUOTED_PART + n_quoted * own) / (PRIOR_DOCS + n_quoted)))
     return model
 
 
@@ -239,6 +259,10 @@ class Scorer:
             return []
         return [(*known[m[0]], quoted(low, m.start(), m.end())) for m in WORD.finditer(low) if m[0] in found]
 
+    def only_quoted(self, text: str) -> bool:
+        hits = self.hits(text)
+        return bool(hits) and all(h[2] for h in hits)
+
     def score(self, text: str) -> float:
         best: dict[int, float] = {}
         for entry, weight, in_quotes in self.hits(text):
@@ -268,19 +292,41 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> dict:
     """The model of at most ``rows`` labelled documents that are not held out, drawn by hash of id.
 
-    Null labels are left out; of several labels of an id the largest holds. The sample is bounded, so
-    it may be one task's; only the small model comes to the driver."""
+    Null labels are left out; of several labels of an id the largest holds. The sample is bounded and
+    written once. Its texts stay where they are: tasks send their distinct words on, which one task learns
+    from, and later whether all hits are quoted. Only the small model and two counts come to the driver."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = whole_texts(docs, doc_id, text).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    sample = materialize(sample, "toxicity-sample")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [pair for b in batches for pair in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"model": [json.dumps(fit(sorted(seen)))]})
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([word_list(t.as_py()) for t in b["text"]], pa.string()), b["toxic"]], ["words", "toxic"])
 
-    found = sample.repartition(1).mapInArrow(learn, "model string").first()
-    return json.loads(found["model"]) if found else fit([])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = learn_words((w.as_py(), label.as_py()) for b in batches for w, label in zip(b["words"], b["toxic"], strict=True))
+        yield pa.RecordBatch.from_pydict({"model": [json.dumps(model)]})
+
+    words = sample.mapInArrow(lists, "words string, toxic int").groupBy("words").agg(F.min("toxic").alias("toxic"))
+    found = words.repartition(1).mapInArrow(learn, "model string").first()
+    if not found:
+        return fit([])
+    model = json.loads(found["model"])
+
+    def quotations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            texts = b["text"].to_pylist()
+            keys = pa.array([md5(word_list(t).encode()).digest() for t in texts], pa.binary())
+            only = pa.array([scorer.only_quoted(t) for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([keys, b["toxic"], only], ["words", "toxic", "only_quoted"])
+
+    marks = sample.mapInArrow(quotations, "words binary, toxic int, only_quoted boolean")
+    marks = marks.groupBy("words").agg(F.min(F.struct("toxic", "only_quoted")).alias("mark")).where("mark.only_quoted")
+    counts = marks.agg(F.coalesce(F.sum("mark.toxic"), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    return with_quotations(model, counts["toxic"], counts["n"] - counts["toxic"])
 
 
 def score_column(text: Column, model: dict, spark) -> Column:

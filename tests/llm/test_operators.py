@@ -265,6 +265,19 @@ def test_mixing_meets_marginals(spark):
     assert mixing.sampled(docs.limit(0)).collect() == []
 
 
+def test_toxicity_trains_alike_on_spark_and_in_one_process(spark):
+    rng = random.Random(5)
+    filler = [[f"w{rng.randrange(10**6)}" for _ in range(12)] for _ in range(150)]
+    rows = [(i, " ".join(w) + (' said "snorkwort"' if i % 3 == 0 else " plain"), int(i % 3 == 0)) for i, w in enumerate(filler, 200)]
+    rows += [(100, None, 0), (101, "", 0), (102, "plain words 4", 1), (103, "SNORKWORT said number", None)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    used = [(t or "", x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 5 and x is not None]
+    expected, found = toxicity.fit(used), toxicity.train(docs, marks)
+    assert expected["terms"] and found.pop("terms") == [list(t) for t in expected.pop("terms")]
+    assert found == expected
+
+
 def test_toxicity_learns_words_stems_and_misspellings(spark):
     rng = random.Random(11)
     bad, rows, labels = ["ghastlyword", "vilestterm"], [], []
