@@ -54,7 +54,8 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataF
     """``cells`` with ``mix_weight``: the share of all tokens that each cell should have.
 
     ``targets`` has a table of ``mix_<margin>`` and ``target`` for each margin. Weights begin as the
-    cells' own tokens; lineage is cut after each sweep."""
+    cells' own tokens. Lineage is cut after each margin, as a step reads the weights twice and plans of
+    several steps would double with each."""
     now = cells.withColumn("mix_weight", F.col("mix_cell").cast("double"))
     for _ in range(sweeps):
         for margin in MARGINS:
@@ -62,7 +63,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataF
             factor = now.groupBy(key).agg(F.sum("mix_weight").alias("have")).join(targets[margin], key)
             factor = factor.select(key, (F.col("target") / F.col("have")).alias("factor"))
             now = now.join(factor, key).withColumn("mix_weight", F.col("mix_weight") * F.col("factor")).drop("factor")
-        now = materialize(now, "raked")
+            now = materialize(now, "raked")
     return now
 
 
