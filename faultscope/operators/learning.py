@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -100,21 +100,51 @@ def _fit(estimator, prepared: DataFrame, n_rows: int):
         prepared.unpersist()
 
 
-def model_vocabulary(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """``(term, df, idf)`` of a fitted text model. ``df`` only orders terms by frequency here."""
-    terms, idf = model.stages[0].vocabulary, model.stages[1].getScalingVec().toArray()
-    pdf = pd.DataFrame({"term": terms, "idf": idf})
-    pdf["df"] = [int(1e9 * math.exp(1 - x)) for x in idf]
-    return spark.createDataFrame(pdf[["term", "df", "idf"]], "term string, df bigint, idf double")
+def _with_keywords(weighted: DataFrame, model: PipelineModel, k: int) -> DataFrame:
+    """Adds ``top_keywords`` from the row's own ``weights``: its k heaviest terms, ties by term, with their
+    share of the weight of those k in percent; null if it has none. The terms, no more than the model
+    holds anyway, reach each worker once; a row needs no other row."""
+    terms = weighted.sparkSession.sparkContext.broadcast(np.array(model.stages[0].vocabulary, dtype=object))
+
+    @F.pandas_udf("words array<string>, weights array<double>")
+    def heaviest(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        words, weights = [], []
+        for at, value in zip(indices, values, strict=True):
+            value = np.asarray(value, dtype="float64")
+            ranked = value.round(9)  # equal weights stay equal whatever the summation
+            kept = np.flatnonzero(ranked >= np.partition(ranked, -k)[-k]) if len(value) > k else np.arange(len(value))
+            best = sorted((-ranked[i], terms.value[at[i]], value[i]) for i in kept)[:k]
+            words.append([b[1] for b in best])
+            weights.append([float(b[2]) for b in best])
+        return pd.DataFrame({"words": words, "weights": weights})
+
+    vector = F.unwrap_udt("weights")
+    found = weighted.withColumn("_heaviest", heaviest(vector["indices"], vector["values"]))
+    words, weights = F.col("_heaviest.words"), F.col("_heaviest.weights")
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    listed = F.zip_with(words, weights, lambda w, x: F.struct(w.alias("word"), F.round(100 * x / total, 1).alias("pct")))
+    return found.withColumn("top_keywords", F.when(F.size(words) > 0, listed)).drop("_heaviest")
+
+
+def explain_texts(
+    df: DataFrame, model: PipelineModel, text: str, k: int = 15, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False
+) -> DataFrame:
+    """Adds ``top_keywords`` under the model's vocabulary, without a score."""
+    weighted = PipelineModel(model.stages[:2]).transform(add_grams(df, text, ngrams, cleaned))
+    return _with_keywords(weighted, model, k).select(*df.columns, "top_keywords")
 
 
 def score_texts(
-    df: DataFrame, model: PipelineModel, text: str, threshold: float = 0.5, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False
+    df: DataFrame, model: PipelineModel, text: str, threshold: float = 0.5, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False,
+    keywords: int | None = None,
 ) -> DataFrame:
-    """Adds ``proba`` of class 1, ``pred`` and the label shown to users. Works on streams too."""
+    """Adds ``proba`` of class 1, ``pred`` and the label shown to users; with ``keywords`` also that many
+    ``top_keywords`` of the same vector. One pass without a shuffle; works on streams too."""
     scored = model.transform(add_grams(df, text, ngrams, cleaned))
+    if keywords is not None:
+        scored = _with_keywords(scored, model, keywords)
     return _with_decision(scored.withColumn("proba", vector_to_array("probability")[1]), threshold).select(
-        *df.columns, "proba", "pred", "label_text")
+        *df.columns, "proba", "pred", "label_text", *(["top_keywords"] if keywords is not None else []))
 
 
 def _with_decision(df: DataFrame, threshold: float) -> DataFrame:

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from faultscope.functions.rules import OTHER_TYPE, device_type
 from faultscope.functions.text import OUTER_SPACE, clean_text, clip_text, ensure_str, guess_language
-from faultscope.operators.learning import model_vocabulary, score_texts
+from faultscope.operators.learning import embed_texts, explain_texts, score_embeddings, score_texts
 from faultscope.operators.prepare import drop_blank
-from faultscope.operators.tfidf import add_grams, count_terms, keyword_lists, top_keywords
 from faultscope.session import materialize
 
 Translator = Callable[[list[str]], list[str]]
+Embedder = Callable[[list[str]], "object"]
+KEYWORDS = "array<struct<word:string,pct:double>>"
 # Language choices offered to users.
 LANGUAGE_CHOICES = {"Auto": None, "Français": "fr", "Anglais": "en"}
 
@@ -57,51 +58,72 @@ def translate_if_needed(
 
 def explain(df: DataFrame, model: PipelineModel, text: str, row_id: str, k: int = 15, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
     """Keyword table ``(row_id, rank, word, pct)`` of the texts under the model's vocabulary."""
-    postings = count_terms(add_grams(df, text, ngrams), row_id)
-    return top_keywords(postings, model_vocabulary(df.sparkSession, model), row_id, k)
+    listed = explain_texts(df.select(row_id, text), model, text, k, ngrams)
+    return listed.select(row_id, F.posexplode("top_keywords").alias("rank", "found")).select(
+        row_id, (F.col("rank") + 1).alias("rank"), "found.word", "found.pct")
+
+
+def _scored(
+    df: DataFrame, model: PipelineModel, cleaned: str, threshold: float, k: int | None, embedder: Embedder | None,
+    keyword_model: PipelineModel | None,
+) -> DataFrame:
+    """``proba``, ``label_text`` and ``top_keywords`` of cleaned texts, by a text model or, with an
+    ``embedder``, by an embedding model; then keywords come from ``keyword_model`` if there is one."""
+    if embedder is None:
+        scored = score_texts(df, model, cleaned, threshold, cleaned=True, keywords=k)
+        return scored if k is not None else scored.withColumn("top_keywords", F.lit(None).cast(KEYWORDS))
+    if keyword_model is not None and k is not None:
+        df = explain_texts(df, keyword_model, cleaned, k, cleaned=True)
+    else:
+        df = df.withColumn("top_keywords", F.lit(None).cast(KEYWORDS))
+    return score_embeddings(embed_texts(df, cleaned, embedder), model, "embedding", threshold)
 
 
 def predict(
     df: DataFrame, model: PipelineModel, text: str, row_id: str, k: int = 10, threshold: float = 0.5,
-    return_keywords: bool = True, model_name: str = "tfidf",
+    return_keywords: bool = True, model_name: str = "tfidf", embedder: Embedder | None = None,
+    keyword_model: PipelineModel | None = None,
 ) -> DataFrame:
-    """``(row_id, label, proba, model, keywords)`` per text."""
-    scored = score_texts(df.select(row_id, text), model, text, threshold).select(
-        row_id, F.col("label_text").alias("label"), "proba", F.lit(model_name).alias("model"))
-    if not return_keywords:
-        return scored.withColumn("keywords", F.lit(None).cast("array<struct<word:string,pct:double>>"))
-    lists = keyword_lists(explain(df, model, text, row_id, k), row_id).withColumnRenamed("top_keywords", "keywords")
-    return scored.join(lists, row_id, "left")
+    """``(row_id, label, proba, model, keywords)`` per row. With an ``embedder`` the model is one of
+    ``train_embedding_classifier`` and keywords need a text model besides."""
+    ready = df.select(F.col(row_id).alias("row_id"), clean_text(F.col(text)).alias("cleaned_text"))
+    scored = _scored(ready, model, "cleaned_text", threshold, k if return_keywords else None, embedder, keyword_model)
+    return scored.select(
+        F.col("row_id").alias(row_id), F.col("label_text").alias("label"), "proba", F.lit(model_name).alias("model"),
+        F.col("top_keywords").alias("keywords"))
 
 
 def score_documents(
     documents: DataFrame, model: PipelineModel, name: str, text: str, source: str = "doc", choice: str = "Auto",
     force: bool = True, translator: Translator | None = None, max_chars: int | None = None, k: int = 15,
-    threshold: float = 0.5, model_type: str = "TFIDF", compat_language: bool = False,
+    threshold: float = 0.5, model_type: str = "TFIDF", compat_language: bool = False, keep: tuple[str, ...] = (),
+    embedder: Embedder | None = None, keyword_model: PipelineModel | None = None,
 ) -> DataFrame:
     """Predictions ready for ``history_rows``: clean-up, translation policy, score, device type and
-    keywords per document; documents without text drop out. ``name`` must be unique.
+    keywords per document; documents without text drop out. Every row is scored by itself in one
+    pass, so names may repeat. ``keep`` names columns to pass through.
 
     ``max_chars`` is the length analysed per document, None for the whole text.
-    ``compat_language`` records an untranslated text as French under automatic choice."""
-    clipped = drop_blank(documents.select(name, clip_text(F.col(text), max_chars).alias("doc_text")), "doc_text")
+    ``compat_language`` records an untranslated text as French under automatic choice.
+    ``embedder`` and ``keyword_model`` are those of ``predict``."""
+    clipped = drop_blank(documents.select(
+        F.col(name).cast("string").alias("file_name"), clip_text(F.col(text), max_chars).alias("doc_text"), *keep), "doc_text")
     ready = translate_if_needed(clipped, "doc_text", choice, force, translator)
     if translator is not None and force:
         ready = materialize(ready, "translated")  # texts are scored and explained, but translated once
     if compat_language and LANGUAGE_CHOICES[choice] is None:
         ready = ready.withColumn("src_lang", F.when(F.col("translated") == 1, "en").otherwise("fr"))
-    scored = score_texts(ready, model, "model_text", threshold)
-    lists = keyword_lists(explain(ready, model, "model_text", name, k), name)
-    return scored.join(lists, name, "left").select(
+    ready = ready.withColumn("cleaned_text", clean_text(F.col("model_text")))
+    return _scored(ready, model, "cleaned_text", threshold, k, embedder, keyword_model).select(
         F.lit(source).alias("source"),
-        F.col(name).cast("string").alias("file_name"),
+        "file_name",
         F.col("model_text").alias("input_text"),
-        clean_text(F.col("model_text")).alias("cleaned_text"),
+        "cleaned_text",
         F.lit(model_type).alias("model_type"),
         F.col("label_text").alias("label"),
         "proba",
         F.coalesce(device_type(F.col("doc_text"), "first"), F.lit(OTHER_TYPE)).alias("detected_type"),
-        "src_lang", "translated", "top_keywords",
+        "src_lang", "translated", "top_keywords", *keep,
     )
 
 

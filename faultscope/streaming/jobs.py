@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultscope.plans.scoring import Translator, score_documents
-from faultscope.session import materialize
+from faultscope.plans.scoring import Embedder, Translator, score_documents
 from faultscope.sources.history import append_history, history_rows
 
 
@@ -25,22 +24,24 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 def score_stream(
     texts: DataFrame, model: PipelineModel, name: str, text: str, ts: str, history_path: str, checkpoint: str,
-    translator: Translator | None = None, max_chars: int | None = None, source: str = "input", **trigger,
+    translator: Translator | None = None, max_chars: int | None = None, source: str = "input",
+    embedder: Embedder | None = None, keyword_model: PipelineModel | None = None, **trigger,
 ) -> StreamingQuery:
     """Scores incoming texts with keywords and appends them to the history, exactly once.
 
-    Every row gives one history row, also where names repeat: rows are scored under a number of their
-    own. ``ts`` is the row's own time stamp, and a run is named by query and batch, so a batch repeated
+    Every row gives one history row, also where names repeat: rows carry a number of their own through
+    the one pass that scores them. ``ts`` is the row's own time stamp, and a run is named by query and batch, so a batch repeated
     after a failure replaces what it had written and other streams' rows stay."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        numbered = batch.select(F.monotonically_increasing_id().cast("string").alias("stream_row"), F.col(name).cast("string").alias("file_name"),
-                                F.col(text).alias("stream_text"), F.col(ts).alias("batch_ts"))
-        numbered = materialize(numbered, "stream-batch")
-        rows = score_documents(numbered, model, "stream_row", "stream_text", source, translator=translator, max_chars=max_chars)
-        stamped = rows.withColumnRenamed("file_name", "stream_row").join(numbered.drop("stream_text"), "stream_row")
-        append_history(history_rows(stamped, f"stream-{query}-{batch_id:08d}", F.col("batch_ts"), ["stream_row"]), history_path)
+        numbered = batch.select(
+            F.monotonically_increasing_id().alias("stream_row"), F.col(name).alias("stream_name"),
+            F.col(text).alias("stream_text"), F.col(ts).alias("stream_ts"))
+        rows = score_documents(
+            numbered, model, "stream_name", "stream_text", source, translator=translator, max_chars=max_chars,
+            keep=("stream_row", "stream_ts"), embedder=embedder, keyword_model=keyword_model)
+        append_history(history_rows(rows, f"stream-{query}-{batch_id:08d}", F.col("stream_ts"), ["stream_row"]), history_path)
 
     return texts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

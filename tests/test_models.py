@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultscope.operators import evaluation as ev
 from faultscope.operators import learning as ml
+from faultscope.operators.tfidf import add_grams, count_terms, top_keywords
 from faultscope.plans import scoring
 
 GOOD, BAD = "the device works fine today", "fire and smoke burned the pump"
@@ -169,3 +170,24 @@ def test_confusion_and_report(spark):
 def test_missing_scores_are_an_error(spark, wrong):
     with pytest.raises(Exception, match="null or NaN"):
         ev.binary_metrics(scored(spark, [(1, 0.5), (0, wrong)])).collect()
+
+
+def test_keywords_come_from_the_row(spark, train, model):
+    texts = train.select("doc_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "zz qq")], "doc_id bigint, text string"))
+    terms, idf = model.stages[0].vocabulary, model.stages[1].getScalingVec().toArray()
+    vocabulary = spark.createDataFrame([(t, 1, float(x)) for t, x in zip(terms, idf)], "term string, df bigint, idf double")
+    want = {tuple(r) for r in top_keywords(count_terms(add_grams(texts, "text"), "doc_id"), vocabulary, "doc_id", 5).collect()}
+    got = {tuple(r) for r in scoring.explain(texts, model, "text", "doc_id", 5).collect()}
+    assert got == want and got
+
+
+def test_predict_by_embedding_model(spark, train, model):
+    def embedder(texts):
+        return [[len(t), t.count("e")] for t in texts]
+
+    dense = ml.train_embedding_classifier(ml.embed_texts(train, "text", embedder), "embedding", "label")
+    row = scoring.predict(train, dense, "text", "doc_id", model_name="embedding", embedder=embedder).orderBy("doc_id").first()
+    assert 0 < row["proba"] < 1 and row["model"] == "embedding" and row["keywords"] is None
+    marked = train.withColumnRenamed("doc_id", "key")
+    rows = scoring.score_documents(marked, dense, "key", "text", embedder=embedder, keyword_model=model, keep=("key",)).collect()
+    assert sorted(r["key"] for r in rows) == list(range(60)) and all(r["top_keywords"] for r in rows)
