@@ -5,7 +5,10 @@ digest, and have their own ids and block digests."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from html import unescape
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +24,76 @@ TO_TEXT = (
     (r"</?[A-Za-z!?][^>]*>", ""),
 )
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: References with one meaning wherever they stand, replaced before the others; ``&amp;`` is left to the end.
+PLAIN_REFERENCES = (*ENTITIES[:-1], ("&middot;", "·"), ("&copy;", "©"))
+#: By name with its semicolon, names that need none, and numbers that do not stand for their own character.
+#: The no-break space is a blank, however it is written.
+NAMED = {k: v.replace("\xa0", " ") for k, v in html5.items() if k.endswith(";")}
+UNCLOSED = {k: v.replace("\xa0", " ") for k, v in html5.items() if not k.endswith(";")}
+NUMBERED = {
+    str(n): unescape(f"&#{n};").replace("\xa0", " ")
+    for n in (*range(0xA1), *range(0xFDD0, 0xFDF0), *(plane + end for plane in range(0, 0x110000, 0x10000) for end in (0xFFFE, 0xFFFF)))
+    if n == 0xA0 or unescape(f"&#{n};") != chr(n)
+}
+_LAST_CHARACTER = 0x10FFFF
 SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _table(of: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in of.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of ``#233;`` or ``#xe9;``, as browsers read it."""
+    digits = F.regexp_extract(reference, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+    short = F.concat(F.lit("0"), F.substring(digits, 1, 7))
+    number = F.when(reference.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(F.conv(F.regexp_replace(short, "[^0-9]", ""), 10, 10)).cast("long")
+    number = F.when(F.length(digits) > 7, F.lit(_LAST_CHARACTER + 1)).otherwise(number)
+
+    def character(n: Column) -> Column:
+        none = n.between(0xD800, 0xDFFF) | (n > _LAST_CHARACTER)
+        code = F.when(none, F.lit(0xFFFD)).otherwise(n)
+        return F.coalesce(F.try_element_at(_table(NUMBERED), n.cast("string")), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    return _let(number, character)
+
+
+def _after_ampersand(piece: Column) -> Column:
+    """The text that stands after an ampersand, with the reference it begins with decoded if it does."""
+    number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    name = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]{0,31};", 0)
+    unclosed = F.regexp_extract(piece, "^(?:" + "|".join(sorted(UNCLOSED, key=len, reverse=True)) + ")", 0)
+    named = F.try_element_at(_table(NAMED), name)
+
+    def rest(reference: Column) -> Column:
+        return F.substring(piece, F.length(reference) + 1, F.length(piece))
+
+    return (
+        F.when(number != "", F.concat(_numbered(number), rest(number)))
+        .when(named.isNotNull(), F.concat(named, rest(name)))
+        .when(unclosed != "", F.concat(F.try_element_at(_table(UNCLOSED), unclosed), rest(unclosed)))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references decoded once, named and numeric ones, as HTML defines them."""
+
+    def others(t: Column) -> Column:
+        pieces = F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(_after_ampersand(p)))
+        return F.when(t.rlike("&(?!amp;)[#A-Za-z]"), F.array_join(pieces, "")).otherwise(F.replace(t, F.lit("&amp;"), F.lit("&")))
+
+    return _let(reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), PLAIN_REFERENCES, text), others)
+
+
 def plain_text(html: Column) -> Column:
     out = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), TO_TEXT, html)
-    out = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
-    return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPACES, out)
+    return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPACES, decoded(out))
 
 
 def record_id(*parts: Column) -> Column:

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
+from html.entities import html5
 
 import numpy as np
 import pytest
@@ -380,6 +382,29 @@ def test_derived_records(spark):
     assert text.startswith("WARC/1.1\r\nWARC-Type: ") and text.endswith("\r\n\r\n")
 
 
+def test_references_are_decoded(spark, column):
+    bodies = {
+        "<title>Caf&eacute; &#233; &middot;</title><p>&copy; A &hellip;</p>": ("Café é ·", "Café é ·\n© A …"),
+        "&amp;copy; &amp;#233; &#38;lt; &#x26;amp;": ("", "&copy; &#233; &lt; &amp;"),
+        "&copy &notit; &notin; &NotEqualTilde; &nosuch; &AT&T AT&T & &; &#; &#x; &": ("", "© ¬it; ∉ ≂̸ &nosuch; &AT&T AT&T & &; &#; &#x; &"),
+        "a&nbsp;&#160;&#xA0;&nbsp b": ("", "a b"),
+        "&#x1F600;&#128;&#0;&#xD800;&#99999999999999999999;&#x110000;&#1;.": ("", "😀€\ufffd\ufffd\ufffd\ufffd."),
+    }
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(bodies)], "page_id bigint, url string, html string")
+    got = {(r.page_id, r.record_type): r.block for r in warc.derivatives(warc.responses(pages)).collect()}
+    for i, (title, text) in enumerate(bodies.values()):
+        assert got[i, "conversion"] == text
+        assert got[i, "metadata"].startswith(f"title: {title}\r\n")
+
+
+def test_references_agree_with_the_library(column):
+    rng = random.Random(3)
+    parts = ["&", "&amp", ";", "#", "#x", "lt", "copy", "eacute;", "notin;", "233;", "e9;", "0128", "A", " ", "é", "&quot;", "&middot;", "&#39;", "&#", "&#x"]
+    texts = [f"&{k}" for k in html5] + [f"&#{n};" for n in range(0x200)] + [f"&#{n:x};" for n in range(0x200)]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    assert column(warc.decoded, [*texts, None]) == [*(unescape(t).replace("\xa0", " ") for t in texts), None]
+
+
 def test_empty_tables(nothing):
     assert substring_dedup.duplicate_spans(nothing).collect() == []
     assert near_dedup.near_duplicates(nothing).collect() == []
