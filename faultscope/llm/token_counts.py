@@ -1,11 +1,13 @@
 """Token counts in two tiers, without moving a pre-token.
 
-Tier one is a broadcast table of the lengths, in tokens, of the most frequent pre-tokens of a bounded
-sample; tier two a cache in each worker, filled by the tokenizer for pre-tokens that tier one lacks.
-Counts are the tokenizer's in any case; the sample only decides how often it is asked."""
+Tier one is a broadcast table of the lengths, in tokens, of the most frequent pre-tokens of all
+documents; tier two a cache in each worker, filled by the tokenizer for pre-tokens that tier one lacks.
+Pre-tokens are counted inside the tasks, and only these counts are shuffled. Token counts are the
+tokenizer's in any case; the table only decides how often it is asked."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,9 +17,12 @@ from pyspark.sql import functions as F
 
 from faultscope.llm.common import whole_texts
 from faultscope.llm.tokens import Memo, tokenizer, word_pre_tokens
+from faultscope.session import materialize
 
 _MEMOS: dict[str, Memo] = {}
 _TABLES: dict[int, dict[str, int]] = {}
+#: A task sends its counts on when it has met so many different pre-tokens.
+MOST_COUNTED = 200_000
 
 
 def _lengths(path: str, pre_tokens: list[str]) -> list[int]:
@@ -30,25 +35,38 @@ def _memo(path: str) -> Memo:
     return _MEMOS[path]
 
 
-def frequent_pre_tokens(docs: DataFrame, sample_docs: int, table_size: int) -> list[str]:
-    """The most frequent pre-tokens of about ``sample_docs`` documents drawn by hash of their ids."""
-    n = docs.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
+def frequent_pre_tokens(docs: DataFrame, sample_docs: int | None, table_size: int) -> list[str]:
+    """The most frequent pre-tokens of all documents, or of about ``sample_docs`` drawn by hash of their
+    ids. Texts that the library alone can cut are not in it."""
+    if sample_docs is not None:
+        share = min(1.0, sample_docs / max(docs.count(), 1))
+        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40))))
+    schema = pa.schema([("w", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch["text"].to_pylist():
                 seen.update(word_pre_tokens(text) or ())
-        yield pa.RecordBatch.from_pydict({"w": list(seen), "n": list(seen.values())}, schema=pa.schema([("w", pa.string()), ("n", pa.int64())]))
-
-    counts = drawn.mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(table_size).collect()]
+                if len(seen) > MOST_COUNTED:
+                    yield pa.RecordBatch.from_pydict({"w": list(seen), "n": list(seen.values())}, schema=schema)
+                    seen.clear()
+        yield pa.RecordBatch.from_pydict({"w": list(seen), "n": list(seen.values())}, schema=schema)
+
+    counts = docs.select("text").mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    # Classes of counts an eighth of a doubling wide tell which terms can be among the first, so that tasks
+    # send the driver little more than it keeps.
+    counts = materialize(counts.withColumn("class", F.floor(F.log2("n") * 8).cast("int")), "pre-tokens")
+    lowest, left = 0, table_size
+    for r in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        lowest, left = r["class"], left - r["count"]
+        if left <= 0:
+            break
+    return [r["w"] for r in counts.where(F.col("class") >= lowest).orderBy(F.desc("n"), "w").limit(table_size).collect()]
 
 
 def token_counts(
-    docs: DataFrame, path: str, limit: int = 2048, sample_docs: int = 2000, table_size: int = 30_000, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, path: str, limit: int = 2048, sample_docs: int | None = None, table_size: int = 30_000, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Per row ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit``).
 

@@ -153,6 +153,18 @@ def test_token_counts(docs, corpus, nothing):
     assert token_counts.token_counts(nothing, path).collect() == []
 
 
+def test_frequent_pre_tokens_are_of_all_documents(spark, monkeypatch):
+    # A sample of 2000 of these by hash of the id holds none of the documents with "late".
+    text = F.when(F.expr("pmod(xxhash64(id), 1 << 20) < 419430"), "early early").otherwise("late late late")
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", text, F.concat(F.lit("word"), "id")).alias("text"))
+    monkeypatch.setattr(token_counts, "MOST_COUNTED", 100)
+    tables = []
+    find = token_counts.frequent_pre_tokens
+    monkeypatch.setattr(token_counts, "frequent_pre_tokens", lambda *a: tables.append(find(*a)) or tables[-1])
+    token_counts.token_counts(docs, vocabulary("word_bpe_49k.json"), table_size=3)
+    assert tables[0][0] == "late" and tables[0][1] == "word"
+
+
 def test_packing_covers_every_token_once(docs, corpus, nothing):
     path = vocabulary("byte_bpe_50k.json")
     library = tokens.tokenizer(path)
