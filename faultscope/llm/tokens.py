@@ -1,8 +1,10 @@
 """Pre-tokens of byte-pair vocabularies, and caches in front of the library that encodes them.
 
-Both public vocabularies cut a text into pre-tokens that are encoded one by one. Texts whose
-characters all lie in the Latin blocks are cut here by an equal pattern of explicit character
-classes; other texts, and those that hold a special token's string, go to the library whole."""
+Both public vocabularies cut a text into pre-tokens that are encoded one by one. Texts are cut here by an
+equal pattern of explicit character classes: those of the Latin blocks by a small one that is always
+there, others by one of the basic plane, built when first needed, in which characters beyond it have
+stand-ins. To the library go, whole, only texts with a special token's string, with characters that this
+Python's Unicode tables lack, or whose lower case would be composed anew."""
 
 from __future__ import annotations
 
@@ -17,11 +19,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LAST_LATIN = 0x24F
 
 
-def _class(test: Callable[[str], bool]) -> str:
-    """Ranges of the characters up to the end of the Latin blocks that pass a test."""
+def _class(test: Callable[[str], bool], last: int = LAST_LATIN) -> str:
+    """Ranges of the characters up to the last one, the end of the Latin blocks, that pass a test."""
     out, begin = "", None
-    for i in range(LAST_LATIN + 2):
-        good = i <= LAST_LATIN and test(chr(i))
+    for i in range(last + 2):
+        good = i <= last and test(chr(i))
         if good and begin is None:
             begin = i
         elif not good and begin is not None:
@@ -30,26 +32,66 @@ def _class(test: Callable[[str], bool]) -> str:
     return out
 
 
-_LETTER = _class(lambda c: unicodedata.category(c)[0] == "L")
-_NUMBER = _class(lambda c: unicodedata.category(c)[0] == "N")
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
+_WIDE_BLANK = _BLANK + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Characters whose lower case leaves the Latin blocks or is two characters, and all beyond them.
 _ODD = re.compile("[^\x00-ɏ]|[İȺȾ]")
 
-WORD_PATTERN = re.compile(f"{_CONTRACTED}|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
-BYTE_PATTERN = re.compile(f"{_CONTRACTED}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+
+def _patterns(last: int, blank: str) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of the word and of the byte-level vocabulary for characters up to the last one."""
+    letter = _class(lambda c: unicodedata.category(c)[0] == "L", last)
+    number = _class(lambda c: unicodedata.category(c)[0] == "N", last)
+    word = f"{_CONTRACTED}|[{letter}]+|[{number}]|[^{blank}{letter}{number}]+"
+    byte = f"{_CONTRACTED}| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+"
+    return re.compile(word), re.compile(byte)
+
+
+@cache
+def _wide() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Both patterns for the basic plane, and one of the characters whose class is not known here."""
+    return *_patterns(0xFFFF, _WIDE_BLANK), re.compile(f"[{_class(lambda c: unicodedata.category(c) in ('Cn', 'Cs'), 0xFFFF)}]")
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _stand_in(found: re.Match) -> str:
+    """A character of the basic plane of the same class."""
+    kind = unicodedata.category(found[0])
+    return "\uffff" if kind == "Cn" else {"L": "ª", "N": "½"}.get(kind[0], "\ue000")
+
+
+def _cut(text: str, which: int) -> list[str] | None:
+    plain, patterns = _BEYOND.sub(_stand_in, text), _wide()
+    if patterns[2].search(plain):
+        return None
+    if plain == text:
+        return patterns[which].findall(text)
+    return [text[m.start():m.end()] for m in patterns[which].finditer(plain)]
+
+
+WORD_PATTERN, BYTE_PATTERN = _patterns(LAST_LATIN, _BLANK)
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
 def word_pre_tokens(text: str) -> list[str] | None:
     """Pre-tokens of the lower-casing word vocabulary, or None where only the library is exact."""
-    return None if _ODD.search(text) or "<|" in text and SPECIAL.search(text) else WORD_PATTERN.findall(text.lower())
+    if "<|" in text and SPECIAL.search(text):
+        return None
+    if not _ODD.search(text):
+        return WORD_PATTERN.findall(text.lower())
+    # The library lowers character by character, so a last sigma is like any other.
+    low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return _cut(low, 0) if unicodedata.is_normalized("NFC", low) else None
 
 
 def byte_pre_tokens(text: str) -> list[str] | None:
     """Pre-tokens of the byte-level vocabulary, or None where only the library is exact."""
-    return None if _ODD.search(text) or "<|" in text and SPECIAL.search(text) else BYTE_PATTERN.findall(text)
+    if "<|" in text and SPECIAL.search(text):
+        return None
+    return _cut(text, 1) if _ODD.search(text) else BYTE_PATTERN.findall(text)
 
 
 @cache

@@ -144,6 +144,23 @@ def test_pre_tokens_agree_with_the_library(name):
             assert [i for w in pre_tokens for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_beyond_latin_are_cut_as_well(name):
+    cut = tokens.word_pre_tokens if name.startswith("word") else tokens.byte_pre_tokens
+    library, rng = tokens.tokenizer(vocabulary(name)), random.Random(6)
+    for text in ("“Quoted” — text…", "日本語のテキスト、12。", "ΟΔΟΣ Σ οδός", "İstanbul ȺȾ", "привет, мир!", "👍🏽 ok 𝔘 𝟙", "한국어 각 e\u0301", "ara: ١٢٣ مرحبا", "a\u2003\u3000 \u2028b"):
+        assert cut(text), text
+        assert [i for w in cut(text) for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids, text
+    whole = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "É", "J", " ", "  ", "'s", "1", "½", "٣", "“", "—", "…", "Σ", "ς", "İ", "\u0301", "\u030c", "\u0316", "\u2003", "\u3000", "日", "가", "ᄀ", "ᅡ", "ᆨ", "👍", "🏽", "\u200d", "𝔘", "𝟙", "𞤀", "\ue000", "Ⅷ", "ⓐ", "ﬁ", "Å", "\u1c89"]) for _ in range(rng.randint(0, 20)))
+        pre_tokens = cut(text)
+        whole += pre_tokens is None
+        if pre_tokens is not None:
+            assert [i for w in pre_tokens for i in library.encode(w, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids, text
+    assert whole < 1500
+
+
 def test_token_counts(docs, corpus, nothing):
     path = vocabulary("word_bpe_49k.json")
     library = tokens.tokenizer(path)
