@@ -1,7 +1,7 @@
 """Derived WARC records: metadata and plain-text conversion records of responses. DataFrame functions only.
 
-A response gets two linked records. Both refer to its record id, keep its target address and payload
-digest, and have their own ids and block digests."""
+A response gets two linked records. Both refer to its record id, keep its target address, payload
+digest, date and other headers where it has these, and have their own ids and block digests."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 CRLF = "\r\n"
+#: What a response may have besides, and its derived records then have as well.
+SOURCE_COLUMNS = ("warc_date", "source_headers")
 _BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|article|section|nav|header|footer|main|aside|form|blockquote|pre|title|head|body|html"
 #: (pattern, replacement) in the order in which they turn markup into text.
 TO_TEXT = (
@@ -107,13 +110,32 @@ def digest_of(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
-def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Response records of a page table. Null addresses and bodies count as empty."""
+def responses(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None, headers: str | None = None,
+) -> DataFrame:
+    """Response records of a page table. Null addresses and bodies count as empty.
+
+    ``date`` names a column with the time of the response (text or a timestamp), ``headers`` a map of its
+    other header fields; they become ``warc_date`` and ``source_headers``."""
     body, address = (F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (html, url))
-    base = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), address.alias("target_uri"), body.alias("payload"))
+    given = []
+    if date is not None:
+        kind = pages.select(F.col(f"`{date}`")).schema[0].dataType
+        time = F.col(f"`{date}`")
+        if isinstance(kind, TimestampType):
+            time = F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        given.append(time.cast("string").alias("warc_date"))
+    if headers is not None:
+        given.append(F.col(f"`{headers}`").cast("map<string,string>").alias("source_headers"))
+    base = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), address.alias("target_uri"), body.alias("payload"), *given)
     digest = digest_of(F.col("payload"))
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    return base.select("page_id", record_id(F.lit("response"), number, F.col("target_uri"), digest).alias("record_id"), "target_uri", "payload", digest.alias("payload_digest"))
+    source = base.select("*", record_id(F.lit("response"), number, F.col("target_uri"), digest).alias("record_id"), digest.alias("payload_digest"))
+    return source.select("page_id", "record_id", "target_uri", "payload", "payload_digest", *_carried(source))
+
+
+def _carried(records: DataFrame) -> list[str]:
+    return [c for c in SOURCE_COLUMNS if c in records.columns]
 
 
 def metadata_block(payload: Column) -> Column:
@@ -131,26 +153,41 @@ def metadata_block(payload: Column) -> Column:
 def derivatives(source: DataFrame) -> DataFrame:
     """A metadata and a conversion record of each response.
 
-    ``source`` has ``page_id``, ``record_id``, ``target_uri``, ``payload``, ``payload_digest``; others are
-    ignored. Repeated responses give repeated records with equal ids; an empty payload has an empty
+    ``source`` has ``page_id``, ``record_id``, ``target_uri``, ``payload``, ``payload_digest``. Where it has
+    ``warc_date`` and ``source_headers``, both records carry them on; others are ignored. Repeated responses give repeated records with equal ids; an empty payload has an empty
     conversion and a metadata block without title, language and links. Unclosed comments, scripts and
     tags stay as text from where they begin."""
     kinds = (("metadata", "application/warc-fields", metadata_block(F.col("payload"))), ("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))))
     records = F.array(*[F.struct(F.lit(k).alias("record_type"), F.lit(t).alias("content_type"), b.alias("block")) for k, t, b in kinds])
-    one = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_payload_digest"), F.inline(records))
+    one = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_payload_digest"), *_carried(source), F.inline(records))
     return one.select(
         "page_id", "record_type", record_id(F.col("record_type"), F.col("refers_to")).alias("record_id"), "refers_to", "target_uri",
-        "source_payload_digest", "content_type", F.octet_length("block").cast("long").alias("content_length"), digest_of(F.col("block")).alias("block_digest"), "block",
+        "source_payload_digest", "content_type", F.octet_length("block").cast("long").alias("content_length"), digest_of(F.col("block")).alias("block_digest"), "block", *_carried(source),
     )
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """Column ``record``: each record as text, header lines, a blank line, the block and two line ends."""
+    """Column ``record``: each record as text, header lines, a blank line, the block and two line ends.
+
+    ``warc_date`` and ``source_headers`` follow the record's own lines, the latter by name. A source header
+    of a name that the record has itself gets the beginning ``WARC-Source-``. Null values have no line, and
+    line ends within one are blanks."""
     header = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
         ("WARC-Source-Payload-Digest", "source_payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+        *([("WARC-Date", "warc_date")] if "warc_date" in records.columns else []),
     ]
     lines = [F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in header]
+    if "source_headers" in records.columns:
+        own = [name.lower() for name, _ in header]
+
+        def line(entry: Column) -> Column:
+            name, value = (F.regexp_replace(entry[c], "[\r\n]+", " ") for c in ("key", "value"))
+            apart = F.concat(F.lit("WARC-Source-"), F.regexp_replace(name, "(?i)^WARC-", ""))
+            return F.concat(F.when(F.lower(name).isin(own), apart).otherwise(name), F.lit(": "), value)
+
+        entries = F.filter(F.map_entries("source_headers"), lambda e: e["value"].isNotNull())
+        lines.append(F.transform(F.array_sort(entries), line))
     return records.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), F.col("block"), F.lit(CRLF * 2)).alias("record"))
 
 

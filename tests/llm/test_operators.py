@@ -411,6 +411,24 @@ def test_derived_records(spark):
     assert text.startswith("WARC/1.1\r\nWARC-Type: ") and text.endswith("\r\n\r\n")
 
 
+def test_source_headers_are_kept(spark):
+    fields = {"WARC-IP-Address": "10.0.0.1", "HTTP-Status": "200", "content-type": "text/html", "WARC-Date": "x", "Odd": "a\r\nb", "None": None}
+    rows = [(1, "u", "<p>a</p>", "2024-05-01T10:00:00Z", fields), (2, "v", "b", None, None), (3, "w", "c", "2024-05-02T10:00:00Z", {"None": None})]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at string, fields map<string,string>")
+    plain, full = warc.derivatives(warc.responses(pages)), warc.derivatives(warc.responses(pages, date="at", headers="fields"))
+    assert full.columns == [*plain.columns, "warc_date", "source_headers"]
+    assert sorted(map(tuple, full.drop("warc_date", "source_headers").collect())) == sorted(map(tuple, plain.collect()))
+    heads = {}
+    for kind in ("metadata", "conversion"):
+        for i in (1, 2, 3):
+            text = warc.serialized(full.where((F.col("page_id") == i) & (F.col("record_type") == kind))).first().record
+            heads[i, kind] = text.split("\r\n\r\n")[0].split("\r\n")[9:]
+        assert heads[1, kind] == ["WARC-Date: 2024-05-01T10:00:00Z", "HTTP-Status: 200", "Odd: a b", "WARC-Source-Date: x", "WARC-IP-Address: 10.0.0.1", "WARC-Source-content-type: text/html"]
+        assert heads[2, kind] == [] and heads[3, kind] == ["WARC-Date: 2024-05-02T10:00:00Z"]
+    stamped = warc.responses(pages.withColumn("at", F.timestamp_seconds(F.lit(1714557600))), date="at")
+    assert stamped.first().warc_date == "2024-05-01T10:00:00Z"
+
+
 def test_references_are_decoded(spark, column):
     bodies = {
         "<title>Caf&eacute; &#233; &middot;</title><p>&copy; A &hellip;</p>": ("Café é ·", "Café é ·\n© A …"),
