@@ -1,11 +1,10 @@
-"""Duplicate word spans across documents by relative Lempel-Ziv factors.
-
-Reference blocks are the chunks of documents in ascending id. Each block indexes the digests of its
-windows; every document is parsed left to right against all earlier blocks and the earlier part of
-its own one. A factor starts at the first window that has an earlier occurrence and takes in each
-following window that has one as well, from whatever block; windows across the boundary of two
-sources are looked up like all others, so no word at a factor's boundary is missed or overcut. The
-words of the factors are the duplicate spans.
+"""Duplicate word spans across documents by an exchange of window digests.
+
+This stands in for a relative Lempel-Ziv parse: no factors (source block, position, length) are made.
+Chunks are documents in ascending id. The digest of every window is looked up among those of all earlier
+chunks and of the earlier part of its own one, and the words of the windows found are the duplicate
+spans. These are the words that factors of at least a window's length would cover, from whatever
+source, so none is needed for the result; where a span was copied from is not known.
 
 Windows are compared by 64-bit digests. For a window without an earlier occurrence, the chance of a
 false one is the number of windows over 2^64 (1e-11 at 30 GB, 1e-6 at 100 TB)."""
