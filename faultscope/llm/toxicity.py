@@ -4,9 +4,13 @@ The lexicon is learned from a bounded sample of labelled documents: words that t
 and others lack, and word beginnings (stems) of which that holds for several words. It is kept as a
 trie. The Levenshtein automata of all its terms are intersected with the trie as one machine: a state
 is the set of trie nodes reached with a number of errors, made when first met, so that most words die
-within a few characters. A word that is one edit (two for long terms) from a term counts with a weight
+within a few characters. A word that is one edit from a term of five characters or more (two for long terms) counts with a weight
 learned for such misspellings of that term; near words of clean documents count by their own record.
 
+Two limits: a term of fewer than five characters (a stem's length less one) is found only as it is
+spelled, and a term enters the lexicon only if toxic documents hold it at 50 times the rate of clean
+ones, where clean documents count in full that only quote it.
+
 Weights are log likelihood ratios. A hit inside quotation marks or after a word of reported speech in
 its context window counts in part. Their sum with the prior gives the score through the logistic
 function. Labels are read from training rows only; id, language and source are not looked at."""
