@@ -94,9 +94,46 @@ SELECT page_id, record_type, {_uuid_sql("record_type || chr(10) || refers_to")}
   strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM d
 """
 
+OP11 = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) AS r(i))
+), runs AS (
+  SELECT doc_id, word, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS word
+    FROM documents) GROUP BY ALL HAVING length(word) >= 6
+), hashed AS (
+  SELECT word, n, xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || word, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195, ord(x)::BIGINT - 64] END)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS h
+  FROM runs, steps
+), written AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM hashed
+), v AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), shorter AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM v, unnest(range(1, length(word) + 1)) AS r(i)
+), pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter AS a JOIN shorter AS b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter AS a JOIN v AS b ON a.less = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter AS a JOIN v AS b ON a.less = b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, max(other_n) AS top FROM pairs GROUP BY word, n
+), forms AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN top END AS form_n,
+    CASE WHEN top >= 5 * v.n THEN (SELECT min(other) FROM pairs AS p WHERE p.word = v.word AND p.other_n = top) END AS form
+  FROM v LEFT JOIN best ON v.word = best.word
+), followed AS (
+  SELECT word, word AS place, 0 AS step FROM forms
+  UNION ALL SELECT followed.word, form, step + 1 FROM followed JOIN forms ON place = forms.word WHERE form IS NOT NULL
+), last AS (SELECT word, arg_max(place, step) AS root FROM followed GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN last USING (word)
+"""
+
 EXPECTED = {
     "op4_substring_dedup": OP4,
     "op5_metric_tree_top_k": OP5,
     "op7_mixing": _rake_sql(),
     "op9_warc_derivatives": OP9,
+    "op11_spelling_variants": OP11,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, pii, substring_dedup, token_counts, toxicity, warc
+from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, pii, spelling, substring_dedup, token_counts, toxicity, warc
 from faultscope.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -79,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
