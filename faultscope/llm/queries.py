@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, pii, spelling, substring_dedup, token_counts, toxicity, warc
+from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, periodic_runs, pii, spelling, substring_dedup, token_counts, toxicity, warc
 from faultscope.llm.common import table
 
 
@@ -72,6 +72,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.repeated_tails(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    top = found.select("*", F.array_min(ranked).alias("top"), F.size("runs").cast("long").alias("n_runs"), F.sha2(lines, 256).alias("runs_sha256"))
+    return top.select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), (-F.col("top.less")).alias("length"), F.col("top.period").alias("period"),
+        F.expr("(-1000 * top.less) div top.period").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -84,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }

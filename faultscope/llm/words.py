@@ -90,6 +90,28 @@ def windows_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(rolled[start]), start
 
 
+@dataclass
+class PrefixDigests:
+    """Digests of any stretch of a sequence, from sums over its beginnings. Unlike stretches may agree,
+    above all on sequences made for it; where that matters the caller compares what agrees."""
+
+    total: np.ndarray
+    inverse: np.ndarray
+
+    def of(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+        return (self.total[starts + lengths] - self.total[starts]) * self.inverse[starts]
+
+    def windows(self, width: int) -> np.ndarray:
+        n = max(0, len(self.total) - width)
+        return (self.total[len(self.total) - n:] - self.total[:n]) * self.inverse[:n]
+
+
+def prefix_digests(values: np.ndarray) -> PrefixDigests:
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values)), out=total[1:])
+    return PrefixDigests(total, _powers(pow(_BASE, -1, 1 << 64), len(values) + 1))
+
+
 def batches(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts with about ``most`` bytes each; a longer text stands alone."""
     begin, held = 0, 0
