@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultscope.llm import metric_tree, mixing, near_dedup, packing, paragraph_sketch, periodic_runs, pii, spelling, substring_dedup, token_counts, toxicity, warc
+from faultscope.llm import language_id, metric_tree, mixing, near_dedup, packing, paragraph_sketch, periodic_runs, pii, spelling, substring_dedup, token_counts, toxicity, warc
 from faultscope.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.count_words(table(spark, sf_dir, "documents")))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.periodic_runs(periodic_runs.repeated_tails(table(spark, sf_dir, "documents")))
     lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
@@ -94,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_language_id": op12_language_id,
     "op13_periodic_runs": op13_periodic_runs,
 }
