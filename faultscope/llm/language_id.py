@@ -54,7 +54,7 @@ def letters_of(text: str) -> np.ndarray:
     low = _letters()[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
     keep = low > 0
     keep[1:] |= low[:-1] > 0
-    return np.concatenate(([0], low[keep], [0])).astype(np.uint64)
+    return np.concatenate(([0], low[keep], [0] * bool(low[-1:].any()))).astype(np.uint64)
 
 
 def term_counts(letters: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
