@@ -1,6 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can state."""
 
-from faultscope.llm import warc
+from html import unescape
+from html.entities import html5
 
 OP4 = r"""
 WITH words AS (
@@ -62,33 +63,83 @@ FROM described AS d LEFT JOIN done USING (source, lang, topic)
 """
 
 
-def _text_sql(html: str) -> str:
-    for pattern, new in warc.TO_TEXT:
-        html = f"regexp_replace({html}, '{pattern}', E'{new.encode('unicode_escape').decode()}', 'g')"
-    for entity, new in warc.ENTITIES:
-        html = f"replace({html}, '{entity}', '{new.replace(chr(39), chr(39) * 2)}')"
-    for pattern, new in warc.SPACES:
-        html = f"regexp_replace({html}, '{pattern}', E'{new.encode('unicode_escape').decode()}', 'g')"
-    return html
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _map_sql(of: dict[str, str]) -> str:
+    return f"MAP {{{', '.join(f'{_quoted(k)}: {_quoted(v)}' for k, v in of.items())}}}"
+
+
+#: Character references: by name with semicolon, by name without, and numbers that do not stand for themselves.
+_NAMES = {k: v for k, v in html5.items() if k.endswith(";")}
+_SHORT_NAMES = {k: v for k, v in html5.items() if not k.endswith(";")}
+_NUMBERS = {str(n): unescape(f"&#{n};") for n in (*range(160), *range(0xFDD0, 0xFDF0), *(0x10000 * p + e for p in range(17) for e in (0xFFFE, 0xFFFF))) if unescape(f"&#{n};") != chr(n)}
+
+
+def _decoded_sql(text: str) -> str:
+    """Pieces after each ampersand, each beginning with a reference or not."""
+    number = "regexp_extract(p, '^#([0-9]+|[xX][0-9a-fA-F]+)', 1)"
+    digits = f"regexp_extract({number}, '^[xX]?0*([0-9a-fA-F]*)$', 1)"
+    code = (f"CASE WHEN length({digits}) > 7 THEN 1114112 WHEN {digits} = '' THEN 0 WHEN lower({number}[1]) = 'x' THEN ('0x' || {digits})::BIGINT ELSE {digits}::BIGINT END")
+    character = (f"coalesce(numbers[({code})::VARCHAR], CASE WHEN {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) ELSE chr(({code})::INTEGER) END)")
+    short = f"regexp_extract(p, '^({'|'.join(sorted(_SHORT_NAMES, key=lambda k: (-len(k), k)))})')"
+    named = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')"
+    piece = f"""CASE WHEN i = 1 THEN p
+      WHEN {number} <> '' THEN {character} || regexp_replace(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?', '')
+      WHEN names[{named}] IS NOT NULL THEN names[{named}] || substr(p, length({named}) + 1)
+      WHEN {short} <> '' THEN short_names[{short}] || substr(p, length({short}) + 1)
+      ELSE '&' || p END"""
+    return f"replace(array_to_string(list_transform(string_split({text}, '&'), lambda p, i: {piece}), ''), chr(160), ' ')"
+
+
+_IN_TAG = r"""[^>=]*(?:=[ \t\n\r\f]*(?:"[^"]*(?:"|\z)|''[^'']*(?:''|\z))?[^>=]*)*"""
+
+
+def _tag_sql(name: str) -> str:
+    return rf"(?:{name})(?:[ \t\n\r\f/]{_IN_TAG})?(?:>|\z)"
+
+
+_LINE_TAGS = "p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|article|section|nav|header|footer|main|aside|form|blockquote|pre|title|head|body|html"
+
+
+def _text_sql(shown: str) -> str:
+    lines = rf"regexp_replace({shown}, '(?is)</?{_tag_sql(_LINE_TAGS)}', chr(10), 'g')"
+    bare = rf"regexp_replace({lines}, '(?s)</?[A-Za-z]{_IN_TAG}(?:>|\z)|<[!?/][^>]*(?:>|\z)', '', 'g')"
+    spaced = rf"regexp_replace({_decoded_sql(bare)}, '[ \t\r\f\x0B]+', ' ', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({spaced}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+', ''), '[ \n]+$', '')"
+
+
+def _attribute_sql(tag: str, name: str) -> str:
+    pattern = r"""([^ \t\n\r\f"''>/=]+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*("[^"]*"|''[^'']*''|[^ \t\n\r\f"''>][^ \t\n\r\f>]*))?"""
+    pairs = f"list_zip(regexp_extract_all({tag}, '{pattern}', 1), list_transform(regexp_extract_all({tag}, '{pattern}', 2), lambda v: coalesce(v, '')))"
+    value = f"list_filter({pairs}, lambda a: lower(a[1]) = '{name}')[1][2]"
+    return rf"""regexp_replace(regexp_replace({value}, '^["'']|["'']$', '', 'g'), '[\r\n]+', ' ', 'g')"""
 
 
 def _uuid_sql(parts: str) -> str:
     return f"regexp_replace(md5({parts}), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '<urn:uuid:\\1-\\2-\\3-\\4-\\5>')"
 
 
-_TITLE = r"regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
-OP9 = f"""
-WITH r AS (
+OP9 = rf"""
+WITH tables AS MATERIALIZED (SELECT {_map_sql(_NAMES)} AS names, {_map_sql(_SHORT_NAMES)} AS short_names, {_map_sql(_NUMBERS)} AS numbers
+), r AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS source_payload_digest FROM pages
-), s AS (
-  SELECT *, {_uuid_sql("concat_ws(chr(10), 'response', coalesce(page_id::VARCHAR, ''), target_uri, source_payload_digest)")} AS refers_to FROM r
+), s AS MATERIALIZED (
+  SELECT *, {_uuid_sql("concat_ws(chr(10), 'response', coalesce(page_id::VARCHAR, ''), target_uri, source_payload_digest)")} AS refers_to,
+    regexp_replace(payload, '(?is)<!--.*?(?:-->|\z)|<script[ \t\n\r\f/>].*?(?:</script[ \t\n\r\f]*(?:>|\z)|\z)|<style[ \t\n\r\f/>].*?(?:</style[ \t\n\r\f]*(?:>|\z)|\z)', '', 'g') AS shown
+  FROM r
+), t AS MATERIALIZED (
+  SELECT *, regexp_extract(shown, '(?is)<{_tag_sql("title")}(.*?)(?:</title[ \t\n\r\f]*(?:>|\z)|\z)', 1) AS title,
+    coalesce(list_filter(list_transform(list_filter(tags, lambda g: regexp_matches(g, '(?i)^<html[ \t\n\r\f/]')), lambda g: {_attribute_sql("g", "lang")}), lambda x: x IS NOT NULL)[1], '') AS lang,
+    list_filter(list_transform(list_filter(tags, lambda g: regexp_matches(g, '(?i)^<a[ \t\n\r\f/]')), lambda g: {_attribute_sql("g", "href")}), lambda x: x IS NOT NULL) AS links
+  FROM (SELECT *, regexp_extract_all(shown, '(?s)</?[A-Za-z]{_IN_TAG}(?:>|\z)|<[!?/][^>]*(?:>|\z)') AS tags FROM s)
 ), d AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-    'title: ' || {_text_sql(_TITLE)} || E'\\r\\nlanguage: ' || regexp_extract(payload, '(?i)<html[^>]*\\blang="([^"]*)"', 1)
-    || E'\\r\\npayload-length: ' || strlen(payload) || E'\\r\\n'
-    || list_aggregate(list_transform(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1), lambda x: 'outlink: ' || x || E'\\r\\n') || [''], 'string_agg', '') AS block
-  FROM s
-  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {_text_sql("payload")} FROM s
+    'title: ' || {_text_sql("title")} || chr(13) || chr(10) || 'language: ' || lang || chr(13) || chr(10) || 'payload-length: ' || strlen(payload) || chr(13) || chr(10)
+    || array_to_string(list_transform(links, lambda x: 'outlink: ' || x || chr(13) || chr(10)), '') AS block
+  FROM t, tables
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {_text_sql("shown")} FROM t, tables
 )
 SELECT page_id, record_type, {_uuid_sql("record_type || chr(10) || refers_to")} AS record_id, refers_to, target_uri, source_payload_digest, content_type,
   strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM d

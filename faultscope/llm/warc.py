@@ -18,14 +18,25 @@ CRLF = "\r\n"
 #: What a response may have besides, and its derived records then have as well.
 SOURCE_COLUMNS = ("warc_date", "source_headers")
 _BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|article|section|nav|header|footer|main|aside|form|blockquote|pre|title|head|body|html"
-#: (pattern, replacement) in the order in which they turn markup into text.
+_GAP = r"[ \t\n\r\f]"
+#: Of a tag, what follows its name: a quoted value after = may hold >, and what is not closed ends with the page.
+_INSIDE = rf"""[^>=]*+(?:={_GAP}*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+[^>=]*+)*+"""
+_END = r"(?:>|\z)"
+
+
+def _tag(names: str) -> str:
+    return rf"(?:{names})(?:[ \t\n\r\f/]{_INSIDE})?+{_END}"
+
+
+#: Comments, scripts and styles, to the end of the page where they are not closed.
+HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<(?:script[ \t\n\r\f/>].*?(?:</script{_GAP}*+{_END}|\z)|style[ \t\n\r\f/>].*?(?:</style{_GAP}*+{_END}|\z))"
+TAG = rf"(?s)</?[A-Za-z]{_INSIDE}{_END}|<[!?/][^>]*+{_END}"
+#: (pattern, replacement) in the order in which they turn markup without hidden parts into text.
 TO_TEXT = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n"),
-    (r"</?[A-Za-z!?][^>]*>", ""),
+    (rf"(?is)</?{_tag(_BLOCKS)}", "\n"),
+    (TAG, ""),
 )
+ATTRIBUTE = rf"""([^ \t\n\r\f"'>/=]+)(?:{_GAP}*={_GAP}*("[^"]*"|'[^']*'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*))?"""
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: References with one meaning wherever they stand, replaced before the others; ``&amp;`` is left to the end.
 PLAIN_REFERENCES = (*ENTITIES[:-1], ("&middot;", "·"), ("&copy;", "©"))
@@ -94,8 +105,14 @@ def decoded(text: Column) -> Column:
     return _let(reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), PLAIN_REFERENCES, text), others)
 
 
-def plain_text(html: Column) -> Column:
-    out = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), TO_TEXT, html)
+def visible(html: Column) -> Column:
+    """Markup without comments, scripts and styles."""
+    return F.regexp_replace(html, HIDDEN, "")
+
+
+def plain_text(markup: Column) -> Column:
+    """The text of ``visible`` markup: lines by block elements, references decoded, spaces collapsed."""
+    out = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), TO_TEXT, markup)
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPACES, decoded(out))
 
 
@@ -138,26 +155,45 @@ def _carried(records: DataFrame) -> list[str]:
     return [c for c in SOURCE_COLUMNS if c in records.columns]
 
 
-def metadata_block(payload: Column) -> Column:
-    """Fields of a page: title, language, links out in order, size."""
-    title = F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
-    lang = F.regexp_extract(payload, r'(?i)<html[^>]*\blang="([^"]*)"', 1)
-    links = F.regexp_extract_all(payload, F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1))
+def attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute of that name in a tag, as written, without quotes; null without one."""
+    names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    both = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda x: F.lower(x["name"]) == name)
+    return F.regexp_replace(F.get(both["value"], F.lit(0)), """^["']|["']$""", "")
+
+
+def metadata_block(payload: Column, markup: Column) -> Column:
+    """Fields of a page: title, language, links out in order, size. ``markup`` is the visible one."""
+    title = F.regexp_extract(markup, rf"(?is)<{_tag('title')}(.*?)(?:</title{_GAP}*+{_END}|\z)", 1)
+    tags = F.filter(F.regexp_extract_all(markup, F.lit(TAG), F.lit(0)), lambda tag: tag.rlike("(?i)^<(?:a|html)[ \\t\\n\\r\\f/]"))
+
+    def values(first: str, name: str) -> Column:
+        found = F.transform(F.filter(tags, lambda tag: F.lower(F.substring(tag, 2, 1)) == first), lambda tag: attribute(tag, name))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    lang, links = F.coalesce(F.get(values("h", "lang"), F.lit(0)), F.lit("")), values("a", "href")
     lines = F.concat(
-        F.array(F.concat(F.lit("title: "), plain_text(title)), F.concat(F.lit("language: "), lang), F.concat(F.lit("payload-length: "), F.octet_length(payload).cast("string"))),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)),
+        F.array(F.concat(F.lit("title: "), plain_text(title)), F.concat(F.lit("language: "), _one_line(lang)), F.concat(F.lit("payload-length: "), F.octet_length(payload).cast("string"))),
+        F.transform(links, lambda x: F.concat(F.lit("outlink: "), _one_line(x))),
     )
     return F.concat(F.array_join(lines, CRLF), F.lit(CRLF))
 
 
+def _one_line(value: Column) -> Column:
+    return F.regexp_replace(value, "[\r\n]+", " ")
+
+
 def derivatives(source: DataFrame) -> DataFrame:
     """A metadata and a conversion record of each response.
 
     ``source`` has ``page_id``, ``record_id``, ``target_uri``, ``payload``, ``payload_digest``. Where it has
     ``warc_date`` and ``source_headers``, both records carry them on; others are ignored. Repeated responses give repeated records with equal ids; an empty payload has an empty
-    conversion and a metadata block without title, language and links. Unclosed comments, scripts and
-    tags stay as text from where they begin."""
-    kinds = (("metadata", "application/warc-fields", metadata_block(F.col("payload"))), ("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))))
+    conversion and a metadata block without title, language and links. Comments, scripts, styles, tags and
+    quoted values that are not closed reach to the end of the page, as in browsers, and links in comments do
+    not count. Every pattern passes a page once, whatever it holds."""
+    source = source.withColumn("_visible", visible(F.col("payload")))
+    shown = F.col("_visible")
+    kinds = (("metadata", "application/warc-fields", metadata_block(F.col("payload"), shown)), ("conversion", "text/plain; charset=utf-8", plain_text(shown)))
     records = F.array(*[F.struct(F.lit(k).alias("record_type"), F.lit(t).alias("content_type"), b.alias("block")) for k, t, b in kinds])
     one = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_payload_digest"), *_carried(source), F.inline(records))
     return one.select(
