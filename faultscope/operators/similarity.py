@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.functions.text import ensure_str
-from faultscope.operators.ranking import top_per_group
-from faultscope.operators.tfidf import add_grams, count_terms, join_terms, weigh
-from faultscope.session import broadcast_if_small, materialize
-
-
-def query_weights(queries: DataFrame, vocabulary: DataFrame, query_id: str, text: str, ngrams: tuple[int, int]) -> DataFrame:
-    """Unit-length ``(query_id, term, weight)``; queries without a known term have no rows."""
-    return weigh(count_terms(add_grams(queries, text, ngrams), query_id), vocabulary, query_id)
+from faultscope.operators.case_index import build_index, drop_tables, search
+from faultscope.session import broadcast_if_small, materialize, scratch_path
 
 
 def similar_cases(
     history: DataFrame,
     queries: DataFrame,
-    vocabulary: DataFrame,
+    vocabulary: DataFrame | None = None,
     row_id: str = "doc_id",
     text: str = "text",
     query_id: str = "item_id",
@@ -29,50 +23,15 @@ def similar_cases(
 ) -> DataFrame:
     """``(query_id, rank, row_id, similarity)``: the k most similar history rows of every query.
 
+    One search of an index that is made for it in the scratch folder; ``case_index.build_index`` keeps one for
+    many searches. Term weights are those of the history itself or of a ``vocabulary`` (``term``, ``idf``).
     Queries without a known term get no rows; others always get k if the history is that long,
-    filled with rows of similarity 0 in ``row_id`` order.
-
-    History texts are spread by ``row_id`` once. Everything per document (dot products with all
-    queries, own length) then happens where the document is, and only k rows per query and task
-    leave it. The term table holds every vocabulary term once for the length, and once per query
-    that uses it."""
-    weights = materialize(query_weights(queries, vocabulary, query_id, query_text, ngrams), "query-weights")
-    kind = queries.schema[query_id].dataType
-    lengths = vocabulary.select("term", "df", "idf", F.lit(None).cast(kind).alias(query_id), F.lit(None).cast("double").alias("weight"))
-    uses = weights.join(vocabulary.select("term", "df", "idf"), "term").select("term", "df", "idf", query_id, "weight")
-    terms = materialize(lengths.unionByName(uses), "query-terms")
-
-    counted = count_terms(add_grams(history.select(row_id, text).repartition(row_id), text, ngrams), row_id)
-    own = F.col("tf") * F.col("idf")
-    totals = (
-        join_terms(counted, terms, F.col(row_id))
-        .select(row_id, query_id, (own * F.coalesce("weight", own)).alias("part"))
-        .groupBy(row_id, query_id).agg(F.sum("part").alias("total"))
-    )
-    length = F.sqrt(F.max(F.when(F.col(query_id).isNull(), F.col("total"))).over(Window.partitionBy(row_id)))
-    sims = totals.select(row_id, query_id, F.round(F.col("total") / length, 9).alias("similarity")).filter(
-        F.col(query_id).isNotNull())
-    best = top_per_group(sims, [query_id], [F.desc("similarity"), F.asc(row_id)], k)
-    return fill_up(best, history, weights, row_id, query_id, k)
-
-
-def fill_up(best: DataFrame, history: DataFrame, weights: DataFrame, row_id: str, query_id: str, k: int) -> DataFrame:
-    """Pads queries with fewer than k hits by the first history rows that are no hits."""
-    best = materialize(best.select(query_id, "rank", row_id, "similarity"), "similar-hits")
-    first = [r[0] for r in history.select(row_id).orderBy(row_id).limit(2 * k).collect()]
-    if not first:
-        return best
-    kind = f"array<{history.schema[row_id].dataType.simpleString()}>"
-    hits = (
-        weights.select(query_id).distinct().join(best, query_id, "left")
-        .groupBy(query_id).agg(F.collect_list(row_id).alias("hits")).filter(F.size("hits") < k)
-    )
-    spare = F.array_except(F.array(*[F.lit(v) for v in first]).cast(kind), "hits")
-    padding = hits.select(
-        query_id, F.size("hits").alias("n_hits"),
-        F.posexplode(F.slice(spare, F.lit(1), F.lit(k) - F.size("hits"))).alias("at", row_id),
-    ).select(query_id, (F.col("n_hits") + F.col("at") + 1).alias("rank"), row_id, F.lit(0.0).alias("similarity"))
-    return best.unionByName(padding)
+    filled with rows of similarity 0 in ``row_id`` order."""
+    spark = history.sparkSession
+    index = build_index(history, scratch_path(spark, "case-index"), row_id, text, ngrams, vocabulary)
+    found = materialize(search(index, queries, query_id, query_text, k).cases, "similar-cases")
+    drop_tables(spark, index)
+    return found
 
 
 def excerpt(c: Column, chars: int = 200) -> Column:

@@ -285,6 +285,18 @@ SELECT coalesce(nullif(event_type, 'signup'), 'nan') AS value, count(*) AS n FRO
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM weights)
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, term AS word, round(100 * weight / sum(weight) OVER (PARTITION BY doc_id), 1) AS pct FROM top WHERE rank <= 15""",
     "similar_cases": SIMILAR + " SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(similarity, 5) AS similarity FROM ranked WHERE rank <= 10",
+    "kept_case_search": SIMILAR + " SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(similarity, 5) AS similarity FROM ranked WHERE rank <= 10",
+    "case_fill": """
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part),
+grams AS (SELECT p_partkey, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM part)) / (1 + count(DISTINCT p_partkey))) + 1 AS idf FROM grams GROUP BY term),
+weights AS (SELECT p_partkey, term, count(*) * any_value(idf) AS weight FROM grams JOIN idf USING (term) GROUP BY ALL),
+norms AS (SELECT p_partkey, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY ALL),
+asked AS (SELECT DISTINCT p_type AS kind FROM part WHERE lower(p_type) IN (SELECT term FROM idf)),
+sims AS (SELECT kind, p.p_partkey, coalesce(round(weight / norm, 9), 0) AS similarity
+         FROM asked CROSS JOIN part p LEFT JOIN weights x ON x.p_partkey = p.p_partkey AND term = lower(kind) LEFT JOIN norms n ON n.p_partkey = p.p_partkey)
+SELECT kind, CAST(row_number() OVER w AS INTEGER) AS rank, p_partkey, round(similarity, 5) AS similarity FROM sims
+WINDOW w AS (PARTITION BY kind ORDER BY similarity DESC, p_partkey) QUALIFY row_number() OVER w <= 400""",
     "similar_case_view": SIMILAR + """
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(100 * similarity, 1) AS similarity_pct, source AS date, lang AS detected_type,
        CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '…' ELSE text END AS excerpt

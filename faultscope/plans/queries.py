@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultscope.functions import dates, rules, text as tx
 from faultscope.functions.keywords import keywords_to_json
-from faultscope.operators import evaluation, learning, prepare, quality, ranking, similarity, tfidf, trends
+from faultscope.operators import case_index, evaluation, learning, prepare, quality, ranking, similarity, tfidf, trends
 from faultscope.plans import ingest, scoring
 from faultscope.plans.dashboard import enrich, selection
 from faultscope.plans.stand_ins import (
@@ -312,15 +312,30 @@ def tfidf_keywords(spark, sf):
 
 
 def similar_cases(spark, sf):
-    _, vocabulary = _vocabulary(spark, sf)
-    return similarity.similar_cases(texts(spark, sf), table(spark, sf, "benchmark"), vocabulary).select(
+    return similarity.similar_cases(texts(spark, sf), table(spark, sf, "benchmark")).select(
         "item_id", "rank", "doc_id", F.round("similarity", 5).alias("similarity"))
 
 
+def kept_case_search(spark, sf):
+    """An index of English texts that grows by the others, searched without reading texts again."""
+    docs = texts(spark, sf).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    index = case_index.build_index(docs.where("lang = 'en'"), scratch_path(spark, "kept-cases"))
+    index = case_index.append_cases(spark, index, docs.where("lang <> 'en'"))
+    found = case_index.search(index, table(spark, sf, "benchmark")).cases
+    return found.select("item_id", "rank", "doc_id", F.round("similarity", 5).alias("similarity"))
+
+
+def case_fill(spark, sf):
+    """Queries with fewer hits than asked for, filled by cases of similarity 0; the others have none at all."""
+    parts = table(spark, sf, "part")
+    asked = parts.select(F.col("p_type").alias("kind")).distinct().withColumn("text", F.col("kind"))
+    found = similarity.similar_cases(parts, asked, None, "p_partkey", "p_name", "kind", "text", k=400)
+    return found.withColumn("similarity", F.round("similarity", 5))
+
+
 def similar_case_view(spark, sf):
-    _, vocabulary = _vocabulary(spark, sf)
     docs = texts(spark, sf).select("doc_id", "text", F.col("lang").alias("TypeDetecte"), F.col("source").alias("date_received"))
-    cases = similarity.similar_cases(docs, table(spark, sf, "benchmark"), vocabulary, k=5)
+    cases = similarity.similar_cases(docs, table(spark, sf, "benchmark"), k=5)
     return similarity.similar_case_view(cases, docs, "doc_id", "item_id", "text")
 
 
@@ -560,7 +575,7 @@ QUERIES = {
         dataset_fingerprint, file_checksums, dataset_gate, dataset_gate_labelled, length_stats, monthly_counts,
         monthly_counts_of_type, severity_filter, top_values_with_missing, top_values_present, facet_values, kpis,
         forecast_by_status, forecast_total, date_parse, preview, stratified_split, plain_split, training_sample,
-        term_vocabulary, whole_vocabulary, document_norms, tfidf_keywords, similar_cases, similar_case_view, train_eval_logreg,
+        term_vocabulary, whole_vocabulary, document_norms, tfidf_keywords, similar_cases, similar_case_view, kept_case_search, case_fill, train_eval_logreg,
         train_eval_forest, embedding_classifier, predict_texts, score_metrics, decision_and_confidence, metrics_record, confusion, roc_points,
         roc_points_plotted, pr_points, class_report, html_text, file_text, unreadable_trace, document_scoring,
         keyword_export, history_recent, history_search, history_view, csv_round_trip, kept_table, report_documents, event_archive_round_trip,
