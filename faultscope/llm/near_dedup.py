@@ -7,8 +7,9 @@
    value and its quantised weight; two documents agree on it with the probability of their weighted
    Jaccard similarity. Equal samples of a whole band make a candidate.
 4. In each bucket, members are compared by exact weighted Jaccard similarity with a head, then with
-   more heads in rounds, but never with members that links have already joined: copies of one text are
-   one component after a round or two, and no group's pairs are listed.
+   more heads in rounds, but never with members that links have already joined. The first head is the member whose
+   shingles are the most common ones: of copies that were edited here and there it is the text they
+   come from, which joins them in one round. A pair meets in one bucket only, that of the first band it shares.
 5. Links at or above the threshold give components.
 
 A shingle's weight is its count times sqrt(1 + ln(N / df) / ln N), between count and 1.42 times that.
@@ -34,12 +35,16 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 6
 #: Samples drawn; the first ``BANDS * ROWS`` make the bands, all of them the estimate before a comparison.
 SAMPLES = 256
 BITS = 48
+#: Standard deviations by which samples may differ more often than expected at the threshold: a chance of 2e-4 for a pair exactly there.
+DEVIATIONS = 3.5
+_OWN = ("doc_id", "rank", "whole", "shared", "nibbles", "bands")
 ANSWER = "chunk int, shard int, shared binary, frequency binary"
-SKETCH = "doc_id bigint, digest binary, bands array<bigint>, nibbles array<bigint>, keys binary, weights binary, whole double, shared double"
+SKETCH = "doc_id bigint, digest binary, copy_of bigint, rank bigint, bands array<bigint>, nibbles array<bigint>, keys binary, weights binary, whole double, shared double"
 _REQUEST = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("digests", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("shard", pa.int32()), ("shared", pa.binary()), ("frequency", pa.binary())])
 _SKETCH = pa.schema([
-    ("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("nibbles", pa.list_(pa.int64())), ("keys", pa.binary()), ("weights", pa.binary()),
+    ("doc_id", pa.int64()), ("digest", pa.binary()), ("copy_of", pa.int64()), ("rank", pa.int64()), ("bands", pa.list_(pa.int64())), ("nibbles", pa.list_(pa.int64())),
+    ("keys", pa.binary()), ("weights", pa.binary()),
     ("whole", pa.float64()), ("shared", pa.float64()),
 ])
 
@@ -132,10 +137,24 @@ def unlike(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, n: total + n)
 
 
-def most_unlike(n_samples: int, similarity: float) -> float:
-    """Differing nibbles that two documents at the threshold exceed with a chance of about 2e-4."""
+def most_unlike(n_samples: int, similarity: float, deviations: float | None) -> float:
+    """Differing nibbles that two documents at the threshold exceed by so many standard deviations only."""
+    if deviations is None:
+        return n_samples
     q = (1 - similarity) * 15 / 16
-    return n_samples * q + 3.5 * (n_samples * q * (1 - q)) ** 0.5
+    return n_samples * q + deviations * (n_samples * q * (1 - q)) ** 0.5
+
+
+def met_before(a: str, b: str, band: str) -> Column:
+    """Whether two documents share a band before this one."""
+    earlier = (F.slice(x, F.lit(1), F.col(band)) for x in (a, b))
+    return F.exists(F.zip_with(*earlier, lambda x, y: x == y), lambda same: same)
+
+
+def _ranks(centrality: np.ndarray, ids: list[int]) -> np.ndarray:
+    """Numbers that order documents by centrality (0 to 1), then by a hash of their id."""
+    order = mix(np.array(ids, dtype=np.int64).view(np.uint64)) >> np.uint64(24)
+    return ((np.clip(centrality, 0, 1) * ((1 << 22) - 1)).astype(np.int64) << 40) | order.view(np.int64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -145,7 +164,10 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def sketches(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
-    """Band digests and weighted shingles of the documents that can have a near duplicate."""
+    """Band digests and weighted shingles of the documents that can have a near duplicate.
+
+    Of equal texts of a chunk the one of the smallest id has them; the others name it in ``copy_of``, so that
+    a text meets itself once for each chunk and not for each copy."""
     chunks = exchange.plan_chunks(docs, "doc_id", "text")
     shards, n_docs = chunks.shards, chunks.rows
     dealt = docs.withColumn("chunk", chunks.number(F.col("doc_id"))).groupBy("chunk")
@@ -180,8 +202,16 @@ def sketches(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataF
         weight = tf * idf(df, n_docs)
         whole = np.bincount(owner, weights=weight, minlength=len(texts))
         shared = np.bincount(owner, weights=weight * (df > 1), minlength=len(texts))
+        common = np.bincount(owner, weights=tf * np.log(df), minlength=len(texts)) / np.maximum(np.bincount(owner, weights=tf, minlength=len(texts)), 1) / np.log(max(n_docs, 2))
         open_ = (whole > 0) & (shared >= similarity * whole * (1 - 1e-9))
-        taken = open_[owner]
+        ids, firsts, copies = chunk["doc_id"].to_pylist(), {}, []
+        digests = [blake2b(t, digest_size=16).digest() if o else b"" for t, o in zip(texts, open_, strict=True)]
+        for i in sorted((i for i in np.flatnonzero(open_).tolist() if ids[i] is not None), key=ids.__getitem__):
+            if firsts.setdefault(digests[i], i) != i:
+                copies.append({"doc_id": ids[i], "digest": digests[i], "copy_of": ids[firsts[digests[i]]]})
+        is_first = np.zeros(len(texts), dtype=bool)
+        is_first[list(firsts.values())] = True
+        taken = is_first[owner]
         owner, key, weight = owner[taken], key[taken], weight[taken].astype(np.float32)
         if not len(key):
             return _SKETCH.empty_table()
@@ -189,16 +219,16 @@ def sketches(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataF
         ends = np.append(starts[1:], len(key))
         samples = weighted_samples(key, weight.astype(np.float64), starts, max(SAMPLES, bands * rows))
         signed, nibbles = band_digests(samples[:, :bands * rows], bands, rows), nibbles_of(samples)
-        ids = chunk["doc_id"].to_pylist()
+        ranks = _ranks(common[owner[starts]], [ids[o] for o in owner[starts]])
         return arrow_table([
-            {"doc_id": ids[o], "digest": blake2b(texts[o], digest_size=16).digest(), "bands": signed[k].tolist(), "nibbles": nibbles[k].tolist(),
+            {"doc_id": ids[o], "digest": digests[o], "rank": int(ranks[k]), "bands": signed[k].tolist(), "nibbles": nibbles[k].tolist(),
              "keys": int(b - a).to_bytes(4, "little") + exchange.pack(key[a:b], 0), "weights": weight[a:b].tobytes(),
              "whole": float(whole[o]), "shared": float(shared[o])}
-            for k, (o, a, b) in enumerate(zip(owner[starts], starts, ends, strict=True))], _SKETCH)
+            for k, (o, a, b) in enumerate(zip(owner[starts], starts, ends, strict=True))] + copies, _SKETCH)
 
     answers = dealt.applyInArrow(ask, exchange.REQUEST).groupBy("shard").applyInArrow(answer, ANSWER)
     found = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(sketch, SKETCH)
-    return materialize(found.where("doc_id IS NOT NULL"), "sketches")
+    return materialize(found, "sketches")
 
 
 def _vector(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -212,65 +242,74 @@ def _similarities(pairs):
         yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(alike, pa.float64())], names=["u", "v", "similarity"])
 
 
-def _texts_joined(members: DataFrame, vectors: DataFrame, similarity: float, n_samples: int) -> DataFrame:
+def _texts_joined(members: DataFrame, vectors: DataFrame, similarity: float, bound: float) -> DataFrame:
     """``doc_id`` and ``root`` of the documents that links join to a smaller id.
 
-    ``members`` are rows of ``band``, ``bucket``, ``doc_id``, ``whole``, ``shared``, ``nibbles``. A round compares the heads of each bucket
+    ``members`` are rows of ``band``, ``bucket`` and ``_OWN``. A round compares the heads of each bucket
     with its members of other components, then takes the heads out of it, and joins components. So
-    every two members of a bucket are compared unless other links have joined them or their weights
+    every two members of a bucket are compared unless they meet in another one, other links have joined them, their weights
     rule the threshold out (what two documents have in common is at most the lesser ``shared``) or
-    their samples differ more often than is credible at the threshold. A bucket's first
-    head is one; their number grows fourfold by the round, so that rounds are few."""
+    their samples differ in more than ``bound`` places. A bucket's first
+    head is the one of highest rank; then heads are drawn by hash, four times as many each round, so that rounds are few."""
     u = vectors.select(F.col("doc_id").alias("u"), F.col("keys").alias("u_keys"), F.col("weights").alias("u_weights"))
     v = vectors.select(F.col("doc_id").alias("v"), F.col("keys").alias("v_keys"), F.col("weights").alias("v_weights"))
     members = members.withColumn("component", F.col("doc_id"))
-    roots, n_heads, bound = None, 1, most_unlike(n_samples, similarity)
+    roots, n_heads = None, 1
 
     def possible(common: Column, rest: Column) -> Column:
         return common >= F.lit(similarity * (1 - 1e-5)) * rest
 
     while True:
-        lot = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1)) if roots is not None else F.col("doc_id")
+        first = roots is None
+        lot = -F.col("rank") if first else F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 32) - 1))
         buckets = members.groupBy("band", "bucket").agg(
             F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(lot).alias("least"),
             F.max("shared").alias("most"), F.min("whole").alias("lightest"))
-        drawn = (lot == F.col("least")) | ((lot < F.lit(float(1 << 32)) * n_heads / F.col("n")) if roots is not None else F.lit(False))
+        drawn = (lot == F.col("least")) | (F.lit(False) if first else lot < F.lit(float(1 << 32)) * n_heads / F.col("n"))
         open_ = members.join(buckets.where("low < high"), ["band", "bucket"])
         common = F.least("shared", "most")
         open_ = open_.where(possible(common, F.col("whole") + F.greatest(F.col("lightest") - common, F.lit(0.0))))
-        open_ = materialize(open_.select("band", "bucket", "doc_id", "whole", "shared", "nibbles", "component", drawn.alias("is_head")), "open-buckets")
+        open_ = materialize(open_.select("band", "bucket", *_OWN, "component", drawn.alias("is_head")), "open-buckets")
         if open_.isEmpty():
             return roots
-        own = ("doc_id", "component", "whole", "shared", "nibbles")
-        heads = open_.where("is_head").select("band", "bucket", *[F.col(c).alias("head" if c == "doc_id" else f"head_{c}") for c in own])
+        heads = open_.where("is_head").select("band", "bucket", *[F.col(c).alias("head" if c == "doc_id" else f"head_{c}") for c in (*_OWN, "component")])
         common = F.least("shared", "head_shared")
         pairs = open_.join(heads, ["band", "bucket"]).where(
             (F.col("component") != F.col("head_component")) & possible(common, F.col("whole") + F.col("head_whole") - common)
-            & (unlike("nibbles", "head_nibbles") <= F.lit(bound)))
+            & (unlike("nibbles", "head_nibbles") <= F.lit(bound)) & ~met_before("bands", "head_bands", "band"))
         pairs = pairs.select(F.greatest("doc_id", "head").alias("u"), F.least("doc_id", "head").alias("v")).distinct()
         checked = pairs.join(u, "u").join(v, "v").mapInArrow(_similarities, "u bigint, v bigint, similarity double")
         links = materialize(checked.where(F.col("similarity") >= similarity).select("u", "v"), "links")
         roots = component_of(links if roots is None else links.union(roots.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))))
         roots = roots.withColumnRenamed("node", "doc_id")
-        members = open_.where("NOT is_head").join(roots, "doc_id", "left").select("band", "bucket", "doc_id", "whole", "shared", "nibbles", F.coalesce("root", "doc_id").alias("component"))
+        members = open_.where("NOT is_head").drop("component", "is_head").join(roots, "doc_id", "left").select("band", "bucket", *_OWN, F.coalesce("root", "doc_id").alias("component"))
         n_heads *= 4
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", deviations: float | None = DEVIATIONS,
+) -> DataFrame:
     """``doc_id`` and ``class_id`` of every row: the smallest id of its component of near duplicates.
 
     Equal texts are one class. A null text or one without words is a class of its own, like a
     document without a near duplicate. Rows of null id get a null class and link to nothing; rows of
-    equal id are one document with several texts. Other columns are ignored."""
+    equal id are one document with several texts. Other columns are ignored. ``deviations`` bounds the
+    differing samples of a pair that is compared; with None every pair that shares a band is compared
+    exactly unless its weights rule it out."""
     docs = whole_texts(docs, doc_id, text)
     every = sketches(docs, similarity, bands, rows)
-    first = every.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    copies = materialize(every.select("doc_id", "digest").join(first, "digest").select("doc_id", "first_id"), "copies")
-    distinct = every.join(first.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"], "left_semi")
-    vectors = materialize(distinct.dropDuplicates(["doc_id", "digest"]), "distinct-texts")
-    members = vectors.select("doc_id", "whole", "shared", "nibbles", F.posexplode("bands").alias("band", "bucket"))
-    roots = _texts_joined(members, vectors.select("doc_id", "keys", "weights"), similarity, max(SAMPLES, bands * rows))
-    found = copies if roots is None else copies.join(roots.withColumnRenamed("doc_id", "first_id"), "first_id", "left")
-    root = F.col("first_id") if roots is None else F.coalesce("root", "first_id")
-    classes = found.groupBy("doc_id").agg(F.min(root).alias("class"))
+    texts = every.where("copy_of IS NULL")
+    first = texts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    named = materialize(texts.select("doc_id", "digest").join(first, "digest"), "copies")
+    vectors = materialize(texts.join(first.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"], "left_semi"), "distinct-texts")
+    members = vectors.select(*_OWN, F.posexplode("bands").alias("band", "bucket"))
+    bound = most_unlike(max(SAMPLES, bands * rows), similarity, deviations)
+    roots = _texts_joined(members, vectors.select("doc_id", "keys", "weights"), similarity, bound)
+    if roots is None:
+        found = named.select("doc_id", "digest", F.col("first_id").alias("class"))
+    else:
+        found = named.join(roots.withColumnRenamed("doc_id", "first_id"), "first_id", "left").select("doc_id", "digest", F.coalesce("root", "first_id").alias("class"))
+    copies = every.where("copy_of IS NOT NULL").select(F.col("doc_id").alias("copy"), "digest", F.col("copy_of").alias("doc_id"))
+    copied = copies.join(found, ["doc_id", "digest"]).select(F.col("copy").alias("doc_id"), "class")
+    classes = found.select("doc_id", "class").union(copied).groupBy("doc_id").agg(F.min("class").alias("class"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
