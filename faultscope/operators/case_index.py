@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultscope.operators.ranking import top_per_group
-from faultscope.operators.tfidf import BROADCAST_TERMS, add_grams, gram_runs
+from faultscope.operators.tfidf import BROADCAST_TERMS, add_grams, add_runs
 from faultscope.session import broadcast_if_small, materialize
 
 #: Query terms that reach every worker at once; more queries are searched in several passes.
@@ -65,7 +65,7 @@ class Search(NamedTuple):
 
 def term_arrays(df: DataFrame, row_id: str, text: str, ngrams: tuple[int, int]) -> DataFrame:
     """``row_id``, ``terms`` (hashes, ascending) and ``tfs`` of every row, made inside the row."""
-    counted = gram_runs(add_grams(df.select(row_id, text), text, ngrams), row_id)
+    counted = add_runs(add_grams(df.select(row_id, text), text, ngrams))
     hashed = F.array_sort(F.transform("runs", lambda r: F.struct(F.xxhash64(r["term"]).alias("term"), r["tf"].cast("int").alias("tf"))))
     return counted.select(row_id, hashed.alias("h")).select(row_id, F.col("h.term").alias("terms"), F.col("h.tf").alias("tfs"))
 

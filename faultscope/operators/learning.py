@@ -5,21 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from faultscope.functions.text import decision_label
-from faultscope.operators.tfidf import add_grams, count_terms, fit_vocabulary
+from faultscope.operators.term_table import TermTable, fit_term_table, strongest_terms
+from faultscope.session import path_exists
 
-# A model keeps its vocabulary on the driver; above this size training refuses rather than cuts.
-LARGEST_VOCABULARY = 5_000_000
 # Logistic regression runs a job per iteration, so a small training set is kept in few tasks.
 ROWS_PER_TASK = 10_000
 
@@ -61,29 +57,15 @@ def classifier(preset: Preset, n_rows: int, features: str = "features", label: s
     raise ValueError(f"unknown classifier {preset.classifier!r}")
 
 
-def text_features(train: DataFrame, text: str, row_id: str, preset: Preset, n_rows: int, cleaned: bool = False) -> PipelineModel:
-    """Stages from ``grams`` to unit-length TF-IDF ``features``, fitted on the training rows only."""
-    postings = count_terms(add_grams(train, text, preset.ngrams, cleaned), row_id)
-    vocabulary = fit_vocabulary(postings, n_rows, preset.min_df, preset.max_features)
-    if preset.max_features is None and vocabulary.count() > LARGEST_VOCABULARY:
-        raise ValueError(f"over {LARGEST_VOCABULARY} terms: set max_features or min_df")
-    # The chosen terms, one per row, are the whole corpus of the vectorizer, so it keeps them all.
-    chosen = vocabulary.select(F.array("term").alias("grams"))
-    counts = CountVectorizer(inputCol="grams", outputCol="term_counts", vocabSize=max(vocabulary.count(), 1), minDF=1).fit(chosen)
-    weight = {r["term"]: r["idf"] for r in vocabulary.select("term", "idf").collect()}
-    idf = ElementwiseProduct(
-        scalingVec=Vectors.dense([weight[t] for t in counts.vocabulary]), inputCol="term_counts", outputCol="weights")
-    return PipelineModel([counts, idf, Normalizer(p=2.0, inputCol="weights", outputCol="features")])
-
-
 def train_text_classifier(
     train: DataFrame, text: str, label: str, row_id: str, preset: Preset = MINIMAL, cleaned: bool = False
 ) -> PipelineModel:
-    """A fitted model from ``grams`` to ``probability``; see ``score_texts`` for use."""
+    """A fitted model of two stages, texts to vectors (``TermTable``) and these to ``probability``; see ``score_texts``
+    for use. The model holds its n-grams and its vocabulary; the latter never passes through the driver."""
     n_rows = train.count()
-    features = text_features(train, text, row_id, preset, n_rows, cleaned)
-    prepared = features.transform(add_grams(train, text, preset.ngrams, cleaned)).select("features", F.col(label).cast("double").alias(label))
-    return PipelineModel([*features.stages, _fit(classifier(preset, n_rows, label=label), prepared, n_rows)])
+    table = fit_term_table(train, text, row_id, n_rows, preset.ngrams, preset.min_df, preset.max_features, cleaned)
+    prepared = table.features(table.weigh(train, text, cleaned)).select("features", F.col(label).cast("double").alias(label))
+    return PipelineModel([table, _fit(classifier(preset, n_rows, label=label), prepared, n_rows)])
 
 
 def _fit(estimator, prepared: DataFrame, n_rows: int):
@@ -100,51 +82,23 @@ def _fit(estimator, prepared: DataFrame, n_rows: int):
         prepared.unpersist()
 
 
-def _with_keywords(weighted: DataFrame, model: PipelineModel, k: int) -> DataFrame:
-    """Adds ``top_keywords`` from the row's own ``weights``: its k heaviest terms, ties by term, with their
-    share of the weight of those k in percent; null if it has none. The terms, no more than the model
-    holds anyway, reach each worker once; a row needs no other row."""
-    terms = weighted.sparkSession.sparkContext.broadcast(np.array(model.stages[0].vocabulary, dtype=object))
-
-    @F.pandas_udf("words array<string>, weights array<double>")
-    def heaviest(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
-        words, weights = [], []
-        for at, value in zip(indices, values, strict=True):
-            value = np.asarray(value, dtype="float64")
-            ranked = value.round(9)  # equal weights stay equal whatever the summation
-            kept = np.flatnonzero(ranked >= np.partition(ranked, -k)[-k]) if len(value) > k else np.arange(len(value))
-            best = sorted((-ranked[i], terms.value[at[i]], value[i]) for i in kept)[:k]
-            words.append([b[1] for b in best])
-            weights.append([float(b[2]) for b in best])
-        return pd.DataFrame({"words": words, "weights": weights})
-
-    vector = F.unwrap_udt("weights")
-    found = weighted.withColumn("_heaviest", heaviest(vector["indices"], vector["values"]))
-    words, weights = F.col("_heaviest.words"), F.col("_heaviest.weights")
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    listed = F.zip_with(words, weights, lambda w, x: F.struct(w.alias("word"), F.round(100 * x / total, 1).alias("pct")))
-    return found.withColumn("top_keywords", F.when(F.size(words) > 0, listed)).drop("_heaviest")
-
-
-def explain_texts(
-    df: DataFrame, model: PipelineModel, text: str, k: int = 15, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False
-) -> DataFrame:
+def explain_texts(df: DataFrame, model: PipelineModel, text: str, k: int = 15, cleaned: bool = False) -> DataFrame:
     """Adds ``top_keywords`` under the model's vocabulary, without a score."""
-    weighted = PipelineModel(model.stages[:2]).transform(add_grams(df, text, ngrams, cleaned))
-    return _with_keywords(weighted, model, k).select(*df.columns, "top_keywords")
+    weighed = model.stages[0].weigh(df, text, cleaned)
+    return weighed.withColumn("top_keywords", strongest_terms(F.col("weighted_terms"), k)).select(*df.columns, "top_keywords")
 
 
 def score_texts(
-    df: DataFrame, model: PipelineModel, text: str, threshold: float = 0.5, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False,
-    keywords: int | None = None,
+    df: DataFrame, model: PipelineModel, text: str, threshold: float = 0.5, cleaned: bool = False, keywords: int | None = None,
 ) -> DataFrame:
     """Adds ``proba`` of class 1, ``pred`` and the label shown to users; with ``keywords`` also that many
-    ``top_keywords`` of the same vector. One pass without a shuffle; works on streams too."""
-    scored = model.transform(add_grams(df, text, ngrams, cleaned))
-    if keywords is not None:
-        scored = _with_keywords(scored, model, keywords)
+    ``top_keywords`` of the same text: its heaviest terms and their share. Texts are cut as in training.
+    One pass without a shuffle while the vocabulary is of a size to share."""
+    table = model.stages[0]
+    scored = PipelineModel(model.stages[1:]).transform(table.features(table.weigh(df, text, cleaned)))
+    listed = [] if keywords is None else [strongest_terms(F.col("weighted_terms"), keywords).alias("top_keywords")]
     return _with_decision(scored.withColumn("proba", vector_to_array("probability")[1]), threshold).select(
-        *df.columns, "proba", "pred", "label_text", *(["top_keywords"] if keywords is not None else []))
+        *df.columns, "proba", "pred", "label_text", *listed)
 
 
 def _with_decision(df: DataFrame, threshold: float) -> DataFrame:
@@ -184,14 +138,13 @@ def _dense(df: DataFrame, embedding: str) -> DataFrame:
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Writes a model in place of what is at ``path``, which may be this model itself."""
+    spark = SparkSession.active()
+    stages = [s.apart_from(path, spark) if isinstance(s, TermTable) else s for s in model.stages]
+    PipelineModel(stages).write().overwrite().save(path)
 
 
 def load_model(spark: SparkSession, path: str, fallback: str | None = None) -> PipelineModel:
-    """The model saved last at a path; ``fallback`` is tried when the path has none."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:
-        if fallback is None:
-            raise
-        return PipelineModel.load(fallback)
+    """The model saved last at a path; ``fallback`` is read where there is no such path. A model that is there but
+    cannot be read is an error."""
+    return PipelineModel.load(path if fallback is None or path_exists(spark, f"{path}/metadata") else fallback)

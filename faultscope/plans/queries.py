@@ -370,7 +370,18 @@ def embedding_classifier(spark, sf):
     return _rounded(evaluation.binary_metrics(learning.score_embeddings(df.filter("is_test"), model, "embedding")))
 
 
+_MODELS = {}
+
+
 def _quick_model(spark, sf):
+    """One model for all queries of an application over the same tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = _trained(spark, sf)
+    return _MODELS[key]
+
+
+def _trained(spark, sf):
     return learning.train_text_classifier(labelled_documents(spark, sf), "event_text", "label", "doc_id", learning.MINIMAL)
 
 

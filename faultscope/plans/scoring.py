@@ -56,9 +56,9 @@ def translate_if_needed(
         "translated", (F.col("model_text") != whole).cast("int"))
 
 
-def explain(df: DataFrame, model: PipelineModel, text: str, row_id: str, k: int = 15, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
+def explain(df: DataFrame, model: PipelineModel, text: str, row_id: str, k: int = 15) -> DataFrame:
     """Keyword table ``(row_id, rank, word, pct)`` of the texts under the model's vocabulary."""
-    listed = explain_texts(df.select(row_id, text), model, text, k, ngrams)
+    listed = explain_texts(df.select(row_id, text), model, text, k)
     return listed.select(row_id, F.posexplode("top_keywords").alias("rank", "found")).select(
         row_id, (F.col("rank") + 1).alias("rank"), "found.word", "found.pct")
 

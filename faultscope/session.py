@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a reader finds anything at a path; every other failure is raised."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 256 * 1024 * 1024) -> tuple[DataFrame, bool]:
     """Hint a broadcast only after measuring rows and bytes; the flag tells the caller which join
     it gets. Meant for written tables, as it reads the data once."""

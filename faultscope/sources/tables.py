@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
+from faultscope.session import path_exists
+
 # Texts that mean a missing value in a CSV cell.
 NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -78,12 +79,12 @@ def write_table(df: DataFrame, path: str, force: bool = True) -> None:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """A Parquet or CSV table by its name, None when it does not exist or has no rows."""
-    try:
-        df = read_csv(spark, path, schema) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
-        return None if df.isEmpty() else df
-    except AnalysisException:
+    """A Parquet or CSV table by its name, None when it does not exist or has no rows. A table that is there
+    and cannot be read is an error."""
+    if not path_exists(spark, path):
         return None
+    df = read_csv(spark, path, schema) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    return None if df.isEmpty() else df
 
 
 def read_texts(spark: SparkSession, path: str, row_id: str) -> DataFrame:

@@ -49,9 +49,7 @@ def test_logistic_regression_matches_newton(spark):
 
 
 def test_tfidf_vectors_have_unit_length(train, model):
-    from faultscope.operators.tfidf import add_grams
-
-    rows = model.transform(add_grams(train, "text")).select("features").collect()
+    rows = model.transform(train).select("features").collect()
     assert all(abs(r[0].norm(2) - 1) < 1e-9 for r in rows)
 
 
@@ -68,7 +66,9 @@ def test_forest_presets_and_unknown_classifier(spark, train):
 def test_whole_vocabulary_and_cleaned_input(train):
     cleaned = train.withColumn("text_clean", F.lower("text"))
     model = ml.train_text_classifier(cleaned, "text_clean", "label", "doc_id", ml.Preset(max_features=None, max_iter=20), cleaned=True)
-    assert len(model.stages[0].vocabulary) > 30
+    assert model.stages[0].terms(train.sparkSession).count() > 30
+    plain = ml.score_texts(cleaned, model, "text_clean", cleaned=True).select("doc_id", F.round("proba", 9))
+    assert sorted(plain.collect()) == sorted(ml.score_texts(train, model, "text").select("doc_id", F.round("proba", 9)).collect())
 
 
 def test_save_load_and_fallback(spark, model, train, tmp_path):
@@ -76,12 +76,19 @@ def test_save_load_and_fallback(spark, model, train, tmp_path):
     ml.save_model(model, path)
     loaded = ml.load_model(spark, path)
     assert ml.load_model(spark, path).uid == loaded.uid  # read anew each time, so a model saved again is seen
-    assert ml.load_model(spark, str(tmp_path / "absent"), fallback=path).stages[0].vocabulary == model.stages[0].vocabulary
+    again = ml.load_model(spark, str(tmp_path / "absent"), fallback=path)
+    assert sorted(again.stages[0].terms(spark).collect()) == sorted(model.stages[0].terms(spark).collect())
     a = ml.score_texts(train, model, "text").agg(F.sum("proba")).first()[0]
     b = ml.score_texts(train, loaded, "text").agg(F.sum("proba")).first()[0]
     assert abs(a - b) < 1e-9
     with pytest.raises(Exception):
         ml.load_model(spark, str(tmp_path / "none"))
+    (tmp_path / "broken" / "metadata").mkdir(parents=True)
+    (tmp_path / "broken" / "metadata" / "part-00000").write_text("{not json\n")
+    with pytest.raises(Exception):  # it is there, so the fallback does not hide it
+        ml.load_model(spark, str(tmp_path / "broken"), fallback=path)
+    ml.save_model(loaded, path)  # over itself
+    assert abs(a - ml.score_texts(train, ml.load_model(spark, path), "text").agg(F.sum("proba")).first()[0]) < 1e-9
 
 
 def test_pluggable_embedder(train):
@@ -174,13 +181,32 @@ def test_missing_scores_are_an_error(spark, wrong):
 
 def test_keywords_come_from_the_row(spark, train, model):
     texts = train.select("doc_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "zz qq")], "doc_id bigint, text string"))
-    terms, idf = model.stages[0].vocabulary, model.stages[1].getScalingVec().toArray()
-    vocabulary = spark.createDataFrame([(t, 1, float(x)) for t, x in zip(terms, idf)], "term string, df bigint, idf double")
+    vocabulary = model.stages[0].terms(spark).select("term", F.lit(1).cast("bigint").alias("df"), "idf")
     want = {tuple(r) for r in top_keywords(count_terms(add_grams(texts, "text"), "doc_id"), vocabulary, "doc_id", 5).collect()}
     got = {tuple(r) for r in scoring.explain(texts, model, "text", "doc_id", 5).collect()}
     assert got == want and got
 
 
+def test_a_model_brings_its_own_terms(spark, train, tmp_path):
+    """A unigram model sees no bigrams, also after it was saved; lookups and joins give the same vectors."""
+    single = ml.train_text_classifier(train, "text", "label", "doc_id", ml.Preset(ngrams=(1, 1), max_iter=20))
+    ml.save_model(single, str(tmp_path / "single"))
+    kept = ml.load_model(spark, str(tmp_path / "single"))
+    assert kept.stages[0].ngrams == (1, 1) and kept.stages[0].terms(spark).where("term LIKE '% %'").isEmpty()
+    texts = train.select("doc_id", "text").unionByName(spark.createDataFrame([(900, None), (901, "zz qq"), (902, "pump pump fire")], "doc_id bigint, text string"))
+    words = {w["word"] for r in ml.explain_texts(texts, kept, "text", 50).collect() for w in r["top_keywords"] or []}
+    assert words and not any(" " in w for w in words)
+    table = kept.stages[0]
+    looked, joined = (table.features(table.weigh(texts, "text", most_shared=n)).select("doc_id", "weighted_terms", "features") for n in (1 << 20, 0))
+    assert sorted(looked.collect()) == sorted(joined.collect()) and looked.count() == 63
+    by = {r["doc_id"]: r for r in looked.collect()}
+    assert by[900]["weighted_terms"] == by[901]["weighted_terms"] == [] and by[900]["features"].numNonzeros() == 0
+    idf = {r["term"]: (r["index"], r["idf"]) for r in table.terms(spark).collect()}
+    assert sorted(i for i, _ in idf.values()) == list(range(len(idf)))
+    a, b = 2 * idf["pump"][1], idf["fire"][1]
+    assert abs(by[902]["features"][idf["pump"][0]] - a / math.hypot(a, b)) < 1e-12
+
+
 def test_predict_by_embedding_model(spark, train, model):
     def embedder(texts):
         return [[len(t), t.count("e")] for t in texts]
