@@ -66,7 +66,7 @@ class Search(NamedTuple):
 def term_arrays(df: DataFrame, row_id: str, text: str, ngrams: tuple[int, int]) -> DataFrame:
     """``row_id``, ``terms`` (hashes, ascending) and ``tfs`` of every row, made inside the row."""
     counted = add_runs(add_grams(df.select(row_id, text), text, ngrams))
-    hashed = F.array_sort(F.transform("runs", lambda r: F.struct(F.xxhash64(r["term"]).alias("term"), r["tf"].cast("int").alias("tf"))))
+    hashed = F.sort_array(F.transform("runs", lambda r: F.struct(F.xxhash64(r["term"]).alias("term"), r["tf"].cast("int").alias("tf"))))
     return counted.select(row_id, hashed.alias("h")).select(row_id, F.col("h.term").alias("terms"), F.col("h.tf").alias("tfs"))
 
 
@@ -299,14 +299,15 @@ def scored(block: QueryBlock, best: Best, ids: np.ndarray, offsets: np.ndarray,
 def _weighted(index: CaseIndex, queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """One row for each query with a known term: ``id`` and ``entries`` of term, idf and unit-length weight."""
     spark = queries.sparkSession
-    arrays = term_arrays(queries, query_id, text, index.ngrams).withColumnRenamed(query_id, "id")
+    # Written first: unnested in one plan with their making, texts would be cut anew for each of their terms.
+    arrays = materialize(term_arrays(queries, query_id, text, index.ngrams).withColumnRenamed(query_id, "id"), "asked-texts")
     asked = materialize(arrays.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")), "asked-terms")
     side, _ = broadcast_if_small(asked, BROADCAST_TERMS)
     idf = F.col("a") + F.lit(index.level)
     known = _frequencies(spark, index).join(side, "term").select("id", "term", idf.alias("idf"), (F.col("tf") * idf).alias("weight"))
     lists = known.groupBy("id").agg(F.collect_list(F.struct("term", "idf", "weight")).alias("entries"))
     length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]))
-    one = F.array_sort(F.transform("entries", lambda e: F.struct(e["term"].alias("term"), e["idf"].alias("idf"), (e["weight"] / F.col("length")).alias("weight"))))
+    one = F.sort_array(F.transform("entries", lambda e: F.struct(e["term"].alias("term"), e["idf"].alias("idf"), (e["weight"] / F.col("length")).alias("weight"))))
     return materialize(lists.withColumn("length", length).where("length > 0").select("id", one.alias("entries")), "weighted-queries")
 
 

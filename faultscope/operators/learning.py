@@ -64,7 +64,7 @@ def train_text_classifier(
     for use. The model holds its n-grams and its vocabulary; the latter never passes through the driver."""
     n_rows = train.count()
     table = fit_term_table(train, text, row_id, n_rows, preset.ngrams, preset.min_df, preset.max_features, cleaned)
-    prepared = table.features(table.weigh(train, text, cleaned)).select("features", F.col(label).cast("double").alias(label))
+    prepared = table.weigh(train, text, cleaned).select("features", F.col(label).cast("double").alias(label))
     return PipelineModel([table, _fit(classifier(preset, n_rows, label=label), prepared, n_rows)])
 
 
@@ -95,7 +95,7 @@ def score_texts(
     ``top_keywords`` of the same text: its heaviest terms and their share. Texts are cut as in training.
     One pass without a shuffle while the vocabulary is of a size to share."""
     table = model.stages[0]
-    scored = PipelineModel(model.stages[1:]).transform(table.features(table.weigh(df, text, cleaned)))
+    scored = PipelineModel(model.stages[1:]).transform(table.weigh(df, text, cleaned))
     listed = [] if keywords is None else [strongest_terms(F.col("weighted_terms"), keywords).alias("top_keywords")]
     return _with_decision(scored.withColumn("proba", vector_to_array("probability")[1]), threshold).select(
         *df.columns, "proba", "pred", "label_text", *listed)

@@ -51,16 +51,15 @@ def number_terms(vocabulary: DataFrame) -> DataFrame:
     return hashed.select("term", "hash", "idf", (start + place - 1).cast("int").alias("index"))
 
 
-@F.arrow_udf(VectorUDT())
-def unit_vector(size: pa.Array, index: pa.Array, weight: pa.Array) -> pa.Array:
-    """Sparse vectors of length 1 from ascending indices and their weights; without any, a zero vector."""
-    offsets = index.offsets.to_numpy() - index.offsets[0].as_py()
-    values = weight.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(index)), np.diff(offsets))
-    length = np.sqrt(np.bincount(row, weights=values * values, minlength=len(index)))
-    scaled = values / np.where(length > 0, length, 1.0)[row]
-    lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (index.flatten(), pa.array(scaled))]
-    return pa.StructArray.from_arrays([pa.array(np.zeros(len(index), np.int8)), size, *lists], names=["type", "size", "indices", "values"])
+def unit_vectors(size: int, offsets: np.ndarray, index: np.ndarray, weight: np.ndarray) -> pa.Array:
+    """Sparse vectors of length 1 from ascending indices (-1: none) and their weights; without any, a zero vector."""
+    known = index >= 0
+    kept = np.concatenate(([0], np.cumsum(known)))[offsets]
+    row, values = np.repeat(np.arange(len(offsets) - 1), np.diff(kept)), weight[known]
+    length = np.sqrt(np.bincount(row, weights=values * values, minlength=len(offsets) - 1))
+    lists = [pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(x)) for x in (index[known].astype(np.int32), values / np.where(length > 0, length, 1.0)[row])]
+    n = len(offsets) - 1
+    return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], names=["type", "size", "indices", "values"])
 
 
 class TermTable(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
@@ -91,49 +90,59 @@ class TermTable(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
         return self.copy({self.table: copy})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self.features(self.weigh(df, self.getInputCol())).drop("weighted_terms")
-
-    def features(self, weighed: DataFrame) -> DataFrame:
-        known, n = F.col("weighted_terms"), F.lit(max(1, self.getOrDefault(self.size)))
-        return weighed.withColumn(self.getOutputCol(), unit_vector(n, known["index"], known["weight"]))
+        return self.weigh(df, self.getInputCol()).drop("weighted_terms")
 
     def weigh(self, df: DataFrame, text: str, cleaned: bool = False, most_shared: int = MOST_SHARED) -> DataFrame:
-        """Adds ``weighted_terms``: the known terms of a text with index and weight, by index.
+        """Adds the vector and ``weighted_terms``: the known terms of a text with their weights, by index.
 
         ``cleaned`` says that texts have been through ``clean_text``. Rows keep their number and columns."""
         counted = add_runs(add_grams(df, text, self.ngrams, cleaned))
-        hashed = F.array_sort(F.transform("runs", lambda r: F.struct(F.xxhash64(r["term"]).alias("hash"), r["term"].alias("term"), r["tf"].alias("tf"))))
+        hashed = F.sort_array(F.transform("runs", lambda r: F.struct(F.xxhash64(r["term"]).alias("hash"), r["term"].alias("term"), r["tf"].alias("tf"))))
         hashed = counted.withColumn("_terms", hashed).drop("runs", "grams")
         if self.getOrDefault(self.size) <= most_shared:
             return self._looked_up(hashed).drop("_terms")
         return self._joined(hashed).drop("_terms")
 
     def _looked_up(self, hashed: DataFrame) -> DataFrame:
-        shared = self._shared(hashed.sparkSession)
+        shared, size = self._shared(hashed.sparkSession), max(1, self.getOrDefault(self.size))
 
-        @F.arrow_udf("index array<int>, weight array<double>")
-        def found(hashes: pa.Array, tfs: pa.Array) -> pa.Array:
-            offsets = pa.array(hashes.offsets.to_numpy() - hashes.offsets[0].as_py(), pa.int32())
-            wanted, own = hashes.flatten().to_numpy(), shared.value
+        def looked_up(hashes: pa.Array, tfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own, wanted = shared.value, hashes.flatten().to_numpy()
             at = np.searchsorted(own.hashes, wanted)
             known = at < len(own.hashes)
             known[known] = own.hashes[at[known]] == wanted[known]
             at = np.where(known, at, -1)
-            weight = np.where(known, tfs.flatten().to_numpy() * np.append(own.idf, 0.0)[at], 0.0)
-            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (at.astype(np.int32), weight)], names=["index", "weight"])
+            return hashes.offsets.to_numpy() - hashes.offsets[0].as_py(), at, np.where(known, tfs.flatten().to_numpy() * np.append(own.idf, 0.0)[at], 0.0)
+
+        @F.arrow_udf(VectorUDT())
+        def vectors(hashes: pa.Array, tfs: pa.Array) -> pa.Array:
+            return unit_vectors(size, *looked_up(hashes, tfs))
+
+        @F.arrow_udf("array<double>")
+        def weights(hashes: pa.Array, tfs: pa.Array) -> pa.Array:
+            offsets, _, weight = looked_up(hashes, tfs)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(weight))
 
-        looked = hashed.withColumn("_found", found(F.col("_terms.hash"), F.col("_terms.tf")))
-        zipped = F.arrays_zip(F.col("_terms.term").alias("term"), F.col("_found.index").alias("index"), F.col("_found.weight").alias("weight"))
-        known = F.transform(F.filter(zipped, lambda x: x["index"] >= 0), lambda x: F.struct(x["index"].alias("index"), x["term"].alias("term"), x["weight"].alias("weight")))
-        return looked.withColumn("weighted_terms", known).drop("_found")
+        found = [f(F.col("_terms.hash"), F.col("_terms.tf")) for f in (vectors, weights)]
+        looked = hashed.withColumns({self.getOutputCol(): found[0], "_weights": found[1]})
+        zipped = F.arrays_zip(F.col("_terms.term").alias("term"), F.col("_weights").alias("weight"))
+        return looked.withColumn("weighted_terms", F.filter(zipped, lambda x: x["weight"] > 0)).drop("_weights")
 
     def _joined(self, hashed: DataFrame) -> DataFrame:
+        size = max(1, self.getOrDefault(self.size))
+
+        @F.arrow_udf(VectorUDT())
+        def vectors(index: pa.Array, weight: pa.Array) -> pa.Array:
+            return unit_vectors(size, index.offsets.to_numpy() - index.offsets[0].as_py(), index.flatten().to_numpy(), weight.flatten().to_numpy())
+
         numbered = materialize(hashed.withColumn("_row", F.monotonically_increasing_id()), "counted-texts")
         postings = numbered.select("_row", F.explode("_terms").alias("t")).select("_row", "t.hash", "t.tf")
         known = postings.join(self.terms(hashed.sparkSession), "hash").select("_row", F.struct("index", "term", (F.col("tf") * F.col("idf")).alias("weight")).alias("t"))
-        lists = known.groupBy("_row").agg(F.array_sort(F.collect_list("t")).alias("weighted_terms"))
+        lists = known.groupBy("_row").agg(F.sort_array(F.collect_list("t")).alias("_known"))
         empty = F.array().cast("array<struct<index:int,term:string,weight:double>>")
-        return numbered.join(lists, "_row", "left").withColumn("weighted_terms", F.coalesce("weighted_terms", empty)).drop("_row")
+        listed = numbered.join(lists, "_row", "left").withColumn("_known", F.coalesce("_known", empty))
+        listed = listed.withColumn(self.getOutputCol(), vectors(F.col("_known.index"), F.col("_known.weight")))
+        return listed.withColumn("weighted_terms", F.transform("_known", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight")))).drop("_row", "_known")
 
     def _shared(self, spark: SparkSession) -> Broadcast:
         """Hashes and weights in the order of the index; their number is known and bounded by the caller."""
@@ -194,7 +203,7 @@ def strongest_terms(weighted: Column, k: int) -> Column:
     """The k heaviest of ``weighted_terms`` as ``word`` and share of the weight of those k in percent, ties by
     term; null without any."""
     # equal weights stay equal whatever the summation
-    ranked = F.slice(F.array_sort(F.transform(weighted, lambda t: F.struct((-F.round(t["weight"], 9)).alias("key"), t["term"].alias("word"), t["weight"].alias("weight")))), 1, k)
+    ranked = F.slice(F.sort_array(F.transform(weighted, lambda t: F.struct((-F.round(t["weight"], 9)).alias("key"), t["term"].alias("word"), t["weight"].alias("weight")))), 1, k)
 
     def shares(top: Column) -> Column:
         total = F.aggregate(top, F.lit(0.0), lambda a, t: a + t["weight"])

@@ -21,20 +21,30 @@ def add_grams(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), cleane
     return df.withColumn("tokens", words(clean)).withColumn("grams", word_ngrams(F.col("tokens"), *ngrams)).drop("tokens")
 
 
-def add_runs(df: DataFrame, grams: str = "grams") -> DataFrame:
-    """Adds ``runs``: the distinct grams of a row with their counts, as an array of ``term`` and ``tf``. Counted inside
-    the row: sorted grams fall into runs, and a run's length is the count."""
-    g, s = F.col("_sorted"), F.col("_starts")
+def _in_order(df: DataFrame, grams: str) -> DataFrame:
+    """Adds the sorted grams and where each run of equal ones starts. Both are columns of their own, so that
+    texts are cleaned and sorted once and not once for each gram."""
+    g = F.col("_sorted")
     positions = F.when(F.size(g) > 0, F.sequence(F.lit(0), F.size(g) - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(positions, lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
-    terms = F.transform(s, lambda at, j: F.struct(
+    return df.withColumn("_sorted", F.sort_array(grams)).withColumn("_starts", starts)
+
+
+def _runs() -> Column:
+    g, s = F.col("_sorted"), F.col("_starts")
+    return F.transform(s, lambda at, j: F.struct(
         F.get(g, at).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(g)) - at).alias("tf")))
-    return df.withColumn("_sorted", F.sort_array(grams)).withColumn("_starts", starts).withColumn("runs", terms).drop("_sorted", "_starts")
+
+
+def add_runs(df: DataFrame, grams: str = "grams") -> DataFrame:
+    """Adds ``runs``: the distinct grams of a row with their counts, as an array of ``term`` and ``tf``. Counted inside
+    the row: sorted grams fall into runs, and a run's length is the count."""
+    return _in_order(df, grams).withColumn("runs", _runs()).drop("_sorted", "_starts")
 
 
 def count_terms(df: DataFrame, row_id: str, grams: str = "grams") -> DataFrame:
     """Postings ``(row_id, term, tf)``. No shuffle; each document emits every term once."""
-    return add_runs(df.select(row_id, F.col(grams).alias("grams"))).select(row_id, F.inline("runs"))
+    return _in_order(df.select(row_id, grams), grams).select(row_id, F.inline(_runs()))
 
 
 def fit_vocabulary(

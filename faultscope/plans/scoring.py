@@ -58,7 +58,7 @@ def translate_if_needed(
 
 def explain(df: DataFrame, model: PipelineModel, text: str, row_id: str, k: int = 15) -> DataFrame:
     """Keyword table ``(row_id, rank, word, pct)`` of the texts under the model's vocabulary."""
-    listed = explain_texts(df.select(row_id, text), model, text, k)
+    listed = materialize(explain_texts(df.select(row_id, text), model, text, k).select(row_id, "top_keywords"), "keywords")
     return listed.select(row_id, F.posexplode("top_keywords").alias("rank", "found")).select(
         row_id, (F.col("rank") + 1).alias("rank"), "found.word", "found.pct")
 
@@ -128,5 +128,6 @@ def score_documents(
 
 
 def keyword_export(predictions: DataFrame) -> DataFrame:
-    """One row per document and keyword, as offered for download."""
-    return predictions.select("file_name", F.inline("top_keywords"))
+    """One row per document and keyword, as offered for download. Lists are written first: unnested in one plan with
+    their making, a text would be cut anew for each of its terms."""
+    return materialize(predictions.select("file_name", "top_keywords"), "keywords").select("file_name", F.inline("top_keywords"))

@@ -197,7 +197,7 @@ def test_a_model_brings_its_own_terms(spark, train, tmp_path):
     words = {w["word"] for r in ml.explain_texts(texts, kept, "text", 50).collect() for w in r["top_keywords"] or []}
     assert words and not any(" " in w for w in words)
     table = kept.stages[0]
-    looked, joined = (table.features(table.weigh(texts, "text", most_shared=n)).select("doc_id", "weighted_terms", "features") for n in (1 << 20, 0))
+    looked, joined = (table.weigh(texts, "text", most_shared=n).select("doc_id", "weighted_terms", "features") for n in (1 << 20, 0))
     assert sorted(looked.collect()) == sorted(joined.collect()) and looked.count() == 63
     by = {r["doc_id"]: r for r in looked.collect()}
     assert by[900]["weighted_terms"] == by[901]["weighted_terms"] == [] and by[900]["features"].numNonzeros() == 0

@@ -130,3 +130,19 @@ def test_similar_case_view(spark, docs):
     rows = {r["rank"]: r for r in sim.similar_case_view(cases, history, "doc_id", "item_id", "text").collect()}
     assert rows[1]["similarity_pct"] == 98.8 and rows[1]["date"] == "20240101" and rows[1]["detected_type"] == ""
     assert len(rows[1]["excerpt"]) == 201 and rows[1]["excerpt"].endswith("…")
+
+
+def test_texts_are_cleaned_once(docs, tmp_path):
+    """The optimiser must not copy the cleaning into what is done for each gram."""
+    from faultscope.operators.case_index import term_arrays
+    from faultscope.operators.term_table import TermTable, strongest_terms
+
+    path = str(tmp_path / "terms")
+    docs.sparkSession.range(2).selectExpr("cast(id AS string) AS term", "id AS hash", "1.0D AS idf", "cast(id AS int) AS `index`").write.parquet(path)
+    table = TermTable(path, 2)
+    weighed = table.weigh(docs, "text")
+    plans = [tf.count_terms(tf.add_grams(docs, "text"), "doc_id"), term_arrays(docs, "doc_id", "text", (1, 2)),
+             weighed.select("features", strongest_terms(F.col("weighted_terms"), 5))]
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") == 1
