@@ -47,36 +47,44 @@ def shuffle_key(row_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
 
 
-def smallest_keys(df: DataFrame, key: Column, n_take: dict, group: str | None = None) -> Column:
+#: Keys that are ranked at once, for each group; larger bins are cut by further digits.
+MOST_RANKED, DIGITS = 100_000, 4
+
+
+def smallest_keys(df: DataFrame, key: Column, n_take: dict, group: str | None = None, most_ranked: int = MOST_RANKED) -> Column:
     """A condition that holds for the ``n_take[g]`` smallest hex keys of each group ``g``.
 
-    Two small jobs find each group's last key inside: a histogram over the first four hex digits
-    (65 536 bins) tells the bin the cut falls into, and only that bin's keys are ranked. The
+    Radix selection: a histogram over the next four hex digits (65 536 bins) of the keys that share the digits
+    so far tells the bin the cut falls into, until that bin has at most ``most_ranked`` keys; only these are ranked. The
     rows themselves are neither shuffled nor joined, they are compared with a literal. Keys must
     be unique, and groups few, such as classes. Without a group use the key None."""
     by = F.lit(None).cast("string") if group is None else F.col(group)
-    keyed = df.select(by.alias("g"), key.alias("key")).withColumn("bin", F.substring("key", 1, 4))
-    takes = {g: n for g, n in n_take.items() if n > 0}
-
-    if not takes:
+    keyed = df.select(by.alias("g"), key.alias("key"))
+    rests = {g: n for g, n in n_take.items() if n > 0}
+    if not rests:
         return F.lit(False)
+    takes = list(rests)
 
     def of_group(values: dict, c: Column = F.col("g")) -> Column:
         return F.coalesce(*[F.when(c.eqNullSafe(F.lit(g)), F.lit(v)) for g, v in values.items()], F.lit(None))
 
     so_far = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cut_bins = (
-        keyed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n_bin"))
-        .withColumn("n_upto", F.sum("n_bin").over(so_far))
-        .withColumn("n_take", of_group(takes))
-        .filter((F.col("n_upto") >= F.col("n_take")) & (F.col("n_upto") - F.col("n_bin") < F.col("n_take")))
-        .collect()
-    )
-    in_cut = F.coalesce(F.col("bin") == of_group({r["g"]: r["bin"] for r in cut_bins}), F.lit(False))
-    rests = {r["g"]: r["n_take"] - (r["n_upto"] - r["n_bin"]) for r in cut_bins}
+    cut, digits, largest = keyed, 0, most_ranked + 1
+    while largest > most_ranked and digits < 64:
+        digits += DIGITS
+        bins = (
+            cut.groupBy("g", F.substring("key", 1, digits).alias("bin")).agg(F.count(F.lit(1)).alias("n_bin"))
+            .withColumn("n_upto", F.sum("n_bin").over(so_far))
+            .withColumn("n_take", of_group(rests))
+            .filter((F.col("n_upto") >= F.col("n_take")) & (F.col("n_upto") - F.col("n_bin") < F.col("n_take")))
+            .collect()
+        )
+        rests = {r["g"]: r["n_take"] - (r["n_upto"] - r["n_bin"]) for r in bins}
+        in_cut = F.substring("key", 1, digits) == of_group({r["g"]: r["bin"] for r in bins})
+        cut = keyed.filter(F.coalesce(in_cut, F.lit(False)))
+        largest = max((r["n_bin"] for r in bins if r["n_bin"] > 1), default=0)
     last = (
-        keyed.filter(in_cut)
-        .withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("key")))
+        cut.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("key")))
         .filter(F.col("rank") == of_group(rests))
         .collect()
     )

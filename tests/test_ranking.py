@@ -79,3 +79,16 @@ def test_running_totals(spark, pairs, descending):
         total += sums[k]
         want[float(k)] = (total, sums[order[i + 1]] if i + 1 < len(order) else None)
     assert got == want
+
+
+@pytest.mark.parametrize("most_ranked", [0, 1, 40])
+def test_radix_selection_cuts_until_few_keys_are_left(spark, most_ranked):
+    """Keys that share many first digits take several rounds; the result is that of a sort."""
+    rows = [(g, f"{'abcd' * n}{i:04x}") for g, n in (("x", 0), ("y", 1), ("z", 3)) for i in range(0, 400, 7)] + [("y", "ff"), (None, "aa"), (None, "ab")]
+    df = spark.createDataFrame(rows, "g string, k string")
+    takes = {"x": 5, "y": 58, "z": 17, None: 1, "w": 3}
+    if most_ranked == 0:
+        most_ranked, takes = 1, {"x": 1000, "y": 0, "z": 1}
+    got = df.where(rk.smallest_keys(df, F.col("k"), takes, "g", most_ranked)).collect()
+    want = [(g, k) for g, n in takes.items() for k in sorted(b for a, b in rows if a == g)[:n]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
