@@ -113,7 +113,7 @@ def _text_sql(shown: str) -> str:
 def _attribute_sql(tag: str, name: str) -> str:
     pattern = r"""([^ \t\n\r\f"''>/=]+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*("[^"]*"|''[^'']*''|[^ \t\n\r\f"''>][^ \t\n\r\f>]*))?"""
     pairs = f"list_zip(regexp_extract_all({tag}, '{pattern}', 1), list_transform(regexp_extract_all({tag}, '{pattern}', 2), lambda v: coalesce(v, '')))"
-    value = f"list_filter({pairs}, lambda a: lower(a[1]) = '{name}')[1][2]"
+    value = f"list_filter({pairs}, lambda a: lower(a[1]) = '{name}' AND a[2] <> '')[1][2]"
     return rf"""regexp_replace(regexp_replace({value}, '^["'']|["'']$', '', 'g'), '[\r\n]+', ' ', 'g')"""
 
 

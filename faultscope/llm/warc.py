@@ -36,7 +36,12 @@ TO_TEXT = (
     (rf"(?is)</?{_tag(_BLOCKS)}", "\n"),
     (TAG, ""),
 )
-ATTRIBUTE = rf"""([^ \t\n\r\f"'>/=]+)(?:{_GAP}*={_GAP}*("[^"]*"|'[^']*'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*))?"""
+#: Every tag in turn; of links and of the root element what follows <, to look for attributes in.
+LINKING = rf"(?s)<((?:[aA]|[hH][tT][mM][lL])[ \t\n\r\f/]{_INSIDE}){_END}|</?[A-Za-z]{_INSIDE}{_END}|<[!?/][^>]*+{_END}"
+#: Where < stands inside a tag or a quoted value; in other pages links can be looked for by themselves.
+NESTED = rf"""={_GAP}*+(?:"[^"<]*+<|'[^'<]*+<)|<[A-Za-z/!?][^<>]*+<"""
+LINKS_ONLY = rf"<((?:[aA]|[hH][tT][mM][lL])[ \t\n\r\f/]{_INSIDE}){_END}"
+_NAME, _VALUE = r"[^ \t\n\r\f\"'>/=]++", r"""(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*+)"""
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: References with one meaning wherever they stand, replaced before the others; ``&amp;`` is left to the end.
 PLAIN_REFERENCES = (*ENTITIES[:-1], ("&middot;", "·"), ("&copy;", "©"))
@@ -50,7 +55,7 @@ NUMBERED = {
     if n == 0xA0 or unescape(f"&#{n};") != chr(n)
 }
 _LAST_CHARACTER = 0x10FFFF
-SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
+SPACES = ((r"[ \t\r\f\x0B]{2,}+|[\t\r\f\x0B]", " "), (r" \n[ \n]*+|\n[ \n]++", "\n"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,7 +93,8 @@ def _after_ampersand(piece: Column) -> Column:
         return F.substring(piece, F.length(reference) + 1, F.length(piece))
 
     return (
-        F.when(number != "", F.concat(_numbered(number), rest(number)))
+        F.when(F.startswith(piece, F.lit("amp;")), F.concat(F.lit("&"), rest(F.lit("amp;"))))  # by far the most frequent: no look-up
+        .when(number != "", F.concat(_numbered(number), rest(number)))
         .when(named.isNotNull(), F.concat(named, rest(name)))
         .when(unclosed != "", F.concat(F.try_element_at(_table(UNCLOSED), unclosed), rest(unclosed)))
         .otherwise(F.concat(F.lit("&"), piece))
@@ -113,14 +119,12 @@ def visible(html: Column) -> Column:
 def plain_text(markup: Column) -> Column:
     """The text of ``visible`` markup: lines by block elements, references decoded, spaces collapsed."""
     out = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), TO_TEXT, markup)
-    return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPACES, decoded(out))
+    return F.btrim(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPACES, decoded(out)), F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
     """A name-based record id: equal parts give equal ids."""
-    digest = F.md5(F.concat_ws("\n", *parts))
-    cut = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
+    return F.regexp_replace(F.md5(F.concat_ws("\n", *parts)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def digest_of(block: Column) -> Column:
@@ -145,9 +149,9 @@ def responses(
     if headers is not None:
         given.append(F.col(f"`{headers}`").cast("map<string,string>").alias("source_headers"))
     base = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), address.alias("target_uri"), body.alias("payload"), *given)
-    digest = digest_of(F.col("payload"))
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    source = base.select("*", record_id(F.lit("response"), number, F.col("target_uri"), digest).alias("record_id"), digest.alias("payload_digest"))
+    digested = base.withColumn("payload_digest", digest_of(F.col("payload")))  # a column, so that bodies are digested once
+    source = digested.withColumn("record_id", record_id(F.lit("response"), number, F.col("target_uri"), F.col("payload_digest")))
     return source.select("page_id", "record_id", "target_uri", "payload", "payload_digest", *_carried(source))
 
 
@@ -156,29 +160,34 @@ def _carried(records: DataFrame) -> list[str]:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """The value of the first attribute of that name in a tag, as written, without quotes; null without one."""
-    names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
-    both = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda x: F.lower(x["name"]) == name)
-    return F.regexp_replace(F.get(both["value"], F.lit(0)), """^["']|["']$""", "")
+    """The value of the first attribute of that name that has one, as written, without quotes; null without."""
+    pattern = rf"(?:(?i:{name}){_GAP}*+={_GAP}*+({_VALUE})|{_NAME}(?:{_GAP}*+={_GAP}*+{_VALUE})?+)"
+    found = F.filter(F.regexp_extract_all(tag, F.lit(pattern), F.lit(1)), lambda x: x != "")
+    return F.regexp_replace(F.get(found, F.lit(0)), """^["']|["']$""", "")
 
 
-def metadata_block(payload: Column, markup: Column) -> Column:
-    """Fields of a page: title, language, links out in order, size. ``markup`` is the visible one."""
+def metadata_block(payload: Column, markup: Column, tags: Column) -> Column:
+    """Fields of a page: title, language, links out in order, size, from its visible markup and ``linking_tags``."""
     title = F.regexp_extract(markup, rf"(?is)<{_tag('title')}(.*?)(?:</title{_GAP}*+{_END}|\z)", 1)
-    tags = F.filter(F.regexp_extract_all(markup, F.lit(TAG), F.lit(0)), lambda tag: tag.rlike("(?i)^<(?:a|html)[ \\t\\n\\r\\f/]"))
 
     def values(first: str, name: str) -> Column:
-        found = F.transform(F.filter(tags, lambda tag: F.lower(F.substring(tag, 2, 1)) == first), lambda tag: attribute(tag, name))
+        found = F.transform(F.filter(tags, lambda tag: F.lower(F.substring(tag, 1, 1)) == first), lambda tag: attribute(tag, name))
         return F.filter(found, lambda x: x.isNotNull())
 
-    lang, links = F.coalesce(F.get(values("h", "lang"), F.lit(0)), F.lit("")), values("a", "href")
+    lang = F.coalesce(F.get(values("h", "lang"), F.lit(0)), F.lit(""))
     lines = F.concat(
         F.array(F.concat(F.lit("title: "), plain_text(title)), F.concat(F.lit("language: "), _one_line(lang)), F.concat(F.lit("payload-length: "), F.octet_length(payload).cast("string"))),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), _one_line(x))),
+        F.transform(values("a", "href"), lambda x: F.concat(F.lit("outlink: "), _one_line(x))),
     )
     return F.concat(F.array_join(lines, CRLF), F.lit(CRLF))
 
 
+def linking_tags(markup: Column) -> Column:
+    """Links and root elements of visible markup, without what encloses a tag; not those within another tag's values."""
+    every = F.filter(F.regexp_extract_all(markup, F.lit(LINKING), F.lit(1)), lambda tag: tag != "")
+    return F.when(markup.rlike(NESTED), every).otherwise(F.regexp_extract_all(markup, F.lit(LINKS_ONLY), F.lit(1)))
+
+
 def _one_line(value: Column) -> Column:
     return F.regexp_replace(value, "[\r\n]+", " ")
 
@@ -191,9 +200,9 @@ def derivatives(source: DataFrame) -> DataFrame:
     conversion and a metadata block without title, language and links. Comments, scripts, styles, tags and
     quoted values that are not closed reach to the end of the page, as in browsers, and links in comments do
     not count. Every pattern passes a page once, whatever it holds."""
-    source = source.withColumn("_visible", visible(F.col("payload")))
+    source = source.withColumn("_visible", visible(F.col("payload"))).withColumn("_tags", linking_tags(F.col("_visible")))
     shown = F.col("_visible")
-    kinds = (("metadata", "application/warc-fields", metadata_block(F.col("payload"), shown)), ("conversion", "text/plain; charset=utf-8", plain_text(shown)))
+    kinds = (("metadata", "application/warc-fields", metadata_block(F.col("payload"), shown, F.col("_tags"))), ("conversion", "text/plain; charset=utf-8", plain_text(shown)))
     records = F.array(*[F.struct(F.lit(k).alias("record_type"), F.lit(t).alias("content_type"), b.alias("block")) for k, t, b in kinds])
     one = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_payload_digest"), *_carried(source), F.inline(records))
     return one.select(

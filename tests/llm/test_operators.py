@@ -439,7 +439,7 @@ MALFORMED = {
     "<!DOCTYPE html>a<?xml?>b</ odd>c</p >d<p\nclass='>'>e": ("abc\nd\ne", []),
     "1 < 2 > 0 <3 <b": ("1 < 2 > 0 <3", []),
     "<scripted>a</scripted><html lang=de-AT><title>T &lt;x</title lang>U": ("a\nT <x\nU", []),
-    "<a href>x</a><a href=''>y</a><a href='/a\nb'>z": ("xyz", ["", "", "/a b"]),
+    "<a href>x</a><a href=''>y</a><a href='/a\nb'>z": ("xyz", ["", "/a b"]),
 }
 
 
