@@ -75,6 +75,12 @@ def fold_letters(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)
 
 
+def fold_single(c: Column) -> Column:
+    """The first part of ``fold_letters``: characters that one letter or blank stands for."""
+    source, target, _ = _fold_tables()
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(c, source, target))
+
+
 def clean_text(c: Column) -> Column:
     """Null to empty, accents folded, lower case, anything but letters and ``_`` to one blank."""
     blanked = F.regexp_replace(F.lower(fold_letters(ensure_str(c))), "[^a-z_]+", " ")

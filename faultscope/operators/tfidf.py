@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultscope.functions.terms import hashed_terms, listed_terms
 from faultscope.functions.text import clean_text, word_ngrams, words
 from faultscope.session import broadcast_if_small, materialize
 
-# Sides up to this many narrow rows are broadcast; beyond it the join shuffles with salted hot terms.
+# Sides up to this many narrow rows are broadcast; beyond it, that many of the most frequent terms are.
 BROADCAST_TERMS = 1_000_000
-HOT_TERMS = 10_000
-HOT_SALTS = 64
 
 
 def add_grams(df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False) -> DataFrame:
@@ -47,15 +48,26 @@ def count_terms(df: DataFrame, row_id: str, grams: str = "grams") -> DataFrame:
     return _in_order(df.select(row_id, grams), grams).select(row_id, F.inline(_runs()))
 
 
+def text_postings(df: DataFrame, text: str, row_id: str, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False) -> DataFrame:
+    """``(row_id, hash, term, tf)``: the postings of ``count_terms``, cut and counted in Arrow batches."""
+    return df.select(row_id, listed_terms(text, ngrams, cleaned).alias("t")).select(row_id, F.inline("t"))
+
+
+def hash_postings(df: DataFrame, text: str, row_id: str, ngrams: tuple[int, int] = (1, 2)) -> DataFrame:
+    """``(row_id, hash, tf)``: the postings of ``text_postings`` without their terms."""
+    arrays = df.select(row_id, hashed_terms(text, ngrams).alias("h"))
+    return arrays.select(row_id, F.inline(F.arrays_zip(F.col("h.terms").alias("hash"), F.col("h.tfs").alias("tf"))))
+
+
 def fit_vocabulary(
-    postings: DataFrame, n_docs: int, min_df: int = 1, max_features: int | None = None, label: str = "vocabulary"
+    postings: DataFrame, n_docs: int, min_df: int = 1, max_features: int | None = None, label: str = "vocabulary", key: str = "term"
 ) -> DataFrame:
-    """``(term, df, cf, idf)`` of the training documents as a written table.
+    """``(term, df, cf, idf)`` of the training documents as a written table, for another ``key`` under its name.
 
     ``idf = ln((1 + n) / (1 + df)) + 1``. ``max_features`` keeps the terms with the highest total
     count, ties by term: a histogram of log-scaled counts (a few hundred bins) first drops the
     bulk of rare terms, so that the final sort only sees about as many terms as it keeps."""
-    stats = postings.groupBy("term").agg(
+    stats = postings.groupBy(key).agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").cast("bigint").alias("cf")
     ).filter(F.col("df") >= min_df)
     if max_features is not None:
@@ -67,33 +79,45 @@ def fit_vocabulary(
             smallest, kept = row["size"], kept + row["n"]
             if kept >= max_features:
                 break
-        stats = stats.filter(size >= smallest).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+        stats = stats.filter(size >= smallest).orderBy(F.desc("cf"), F.asc(key)).limit(max_features)
     idf = F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     return materialize(stats.withColumn("idf", idf), label)
 
 
-def join_terms(postings: DataFrame, terms: DataFrame, spread: Column, max_broadcast: int = BROADCAST_TERMS) -> DataFrame:
-    """Inner join on ``term``; postings of unknown terms drop out.
+def frequent_from(terms: DataFrame, most: int) -> int | None:
+    """The least ``df`` that at most ``most`` terms reach, by a histogram of log-scaled frequencies; None if there is none."""
+    size = F.floor(F.log2(F.col("df").cast("double")) * 8)
+    bins = terms.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("df").alias("least")).orderBy(F.desc("size")).collect()
+    least, n = None, 0
+    for row in bins:
+        n += row["n"]
+        if n > most or row["least"] is None:
+            break
+        least = row["least"]
+    return least
 
-    Term tables are counted: small ones are broadcast. For larger ones the most frequent terms
-    (by ``df``) are salted on both sides, so a term found in every document is still spread."""
+
+def split_terms(postings: DataFrame, terms: DataFrame, max_broadcast: int = BROADCAST_TERMS, key: str = "term") -> list[DataFrame]:
+    """The inner join on ``key``, as parts. Of a large table the most frequent terms are broadcast and only postings of
+    the others are exchanged, of which none can be in many documents: it has fewer than all ``max_broadcast`` common ones."""
     side, small = broadcast_if_small(terms, max_broadcast)
     if small:
-        return postings.join(side, "term")
-    hot = F.broadcast(
-        terms.groupBy("term").agg(F.max("df").alias("df")).orderBy(F.desc("df")).limit(HOT_TERMS)
-        .select("term", F.lit(HOT_SALTS).alias("salts"))
-    )
-    left = postings.join(hot, "term", "left").withColumn(
-        "salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("salts")), F.lit(0))).drop("salts")
-    right = terms.join(hot, "term", "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1))).drop("salts")
-    return left.join(right, ["term", "salt"]).drop("salt")
+        return [postings.join(side, key)]
+    least = frequent_from(terms, max_broadcast)
+    if least is None:
+        return [postings.join(terms, key)]
+    common = F.broadcast(terms.where(F.col("df") >= least))
+    return [postings.join(common, key), postings.join(common.select(key), key, "left_anti").join(terms.where(F.col("df") < least), key)]
+
+
+def join_terms(postings: DataFrame, terms: DataFrame, spread: Column | None = None, max_broadcast: int = BROADCAST_TERMS, key: str = "term") -> DataFrame:
+    """Inner join on ``key``; postings of unknown terms drop out. ``spread`` is no longer needed."""
+    return reduce(DataFrame.unionByName, split_terms(postings, terms, max_broadcast, key))
 
 
-def weigh(postings: DataFrame, vocabulary: DataFrame, row_id: str, normalise: bool = True) -> DataFrame:
+def weigh(postings: DataFrame, vocabulary: DataFrame, row_id: str, normalise: bool = True, key: str = "term") -> DataFrame:
     """``(row_id, term, weight)`` with ``tf * idf``, scaled to unit length per document."""
-    raw = join_terms(postings, vocabulary.select("term", "df", "idf"), F.col(row_id)).select(
+    raw = join_terms(postings, vocabulary.select(key, "df", "idf"), key=key).select(
         row_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
     if not normalise:
         return raw
@@ -101,21 +125,24 @@ def weigh(postings: DataFrame, vocabulary: DataFrame, row_id: str, normalise: bo
     return raw.withColumn("weight", F.col("weight") / F.when(length == 0, F.lit(1.0)).otherwise(length))
 
 
-def document_norms(postings: DataFrame, vocabulary: DataFrame, row_id: str) -> DataFrame:
-    """Terms known to the vocabulary and Euclidean length per document that has any."""
-    raw = weigh(postings, vocabulary, row_id, normalise=False)
-    return raw.groupBy(row_id).agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+def document_norms(postings: DataFrame, vocabulary: DataFrame, row_id: str, key: str = "term") -> DataFrame:
+    """Terms known to the vocabulary and Euclidean length per document that has any. Postings of frequent
+    terms are summed up where they are."""
+    weight = F.col("tf") * F.col("idf")
+    parts = [
+        p.groupBy(row_id).agg(F.count(F.lit(1)).alias("n"), F.sum(weight * weight).alias("squares"))
+        for p in split_terms(postings, vocabulary.select(key, "df", "idf"), key=key)]
+    return reduce(DataFrame.unionByName, parts).groupBy(row_id).agg(F.sum("n").alias("n_terms"), F.sqrt(F.sum("squares")).alias("norm"))
 
 
-def top_keywords(postings: DataFrame, vocabulary: DataFrame, row_id: str, k: int = 15) -> DataFrame:
+def top_keywords(postings: DataFrame, vocabulary: DataFrame, row_id: str, k: int = 15, key: str = "term") -> DataFrame:
     """``(row_id, rank, word, pct)``: the k heaviest terms of a document and their share of the
     weight of those k, in percent to one place. The document length cancels in the share.
 
     The filter on the rank keeps k rows per document before anything is shuffled."""
     by_weight = Window.partitionBy(row_id).orderBy(F.desc("ranked"), F.asc("term"))
     top = (
-        weigh(postings, vocabulary, row_id, normalise=False)
+        weigh(postings, vocabulary, row_id, normalise=False, key=key)
         .withColumn("ranked", F.round("weight", 9))  # equal weights stay equal whatever the summation
         .withColumn("rank", F.row_number().over(by_weight)).filter(F.col("rank") <= k)
     )

@@ -289,26 +289,33 @@ def training_sample(spark, sf):
 
 def _vocabulary(spark, sf, ngrams=(1, 2), min_df=1, max_features=None):
     docs = texts(spark, sf).select("doc_id", "text")
-    postings = tfidf.count_terms(tfidf.add_grams(docs, "text", ngrams), "doc_id")
-    return postings, tfidf.fit_vocabulary(postings, docs.count(), min_df=min_df, max_features=max_features)
+    return tfidf.fit_vocabulary(tfidf.text_postings(docs, "text", "doc_id", ngrams), docs.count(), min_df=min_df, max_features=max_features)
+
+
+def _hash_vocabulary(docs):
+    """Postings and vocabulary by hashes of terms, which are narrower than terms."""
+    postings = tfidf.hash_postings(docs, "text", "doc_id")
+    return postings, tfidf.fit_vocabulary(postings, docs.count(), key="hash")
 
 
 def term_vocabulary(spark, sf):
     """The vocabulary of a preset; ``whole_vocabulary`` has no limit."""
-    return _vocabulary(spark, sf, min_df=learning.FULL.min_df, max_features=learning.FULL.max_features)[1].withColumn(
+    return _vocabulary(spark, sf, min_df=learning.FULL.min_df, max_features=learning.FULL.max_features).withColumn(
         "idf", F.round("idf", 6))
 
 
 def whole_vocabulary(spark, sf):
-    return _vocabulary(spark, sf)[1].withColumn("idf", F.round("idf", 6))
+    return _vocabulary(spark, sf).withColumn("idf", F.round("idf", 6))
 
 
 def document_norms(spark, sf):
-    return tfidf.document_norms(*_vocabulary(spark, sf), "doc_id").withColumn("norm", F.round("norm", 5))
+    postings, vocabulary = _hash_vocabulary(texts(spark, sf).select("doc_id", "text"))
+    return tfidf.document_norms(postings, vocabulary, "doc_id", key="hash").withColumn("norm", F.round("norm", 5))
 
 
 def tfidf_keywords(spark, sf):
-    return tfidf.top_keywords(*_vocabulary(spark, sf), "doc_id", 15)
+    docs = texts(spark, sf).select("doc_id", "text")
+    return tfidf.top_keywords(tfidf.text_postings(docs, "text", "doc_id"), _hash_vocabulary(docs)[1], "doc_id", 15, key="hash")
 
 
 def similar_cases(spark, sf):
