@@ -19,6 +19,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass, replace
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -26,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultscope.functions.terms import hashed_terms, term_hash
 from faultscope.operators.ranking import top_per_group
-from faultscope.operators.tfidf import BROADCAST_TERMS, add_grams, add_runs
+from faultscope.operators.tfidf import BROADCAST_TERMS, split_terms
 from faultscope.session import broadcast_if_small, materialize
 
+#: How terms are hashed (``functions.terms``); an index of another kind is not read.
+HASHING = "words-blake2b"
 #: Query terms that reach every worker at once; more queries are searched in several passes.
 MOST_ENTRIES = 4_000_000
 #: Queries that share a bound, and (case, query) sums that a worker holds at once.
@@ -48,6 +52,7 @@ class CaseIndex:
     n_cases: int = 0
     frequencies: str = ""
     segments: tuple[tuple[str, str], ...] = ()
+    hashing: str = "xxhash64"
 
     @property
     def level(self) -> float:
@@ -65,9 +70,8 @@ class Search(NamedTuple):
 
 def term_arrays(df: DataFrame, row_id: str, text: str, ngrams: tuple[int, int]) -> DataFrame:
     """``row_id``, ``terms`` (hashes, ascending) and ``tfs`` of every row, made inside the row."""
-    counted = add_runs(add_grams(df.select(row_id, text), text, ngrams))
-    hashed = F.sort_array(F.transform("runs", lambda r: F.struct(F.xxhash64(r["term"]).alias("term"), r["tf"].cast("int").alias("tf"))))
-    return counted.select(row_id, hashed.alias("h")).select(row_id, F.col("h.term").alias("terms"), F.col("h.tf").alias("tfs"))
+    hashed = hashed_terms(text, ngrams).alias("h")
+    return df.select(row_id, hashed).select(row_id, "h.terms", "h.tfs")
 
 
 # ---- tables of an index
@@ -104,21 +108,24 @@ def load_index(spark: SparkSession, path: str) -> CaseIndex:
     """The last complete version of an index."""
     told = spark.read.text(f"{path}/manifest-*").select("value", F.input_file_name().alias("file")).orderBy(F.desc("file")).first()
     kept = json.loads(told["value"])
+    if kept.get("hashing") != HASHING:
+        raise ValueError(f"the index at {path} has terms of another hash; build it anew")
     return CaseIndex(**kept | {"path": path, "ngrams": tuple(kept["ngrams"]), "segments": tuple(map(tuple, kept["segments"]))})
 
 
 def _sums(matrix: DataFrame, row_id: str, terms: DataFrame) -> DataFrame:
-    """Per case the sums of tf^2 times ``x0``, ``x1``, ``x2`` of its terms. Small term tables go to the cases;
-    beyond the limit narrow postings go to the terms."""
-    side, _ = broadcast_if_small(terms, BROADCAST_TERMS)
-    postings = matrix.select(row_id, F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(row_id, "p.terms", F.col("p.tfs").cast("double").alias("tf"))
-    joined = postings.join(side, F.col("terms") == F.col("term"))
-    return joined.groupBy(row_id).agg(*[F.sum(F.col("tf") * F.col("tf") * F.col(f"x{i}")).alias(f"d{i}") for i in range(3)])
+    """Per case the sums of tf^2 times ``x0``, ``x1``, ``x2`` of its terms (``term``, ``df`` and these). Frequent terms go to the
+    cases and are summed up there; beyond the limit narrow postings go to the terms."""
+    postings = matrix.select(row_id, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").cast("array<double>").alias("tf"))))
+    parts = [
+        p.groupBy(row_id).agg(*[F.sum(F.col("tf") * F.col("tf") * F.col(f"x{i}")).alias(f"d{i}") for i in range(3)])
+        for p in split_terms(postings, terms)]
+    return reduce(DataFrame.unionByName, parts).groupBy(row_id).agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(3)])
 
 
 def _lengths(matrix: DataFrame, index: CaseIndex, terms: DataFrame) -> DataFrame:
     """``norms`` of all cases of a segment, also of those without a known term."""
-    sums = _sums(matrix, index.row_id, terms.select("term", F.lit(1.0).alias("x0"), F.col("a").alias("x1"), (F.col("a") * F.col("a")).alias("x2")))
+    sums = _sums(matrix, index.row_id, terms.select("term", "df", F.lit(1.0).alias("x0"), F.col("a").alias("x1"), (F.col("a") * F.col("a")).alias("x2")))
     return matrix.select(index.row_id).join(sums, index.row_id, "left").select(index.row_id, *[F.coalesce(f"d{i}", F.lit(0.0)).alias(f"s{i}") for i in range(3)])
 
 
@@ -136,12 +143,12 @@ def build_index(
     for good. ``buckets`` is the number of files of a segment, by default the session's shuffle partitions."""
     spark = history.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = CaseIndex(path, row_id, history.schema[row_id].dataType.simpleString(), tuple(ngrams), n, vocabulary is not None)
+    index = CaseIndex(path, row_id, history.schema[row_id].dataType.simpleString(), tuple(ngrams), n, vocabulary is not None, hashing=HASHING)
     name = _write(index, term_arrays(history, row_id, text, ngrams), "matrix")
     if vocabulary is None:
         frequencies = _count(_table(spark, index, name)).withColumn("a", 1 - F.log(1.0 + F.col("df")))
     else:
-        frequencies = vocabulary.select(F.xxhash64("term").alias("term"), F.lit(None).cast("bigint").alias("df"), F.col("idf").cast("double").alias("a"))
+        frequencies = vocabulary.select(term_hash("term").alias("term"), F.lit(None).cast("bigint").alias("df"), F.col("idf").cast("double").alias("a"))
     return _with_segment(spark, index, name, frequencies, ())
 
 
@@ -172,7 +179,7 @@ def append_cases(spark: SparkSession, index: CaseIndex, more: DataFrame, text: s
     total = before.select("term", "df").unionByName(added).groupBy("term").agg(F.sum("df").alias("df")).withColumn("a", 1 - F.log(1.0 + F.col("df")))
     old, new = F.col("a"), 1 - F.log(1.0 + F.col("df") + F.col("more"))
     changed = before.join(added.withColumnRenamed("df", "more"), "term").select(
-        "term", F.lit(0.0).alias("x0"), (new - old).alias("x1"), (new * new - old * old).alias("x2"))
+        "term", (F.col("df") + F.col("more")).alias("df"), F.lit(0.0).alias("x0"), (new - old).alias("x1"), (new * new - old * old).alias("x2"))
     changed = materialize(changed, "changed-terms")
     earlier = []
     for kept, norms in index.segments:
