@@ -2,7 +2,7 @@
 
 A ``TermTable`` is a stage of a Spark ML pipeline. It holds the folder of its table (``term``, ``hash``, ``idf``,
 ``index``) and how texts are cut into terms, so a saved model brings its own cleaning and n-grams. An
-index is a term's place in the order of 64-bit hashes; terms are counted in their rows and looked up by hash. A table of
+index is a term's place in the order of 64-bit hashes of the table; terms are counted in their rows and looked up by hash. A table of
 measured size goes to every worker as two sorted arrays, and rows stay where they are. Beyond that size the counts are
 joined with the table and put together again by row."""
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,21 +21,26 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T
 from pyspark.sql import functions as F
 
-from faultscope.operators.tfidf import add_grams, add_runs, count_terms, fit_vocabulary
+from faultscope.functions.terms import counted, given_text, lots, listed_terms, term_hash
+from faultscope.operators.tfidf import fit_vocabulary, text_postings
 from faultscope.session import materialize, scratch_path
 
-#: Terms that reach every worker at once, at 16 bytes each.
+#: Terms that reach every worker at once, at 24 bytes and the term each.
 MOST_SHARED = 8_000_000
 SCHEMA = "term string, hash bigint, idf double, `index` int"
 _SHIFT, _BUCKETS = 54, 1 << 10
 
 
 class SharedTerms(NamedTuple):
+    """Terms in the order of their hashes."""
+
     hashes: np.ndarray
     idf: np.ndarray
+    index: np.ndarray
+    terms: pa.Array
 
 
 _SHARED: dict[tuple[str, str], Broadcast] = {}
@@ -96,37 +102,30 @@ class TermTable(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
         """Adds the vector and ``weighted_terms``: the known terms of a text with their weights, by index.
 
         ``cleaned`` says that texts have been through ``clean_text``. Rows keep their number and columns."""
-        counted = add_runs(add_grams(df, text, self.ngrams, cleaned))
-        hashed = F.sort_array(F.transform("runs", lambda r: F.struct(F.xxhash64(r["term"]).alias("hash"), r["term"].alias("term"), r["tf"].alias("tf"))))
-        hashed = counted.withColumn("_terms", hashed).drop("runs", "grams")
         if self.getOrDefault(self.size) <= most_shared:
-            return self._looked_up(hashed).drop("_terms")
-        return self._joined(hashed).drop("_terms")
-
-    def _looked_up(self, hashed: DataFrame) -> DataFrame:
-        shared, size = self._shared(hashed.sparkSession), max(1, self.getOrDefault(self.size))
-
-        def looked_up(hashes: pa.Array, tfs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            own, wanted = shared.value, hashes.flatten().to_numpy()
-            at = np.searchsorted(own.hashes, wanted)
-            known = at < len(own.hashes)
-            known[known] = own.hashes[at[known]] == wanted[known]
-            at = np.where(known, at, -1)
-            return hashes.offsets.to_numpy() - hashes.offsets[0].as_py(), at, np.where(known, tfs.flatten().to_numpy() * np.append(own.idf, 0.0)[at], 0.0)
-
-        @F.arrow_udf(VectorUDT())
-        def vectors(hashes: pa.Array, tfs: pa.Array) -> pa.Array:
-            return unit_vectors(size, *looked_up(hashes, tfs))
-
-        @F.arrow_udf("array<double>")
-        def weights(hashes: pa.Array, tfs: pa.Array) -> pa.Array:
-            offsets, _, weight = looked_up(hashes, tfs)
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(weight))
-
-        found = [f(F.col("_terms.hash"), F.col("_terms.tf")) for f in (vectors, weights)]
-        looked = hashed.withColumns({self.getOutputCol(): found[0], "_weights": found[1]})
-        zipped = F.arrays_zip(F.col("_terms.term").alias("term"), F.col("_weights").alias("weight"))
-        return looked.withColumn("weighted_terms", F.filter(zipped, lambda x: x["weight"] > 0)).drop("_weights")
+            return self._looked_up(df, text, cleaned)
+        return self._joined(df.withColumn("_terms", listed_terms(text, self.ngrams, cleaned))).drop("_terms")
+
+    def _looked_up(self, df: DataFrame, text: str, cleaned: bool) -> DataFrame:
+        shared, size, ngrams = self._shared(df.sparkSession), max(1, self.getOrDefault(self.size)), self.ngrams
+
+        @F.arrow_udf(T.StructType([T.StructField("features", VectorUDT()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]))
+        def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = shared.value
+            for texts in lots(batches):
+                offsets, wanted, tfs = counted(texts, ngrams, cleaned)
+                at = np.minimum(np.searchsorted(own.hashes, wanted), max(0, len(own.hashes) - 1))
+                known = own.hashes[at] == wanted if len(own.hashes) else np.zeros(len(wanted), bool)
+                row, at, tfs = np.repeat(np.arange(len(texts)), np.diff(offsets))[known], at[known], tfs[known]
+                order = np.lexsort((own.index[at], row))
+                at, weight = at[order], (tfs[order] * own.idf[at[order]])
+                offsets = np.searchsorted(row, np.arange(len(texts) + 1))
+                told = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in (own.terms.take(pa.array(at)), pa.array(weight))]
+                yield pa.StructArray.from_arrays([unit_vectors(size, offsets, own.index[at], weight), *told], names=["features", "terms", "weights"])
+
+        looked = df.withColumn("_weighed", weighed(given_text(text, cleaned)))
+        zipped = F.arrays_zip(F.col("_weighed.terms").alias("term"), F.col("_weighed.weights").alias("weight"))
+        return looked.withColumns({self.getOutputCol(): F.col("_weighed.features"), "weighted_terms": zipped}).drop("_weighed")
 
     def _joined(self, hashed: DataFrame) -> DataFrame:
         size = max(1, self.getOrDefault(self.size))
@@ -137,20 +136,25 @@ class TermTable(Transformer, HasInputCol, HasOutputCol, MLReadable, MLWritable):
 
         numbered = materialize(hashed.withColumn("_row", F.monotonically_increasing_id()), "counted-texts")
         postings = numbered.select("_row", F.explode("_terms").alias("t")).select("_row", "t.hash", "t.tf")
-        known = postings.join(self.terms(hashed.sparkSession), "hash").select("_row", F.struct("index", "term", (F.col("tf") * F.col("idf")).alias("weight")).alias("t"))
+        known = postings.join(self._hashed(hashed.sparkSession), "hash").select("_row", F.struct("index", "term", (F.col("tf") * F.col("idf")).alias("weight")).alias("t"))
         lists = known.groupBy("_row").agg(F.sort_array(F.collect_list("t")).alias("_known"))
         empty = F.array().cast("array<struct<index:int,term:string,weight:double>>")
         listed = numbered.join(lists, "_row", "left").withColumn("_known", F.coalesce("_known", empty))
         listed = listed.withColumn(self.getOutputCol(), vectors(F.col("_known.index"), F.col("_known.weight")))
         return listed.withColumn("weighted_terms", F.transform("_known", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight")))).drop("_row", "_known")
 
+    def _hashed(self, spark: SparkSession) -> DataFrame:
+        """The table with the hashes that texts are looked up by; its own number the terms."""
+        return self.terms(spark).withColumn("hash", term_hash("term"))
+
     def _shared(self, spark: SparkSession) -> Broadcast:
         """Hashes and weights in the order of the index; their number is known and bounded by the caller."""
         key = (spark.sparkContext.applicationId, self.getOrDefault(self.table))
         if key not in _SHARED:
-            told = self.terms(spark).select("hash", "idf").toArrow()
+            told = self._hashed(spark).select("hash", "idf", "index", "term").toArrow().combine_chunks()
             order = np.argsort(told["hash"].to_numpy(), kind="stable")
-            _SHARED[key] = spark.sparkContext.broadcast(SharedTerms(told["hash"].to_numpy()[order], told["idf"].to_numpy()[order]))
+            hashes, idf, index = (told[c].to_numpy()[order] for c in ("hash", "idf", "index"))
+            _SHARED[key] = spark.sparkContext.broadcast(SharedTerms(hashes, idf, index.astype(np.int64), told["term"].take(pa.array(order)).combine_chunks()))
         return _SHARED[key]
 
     def write(self) -> MLWriter:
@@ -192,7 +196,7 @@ def fit_term_table(
     train: DataFrame, text: str, row_id: str, n_rows: int, ngrams: tuple[int, int] = (1, 2), min_df: int = 1, max_features: int | None = None, cleaned: bool = False,
 ) -> TermTable:
     """The table of the terms of the training rows, all of them unless limited by ``min_df`` or ``max_features``."""
-    vocabulary = fit_vocabulary(count_terms(add_grams(train, text, ngrams, cleaned), row_id), n_rows, min_df, max_features)
+    vocabulary = fit_vocabulary(text_postings(train, text, row_id, ngrams, cleaned), n_rows, min_df, max_features)
     path = scratch_path(train.sparkSession, "term-table")
     number_terms(vocabulary).write.parquet(path)
     table = TermTable(path, 0, ngrams, text)
