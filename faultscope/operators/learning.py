@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from typing import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -52,7 +53,8 @@ def classifier(preset: Preset, n_rows: int, features: str = "features", label: s
     if preset.classifier == "rf":
         return RandomForestClassifier(
             featuresCol=features, labelCol=label, numTrees=preset.trees, maxDepth=preset.max_depth,
-            featureSubsetStrategy="sqrt", seed=preset.seed, maxMemoryInMB=1024,
+            featureSubsetStrategy="sqrt", seed=preset.seed,
+            maxMemoryInMB=256,  # each running task holds as much
         )
     raise ValueError(f"unknown classifier {preset.classifier!r}")
 
@@ -70,12 +72,13 @@ def train_text_classifier(
 
 def _fit(estimator, prepared: DataFrame, n_rows: int):
     """Fits on persisted features, spread over the cores, or over fewer tasks if the work per
-    iteration is small. Features that already come in more pieces keep them."""
+    iteration is small. Features that already come in more pieces keep them. They are kept on disk, as both
+    classifiers make their own form of them and hold that in memory."""
     cores = prepared.sparkSession.sparkContext.defaultParallelism
     tasks = -(-n_rows // ROWS_PER_TASK) if isinstance(estimator, LogisticRegression) else cores
     if n_rows < cores * ROWS_PER_TASK:
         prepared = prepared.repartition(tasks)
-    prepared = prepared.persist()
+    prepared = prepared.persist(StorageLevel.DISK_ONLY)
     try:
         return estimator.fit(prepared)
     finally:
