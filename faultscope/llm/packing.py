@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, size: int, with_ids: bool = False) -> Dat
                 if pre_tokens is None:
                     ids = np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 else:
-                    ids = b"".join(map(memo.of(pre_tokens).__getitem__, pre_tokens))
+                    ids = memo.joined(pre_tokens)
                 ids += bytes(4)
                 n = len(ids) // 4
                 for start in range(0, n, size):

@@ -117,3 +117,10 @@ class Memo:
             part = missing[a:a + 20_000]
             self.known.update(zip(part, self.compute(part), strict=True))
         return self.known
+
+    def joined(self, pre_tokens: list[str]) -> bytes:
+        """Results in a row; only where one of them is new are the distinct pre-tokens looked through."""
+        try:
+            return b"".join(map(self.known.__getitem__, pre_tokens))
+        except KeyError:
+            return b"".join(map(self.of(pre_tokens).__getitem__, pre_tokens))
