@@ -8,9 +8,11 @@ Rests then find their place by length and rank."""
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultscope.llm.common import whole_texts
-from faultscope.llm.tokens import Memo, byte_pre_tokens, tokenizer
+from faultscope.llm.tokens import Memo, byte_level_ids, byte_pre_tokens, tokenizer
 from faultscope.session import materialize
 
 _MEMOS: dict[str, Memo] = {}
@@ -26,14 +28,19 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def _encoded(path: str, pre_tokens: list[str]) -> Iterator[bytes]:
-    for e in tokenizer(path).encode_batch_fast(pre_tokens, add_special_tokens=False):
-        yield np.asarray(e.ids, dtype="<u4").tobytes()
+@lru_cache(maxsize=64)
+def _layout(n: int) -> struct.Struct:
+    return struct.Struct(f"<{n}I")
 
 
 def _memo(path: str) -> Memo:
     if path not in _MEMOS:
-        _MEMOS[path] = Memo(lambda pre_tokens: _encoded(path, pre_tokens), most=500_000)
+        ids = byte_level_ids(path) or (lambda word: tokenizer(path).encode(word, add_special_tokens=False).ids)
+
+        def encoded(pre_tokens: list[str]) -> list[bytes]:
+            return [_layout(len(found)).pack(*found) for found in map(ids, pre_tokens)]
+
+        _MEMOS[path] = Memo(encoded, most=1_000_000)
     return _MEMOS[path]
 
 

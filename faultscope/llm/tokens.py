@@ -91,7 +91,12 @@ def byte_pre_tokens(text: str) -> list[str] | None:
     """Pre-tokens of the byte-level vocabulary, or None where only the library is exact."""
     if "<|" in text and SPECIAL.search(text):
         return None
-    return _cut(text, 1) if _ODD.search(text) else BYTE_PATTERN.findall(text)
+    try:
+        text.encode("latin-1")  # the quickest proof that no character is an odd one
+    except UnicodeEncodeError:
+        if _ODD.search(text):
+            return _cut(text, 1)
+    return BYTE_PATTERN.findall(text)
 
 
 @cache
@@ -101,11 +106,49 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Characters that stand for the bytes of a pre-token in byte-level vocabularies: themselves if printable, else those from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STANDS_FOR = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+
+
+def byte_level_ids(path: str) -> Callable[[str], list[int]] | None:
+    """The ids of one pre-token by the library's model alone, without the offsets that it keeps for whole texts; None if
+    the vocabulary does more to a text than byte-level pre-tokens."""
+    from tokenizers import pre_tokenizers
+
+    whole = tokenizer(path)
+    cut = whole.pre_tokenizer
+    if whole.normalizer is not None or not isinstance(cut, pre_tokenizers.ByteLevel) or cut.add_prefix_space:
+        return None
+    tokenize, blank = whole.model.tokenize, chr(_STANDS_FOR[32])
+
+    def ids(word: str) -> list[int]:
+        plain = word.isascii() and word.isprintable()
+        return [t.id for t in tokenize(word.replace(" ", blank) if plain else word.encode().decode("latin-1").translate(_STANDS_FOR))]
+
+    return ids
+
+
+class _Computed(dict):
+    """Computes what it does not have; begins anew beyond ``most``."""
+
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int):
+        super().__init__()
+        self.compute, self.most = compute, most
+
+    def __missing__(self, pre_token: str):
+        if len(self) >= self.most:
+            self.clear()
+        (found,) = self.compute([pre_token])
+        self[pre_token] = found
+        return found
+
+
 class Memo:
     """Remembers results by pre-token for as long as a worker lives; begins anew beyond ``most``."""
 
     def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 400_000):
-        self.compute, self.most, self.known = compute, most, {}
+        self.compute, self.most, self.known, self.each = compute, most, {}, _Computed(compute, most)
 
     def of(self, pre_tokens: Iterable[str]) -> dict:
         """A table that has at least these pre-tokens."""
@@ -119,8 +162,5 @@ class Memo:
         return self.known
 
     def joined(self, pre_tokens: list[str]) -> bytes:
-        """Results in a row; only where one of them is new are the distinct pre-tokens looked through."""
-        try:
-            return b"".join(map(self.known.__getitem__, pre_tokens))
-        except KeyError:
-            return b"".join(map(self.of(pre_tokens).__getitem__, pre_tokens))
+        """Results in a row; each new one is computed where it stands."""
+        return b"".join(map(self.each.__getitem__, pre_tokens))

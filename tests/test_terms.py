@@ -54,3 +54,26 @@ def test_known_pre_tokens_are_only_joined(monkeypatch):
     assert memo.joined(["a", "b", "a"]) == b"aba" and memo.joined([]) == b""
     monkeypatch.setattr(memo, "of", None)
     assert memo.joined(["b", "a"]) == b"ba"
+
+
+def test_ids_of_pre_tokens_come_without_offsets(monkeypatch):
+    """A new pre-token is encoded alone by the library's model, and by itself, where nothing before looked at its text."""
+    import numpy as np
+
+    from faultscope.llm import packing, tokens
+    from faultscope.llm.queries import vocabulary
+
+    path = vocabulary("byte_bpe_50k.json")
+    whole = tokens.tokenizer(path)
+    texts = [*filter(None, TEXTS), "".join(map(chr, range(0x180))), "it's  12 3½\n\n x\t\x7f", "\xad\xa0\x85", "x" * 3000, "Σ İ Ⱥ Ⱦ 漢字  🙂  "]
+    memo = packing._memo(path)
+    monkeypatch.setattr(memo, "of", None)
+    for text in texts:
+        want = np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert memo.joined(tokens.byte_pre_tokens(text)) == want
+        assert b"".join(np.asarray(tokens.byte_level_ids(path)(w), "<u4").tobytes() for w in tokens.byte_pre_tokens(text)) == want
+
+
+def test_computed_results_stay_within_their_number():
+    memo = Memo(lambda words: [w.encode() for w in words], most=3)
+    assert memo.joined(list("abcdab")) == b"abcdab" and len(memo.each) <= 3
