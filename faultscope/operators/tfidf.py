@@ -137,12 +137,15 @@ def document_norms(postings: DataFrame, vocabulary: DataFrame, row_id: str, key:
 
 def top_keywords(postings: DataFrame, vocabulary: DataFrame, row_id: str, k: int = 15, key: str = "term") -> DataFrame:
     """``(row_id, rank, word, pct)``: the k heaviest terms of a document and their share of the
-    weight of those k, in percent to one place. The document length cancels in the share.
+    weight of those k, in percent to one place. The document length cancels in the share."""
+    return rank_weights(weigh(postings, vocabulary, row_id, normalise=False, key=key), row_id, k)
 
-    The filter on the rank keeps k rows per document before anything is shuffled."""
+
+def rank_weights(weights: DataFrame, row_id: str, k: int) -> DataFrame:
+    """``top_keywords`` of ``(row_id, term, weight)``. The filter on the rank keeps k rows per document before anything is shuffled."""
     by_weight = Window.partitionBy(row_id).orderBy(F.desc("ranked"), F.asc("term"))
     top = (
-        weigh(postings, vocabulary, row_id, normalise=False, key=key)
+        weights
         .withColumn("ranked", F.round("weight", 9))  # equal weights stay equal whatever the summation
         .withColumn("rank", F.row_number().over(by_weight)).filter(F.col("rank") <= k)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultscope.functions import dates, rules, text as tx
 from faultscope.functions.keywords import keywords_to_json
-from faultscope.operators import case_index, evaluation, learning, prepare, quality, ranking, similarity, tfidf, trends
+from faultscope.operators import case_index, evaluation, learning, prepare, quality, ranking, similarity, text_keywords, tfidf, trends
 from faultscope.plans import ingest, scoring
 from faultscope.plans.dashboard import enrich, selection
 from faultscope.plans.stand_ins import (
@@ -314,8 +314,7 @@ def document_norms(spark, sf):
 
 
 def tfidf_keywords(spark, sf):
-    docs = texts(spark, sf).select("doc_id", "text")
-    return tfidf.top_keywords(tfidf.text_postings(docs, "text", "doc_id"), _hash_vocabulary(docs)[1], "doc_id", 15, key="hash")
+    return text_keywords.text_keywords(texts(spark, sf), "text", "doc_id", 15)
 
 
 def similar_cases(spark, sf):

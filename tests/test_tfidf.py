@@ -146,3 +146,22 @@ def test_texts_are_cleaned_once(docs, tmp_path):
     for df in plans:
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("translate(") == 1
+
+
+@pytest.mark.parametrize("ngrams", [(1, 2), (2, 3)])
+def test_keywords_of_whole_texts(spark, ngrams):
+    """Those of the postings, with repeated and null ids, ties, more and fewer terms than asked for, and no row for each term."""
+    from faultscope.operators.text_keywords import text_keywords
+
+    texts = ["", None, "a 1", "fire", "Été ½ pump", "pump pump fire", *(" ".join(f"w{'abcdefghij'[(i * j) % 10]}{'xyz'[j % 3]}" for j in range(1 + 7 * i)) for i in range(12))]
+    rows = [(None if i % 7 == 3 else i % 11, t) for i, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    postings = tf.text_postings(docs, "text", "id", ngrams)
+    vocabulary = tf.fit_vocabulary(postings, len(rows))
+    for k in (1, 5, 400):
+        found = text_keywords(docs, "text", "id", k, ngrams)
+        assert found.columns == ["id", "rank", "word", "pct"]
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, tf.top_keywords(postings, vocabulary, "id", k).collect()))
+    assert text_keywords(docs.limit(0), "text", "id").collect() == []
+    assert text_keywords(docs.where("text = 'a 1'"), "text", "id").collect() == []
