@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 6
 #: Samples drawn; the first ``BANDS * ROWS`` make the bands, all of them the estimate before a comparison.
 SAMPLES = 256
 BITS = 48
+#: Text that is cut into shingles at once, and weighted shingles that are sampled at once.
+_LOT_BYTES, _LOT_KEYS = 1 << 19, 1 << 16
 #: Standard deviations by which samples may differ more often than expected at the threshold: a chance of 2e-4 for a pair exactly there.
 DEVIATIONS = 3.5
 _OWN = ("doc_id", "rank", "whole", "shared", "nibbles", "bands")
@@ -53,9 +55,10 @@ def shingles(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.n
     """Owner, shingle and count, by owner and shingle. A text of fewer words than ``width`` has one
     shingle of all its words, a text without words none."""
     parts = []
-    for a, b in batches([len(t) for t in texts]):
+    for a, b in batches([len(t) for t in texts], _LOT_BYTES):
         words = words_of(texts[a:b])
         n, owner = words.counts(), words.owners()
+        found = []
         for size in [width, *range(1, width)]:
             if size < width and not (n == size).any():
                 continue
@@ -64,14 +67,16 @@ def shingles(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.n
             if size < width:
                 short = n[of] == size
                 digests, of = digests[short], of[short]
-            parts.append((of + a, digests >> np.uint64(64 - BITS)))
+            found.append((of + a, digests >> np.uint64(64 - BITS)))
+        owner, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((key, owner))
+        owner, key = owner[order], key[order]
+        new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])))) if len(key) else np.empty(0, np.int64)
+        parts.append((owner[new], key[new], np.diff(np.append(new, len(key)))))
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    owner, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((key, owner))
-    owner, key = owner[order], key[order]
-    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])))) if len(key) else np.empty(0, np.int64)
-    return owner[new], key[new], np.diff(np.append(new, len(key)))
+    owner, key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return owner, key, count
 
 
 def idf(frequency: np.ndarray, n_docs: int) -> np.ndarray:
@@ -94,7 +99,18 @@ _LOG_GAMMA = np.log(_GAMMA)
 
 
 def weighted_samples(key: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_samples: int) -> np.ndarray:
-    """Per weighted set (rows; sets begin at ``starts`` and are sorted by key) its consistent samples."""
+    """Per weighted set (rows; sets begin at ``starts`` and are sorted by key) its consistent samples.
+
+    Sets are taken in lots, so that what is held beside the result does not grow with their number."""
+    ends = np.append(starts[1:], len(key))
+    out = np.empty((len(starts), n_samples), dtype=np.uint64)
+    for a, b in batches((ends - starts).tolist(), _LOT_KEYS):
+        at = slice(starts[a], ends[b - 1])
+        out[a:b] = _samples(key[at], weight[at], starts[a:b] - starts[a], n_samples)
+    return out
+
+
+def _samples(key: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_samples: int) -> np.ndarray:
     log_weight = np.log(weight)
     sizes = np.diff(np.append(starts, len(key)))
     out = np.empty((len(starts), n_samples), dtype=np.uint64)
@@ -198,33 +214,41 @@ def sketches(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataF
             part = np.ones(n, dtype=np.int64)
             part[shared] = exchange.unplanes(r["frequency"])
             frequency.append(part)
-        df = np.concatenate(frequency)[np.unique(key, return_inverse=True)[1]]
-        weight = tf * idf(df, n_docs)
-        whole = np.bincount(owner, weights=weight, minlength=len(texts))
-        shared = np.bincount(owner, weights=weight * (df > 1), minlength=len(texts))
-        common = np.bincount(owner, weights=tf * np.log(df), minlength=len(texts)) / np.maximum(np.bincount(owner, weights=tf, minlength=len(texts)), 1) / np.log(max(n_docs, 2))
+        known, frequency = np.unique(key), np.concatenate(frequency)
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        weights = np.empty(len(key), dtype=np.float32)
+        whole, shared, common = np.zeros((3, len(texts)))
+        for a, b in batches(np.diff(ends).tolist(), _LOT_KEYS):
+            at = slice(ends[a], ends[b])
+            of, n, df = owner[at] - a, tf[at], frequency[np.searchsorted(known, key[at])]
+            weights[at] = weight = n * idf(df, n_docs)
+            whole[a:b] = np.bincount(of, weights=weight, minlength=b - a)
+            shared[a:b] = np.bincount(of, weights=weight * (df > 1), minlength=b - a)
+            common[a:b] = np.bincount(of, weights=n * np.log(df), minlength=b - a) / np.maximum(np.bincount(of, weights=n, minlength=b - a), 1) / np.log(max(n_docs, 2))
+        del owner, tf, known, frequency
         open_ = (whole > 0) & (shared >= similarity * whole * (1 - 1e-9))
         ids, firsts, copies = chunk["doc_id"].to_pylist(), {}, []
         digests = [blake2b(t, digest_size=16).digest() if o else b"" for t, o in zip(texts, open_, strict=True)]
+        del texts
         for i in sorted((i for i in np.flatnonzero(open_).tolist() if ids[i] is not None), key=ids.__getitem__):
             if firsts.setdefault(digests[i], i) != i:
                 copies.append({"doc_id": ids[i], "digest": digests[i], "copy_of": ids[firsts[digests[i]]]})
-        is_first = np.zeros(len(texts), dtype=bool)
-        is_first[list(firsts.values())] = True
-        taken = is_first[owner]
-        owner, key, weight = owner[taken], key[taken], weight[taken].astype(np.float32)
-        if not len(key):
-            return _SKETCH.empty_table()
-        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        ends = np.append(starts[1:], len(key))
-        samples = weighted_samples(key, weight.astype(np.float64), starts, max(SAMPLES, bands * rows))
-        signed, nibbles = band_digests(samples[:, :bands * rows], bands, rows), nibbles_of(samples)
-        ranks = _ranks(common[owner[starts]], [ids[o] for o in owner[starts]])
-        return arrow_table([
-            {"doc_id": ids[o], "digest": digests[o], "rank": int(ranks[k]), "bands": signed[k].tolist(), "nibbles": nibbles[k].tolist(),
-             "keys": int(b - a).to_bytes(4, "little") + exchange.pack(key[a:b], 0), "weights": weight[a:b].tobytes(),
-             "whole": float(whole[o]), "shared": float(shared[o])}
-            for k, (o, a, b) in enumerate(zip(owner[starts], starts, ends, strict=True))] + copies, _SKETCH)
+        taken = np.sort(np.array(list(firsts.values()), dtype=np.int64))
+        ranks = _ranks(common[taken], [ids[o] for o in taken])
+        sizes = ends[taken + 1] - ends[taken]
+        out = []
+        for a, b in batches(sizes.tolist(), _LOT_KEYS):
+            at = np.concatenate([np.arange(ends[o], ends[o + 1]) for o in taken[a:b]])
+            lot_key, lot_weight, lot_ends = key[at], weights[at], np.cumsum(sizes[a:b])
+            starts = lot_ends - sizes[a:b]
+            samples = weighted_samples(lot_key, lot_weight.astype(np.float64), starts, max(SAMPLES, bands * rows))
+            signed, nibbles = band_digests(samples[:, :bands * rows], bands, rows), nibbles_of(samples)
+            out.append(arrow_table([
+                {"doc_id": ids[o], "digest": digests[o], "rank": int(ranks[a + k]), "bands": signed[k].tolist(), "nibbles": nibbles[k].tolist(),
+                 "keys": int(y - x).to_bytes(4, "little") + exchange.pack(lot_key[x:y], 0), "weights": lot_weight[x:y].tobytes(),
+                 "whole": float(whole[o]), "shared": float(shared[o])}
+                for k, (o, x, y) in enumerate(zip(taken[a:b], starts, lot_ends, strict=True))], _SKETCH))
+        return pa.concat_tables([*out, arrow_table(copies, _SKETCH)])
 
     answers = dealt.applyInArrow(ask, exchange.REQUEST).groupBy("shard").applyInArrow(answer, ANSWER)
     found = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(sketch, SKETCH)
@@ -236,7 +260,7 @@ def _vector(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _similarities(pairs):
-    for batch in pairs:
+    for batch in (whole.slice(a, 256) for whole in pairs for a in range(0, whole.num_rows, 256)):
         rows = zip(*(batch[c].to_pylist() for c in ("u_keys", "u_weights", "v_keys", "v_weights")), strict=True)
         alike = [weighted_jaccard(_vector(a, b), _vector(c, d)) for a, b, c, d in rows]
         yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(alike, pa.float64())], names=["u", "v", "similarity"])

@@ -26,6 +26,8 @@ from faultscope.session import materialize
 _MEMOS: dict[str, Memo] = {}
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+_BEFORE = pa.schema([("length", pa.int64()), ("lot", pa.int32()), ("before", pa.int64())])
+_SLOTS = pa.schema([(name, pa.int64()) for name in ("length", "low", "high", "sequence", "offset")])
 
 
 @lru_cache(maxsize=64)
@@ -40,7 +42,7 @@ def _memo(path: str) -> Memo:
         def encoded(pre_tokens: list[str]) -> list[bytes]:
             return [_layout(len(found)).pack(*found) for found in map(ids, pre_tokens)]
 
-        _MEMOS[path] = Memo(encoded, most=1_000_000)
+        _MEMOS[path] = Memo(encoded)
     return _MEMOS[path]
 
 
@@ -50,7 +52,7 @@ def pieces(docs: DataFrame, path: str, size: int, with_ids: bool = False) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, whole = _memo(path), tokenizer(path)
-        for batch in batches:
+        for batch in (whole_batch.slice(a, 512) for whole_batch in batches for a in range(0, whole_batch.num_rows, 512)):
             out = []
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 pre_tokens = byte_pre_tokens(text)
@@ -111,6 +113,12 @@ def _slots(used: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return out
 
 
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    """An Arrow table is read without Python workers; lists of rows would start a second set of them on each executor."""
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def packed(docs: DataFrame, path: str, size: int = 1024, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece its document, place in it, checksum, sequence and offset there.
 
@@ -136,8 +144,8 @@ def packed(docs: DataFrame, path: str, size: int = 1024, with_ids: bool = False,
             before.append((r["length"], x["lot"], seen))
             seen += x["n"]
     # At most size * lots and a few times size rows: their number does not grow with the documents.
-    before_df = F.broadcast(spark.createDataFrame(before, "length bigint, lot int, before bigint"))
-    slots_df = F.broadcast(spark.createDataFrame(slots, "length bigint, low bigint, high bigint, sequence bigint, offset bigint"))
+    before_df = F.broadcast(spark.createDataFrame(_table(before, _BEFORE)))
+    slots_df = F.broadcast(spark.createDataFrame(_table(slots, _SLOTS)))
     order = Window.partitionBy("length", "lot").orderBy("doc_id", "start", "ids_crc32")
     ranked = keyed.join(before_df, ["length", "lot"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
     placed = ranked.alias("r").join(slots_df.alias("s"), F.expr("r.length = s.length AND rank >= low AND rank < high")).drop(F.col("s.length"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import cache
@@ -129,26 +130,40 @@ def byte_level_ids(path: str) -> Callable[[str], list[int]] | None:
     return ids
 
 
+#: What a table takes for an entry beside its key and value, at most.
+_ENTRY_BYTES = 100
+
+
 class _Computed(dict):
-    """Computes what it does not have; begins anew beyond ``most``."""
+    """Computes what it does not have. At half of ``most`` results or ``most_bytes`` it begins anew; what it held
+    until then is still taken from there, so that frequent pre-tokens stay known."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int):
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int, most_bytes: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.most_bytes, self.held, self.older = compute, most, most_bytes, 0, {}
 
     def __missing__(self, pre_token: str):
-        if len(self) >= self.most:
+        found = self.older.get(pre_token)
+        if found is None:
+            (found,) = self.compute([pre_token])
+        size = sys.getsizeof(pre_token) + sys.getsizeof(found) + _ENTRY_BYTES
+        if size > self.most_bytes // 2:
+            return found
+        if len(self) >= max(1, self.most // 2) or self.held + size > self.most_bytes // 2:
+            self.older = dict(self)
             self.clear()
-        (found,) = self.compute([pre_token])
+            self.held = 0
+        self.held += size
         self[pre_token] = found
         return found
 
 
 class Memo:
-    """Remembers results by pre-token for as long as a worker lives; begins anew beyond ``most``."""
+    """Remembers results by pre-token for as long as a worker lives; begins anew beyond ``most`` of them or, where
+    results are joined, beyond ``most_bytes``, since other steps share the worker."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 400_000):
-        self.compute, self.most, self.known, self.each = compute, most, {}, _Computed(compute, most)
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 400_000, most_bytes: int = 48 << 20):
+        self.compute, self.most, self.known, self.each = compute, most, {}, _Computed(compute, most, most_bytes)
 
     def of(self, pre_tokens: Iterable[str]) -> dict:
         """A table that has at least these pre-tokens."""

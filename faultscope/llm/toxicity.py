@@ -26,7 +26,6 @@ from collections.abc import Iterable, Iterator
 from hashlib import md5
 from zlib import crc32
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -322,9 +321,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: s
     def quotations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            texts = b["text"].to_pylist()
-            keys = pa.array([md5(word_list(t).encode()).digest() for t in texts], pa.binary())
-            only = pa.array([scorer.only_quoted(t) for t in texts], pa.bool_())
+            keys = pa.array([md5(word_list(t.as_py()).encode()).digest() for t in b["text"]], pa.binary())
+            only = pa.array([scorer.only_quoted(t.as_py()) for t in b["text"]], pa.bool_())
             yield pa.RecordBatch.from_arrays([keys, b["toxic"], only], ["words", "toxic", "only_quoted"])
 
     marks = sample.mapInArrow(quotations, "words binary, toxic int, only_quoted boolean")
@@ -336,13 +334,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: s
 def score_column(text: Column, model: dict, spark) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for part in parts:
-            yield pd.Series([scorer.score(t or "") for t in part], dtype="float64")
+        for part in parts:  # one text at a time is a Python string
+            yield pa.array([scorer.score(t.as_py() or "") for t in part], pa.float64())
 
-    score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(score, DoubleType())(text)
+    score.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(score, DoubleType())(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -507,3 +507,31 @@ def test_null_ids(spark):
     assert sorted(((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect()), key=str) == [(1, 1), (2, 1), (None, None), (None, None)]
     assert substring_dedup.duplicate_spans(docs, width=3).agg(F.sum("n_removed")).first()[0] == 18
     assert paragraph_sketch.edited_fingerprints(docs).count() == 4
+
+
+def test_sampling_holds_little_beside_its_result():
+    """Shingles and samples of a chunk are made in lots: what a worker takes for them does not grow with the chunk."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(b"%d" % w for w in rng.integers(0, 100_000, 1000)) for _ in range(600)]
+    tracemalloc.start()
+    owner, key, count = near_dedup.shingles(texts)
+    shingling = tracemalloc.get_traced_memory()[1]
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    samples = near_dedup.weighted_samples(key, count * 1.5, starts, 8)
+    sampling = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert shingling < 3 * (owner.nbytes + key.nbytes + count.nbytes)
+    assert sampling < 20 << 20 and len(key) * 8 * 4 > 16 << 20
+    alone = near_dedup.weighted_samples(key[starts[7]:starts[8]], count[starts[7]:starts[8]] * 1.5, np.zeros(1, np.int64), 8)
+    assert (samples[7] == alone[0]).all()
+
+
+def test_placing_pieces_needs_no_rows_from_python_workers(spark):
+    """Counts and places reach the executors as Arrow data, not as pickled rows that a second set of Python workers reads."""
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(8)], "doc_id long, text string")
+    plan = packing.packed(docs, vocabulary("byte_bpe_50k.json"))._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan

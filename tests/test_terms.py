@@ -77,3 +77,18 @@ def test_ids_of_pre_tokens_come_without_offsets(monkeypatch):
 def test_computed_results_stay_within_their_number():
     memo = Memo(lambda words: [w.encode() for w in words], most=3)
     assert memo.joined(list("abcdab")) == b"abcdab" and len(memo.each) <= 3
+
+
+def test_computed_results_stay_within_their_bytes():
+    """Long pre-tokens count for what they take, frequent ones stay known, and a worker's other steps keep their room."""
+    import tracemalloc
+
+    often = []
+    memo = Memo(lambda words: [often.append(w) or b"often" if w == "often" else w.encode() for w in words], most_bytes=8 << 20)
+    tracemalloc.start()
+    for i in range(30_000):
+        assert memo.joined([f"{i:01000}", "often"]) == f"{i:01000}often".encode()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(often) == 1 and held < 10 << 20
+    assert memo.joined(["y" * (5 << 20)]) == b"y" * (5 << 20) and len(memo.each) > 0
