@@ -29,7 +29,7 @@ def _tag(names: str) -> str:
 
 
 #: Comments, scripts and styles, to the end of the page where they are not closed.
-HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<(?:script[ \t\n\r\f/>].*?(?:</script{_GAP}*+{_END}|\z)|style[ \t\n\r\f/>].*?(?:</style{_GAP}*+{_END}|\z))"
+HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|script[ \t\n\r\f/>].*?(?:</script{_GAP}*+{_END}|\z)|style[ \t\n\r\f/>].*?(?:</style{_GAP}*+{_END}|\z))"
 TAG = rf"(?s)</?[A-Za-z]{_INSIDE}{_END}|<[!?/][^>]*+{_END}"
 #: (pattern, replacement) in the order in which they turn markup without hidden parts into text.
 TO_TEXT = (
@@ -38,12 +38,20 @@ TO_TEXT = (
 )
 #: Every tag in turn; of links and of the root element what follows <, to look for attributes in.
 LINKING = rf"(?s)<((?:[aA]|[hH][tT][mM][lL])[ \t\n\r\f/]{_INSIDE}){_END}|</?[A-Za-z]{_INSIDE}{_END}|<[!?/][^>]*+{_END}"
-#: Where < stands inside a tag or a quoted value; in other pages links can be looked for by themselves.
-NESTED = rf"""={_GAP}*+(?:"[^"<]*+<|'[^'<]*+<)|<[A-Za-z/!?][^<>]*+<"""
-LINKS_ONLY = rf"<((?:[aA]|[hH][tT][mM][lL])[ \t\n\r\f/]{_INSIDE}){_END}"
+#: Pages where < and > stand around tags only: cut at both, text and tags take turns.
+PLAIN = rf"""\A[^<>]*(?:<[A-Za-z!?/][^<>=]*(?:={_GAP}*+(?:"[^"<>]*"|'[^'<>]*'|(?!["']))[^<>=]*)*+>[^<>]*)*+\z"""
+#: A tag without what encloses it that begins a line, and those that may link. Frequent names are told without a pattern.
+BLOCK = rf"\A/?(?i:{_BLOCKS})(?:[ \t\n\r\f/]|\z)"
+LINK = r"\A(?:[aA]|[hH][tT][mM][lL])[ \t\n\r\f/]"
+BLOCK_NAMES, INLINE_NAMES = (
+    [f"{end}{name}" for lower in names.split("|") for name in (lower, lower.upper()) for end in ("", "/")]
+    for names in (_BLOCKS.replace("h[1-6]", "h1|h2|h3|h4|h5|h6"), "a|abbr|b|code|em|font|i|img|label|small|span|strong|sub|sup|u")
+)
+#: Bytes of a page that is cut into pieces; these take many times its size, so longer ones are worked on whole, by patterns alone.
+LONG = 1 << 18
 _NAME, _VALUE = r"[^ \t\n\r\f\"'>/=]++", r"""(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f"'>][^ \t\n\r\f>]*+)"""
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-#: References with one meaning wherever they stand, replaced before the others; ``&amp;`` is left to the end.
+#: References with one meaning wherever they stand, looked for before the others; in whole texts ``&amp;`` is left to the end.
 PLAIN_REFERENCES = (*ENTITIES[:-1], ("&middot;", "·"), ("&copy;", "©"))
 #: By name with its semicolon, names that need none, and numbers that do not stand for their own character.
 #: The no-break space is a blank, however it is written.
@@ -55,7 +63,8 @@ NUMBERED = {
     if n == 0xA0 or unescape(f"&#{n};") != chr(n)
 }
 _LAST_CHARACTER = 0x10FFFF
-SPACES = ((r"[ \t\r\f\x0B]{2,}+|[\t\r\f\x0B]", " "), (r" \n[ \n]*+|\n[ \n]++", "\n"))
+_BLANKS = " \t\r\f\x0B"
+SPACES = ((rf"[{_BLANKS}]{{2,}}+|[\t\r\f\x0B]", " "), (r" \n[ \n]*+|\n[ \n]++", "\n"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -92,9 +101,12 @@ def _after_ampersand(piece: Column) -> Column:
     def rest(reference: Column) -> Column:
         return F.substring(piece, F.length(reference) + 1, F.length(piece))
 
+    def read(reference: str, character: str) -> tuple[Column, Column]:
+        return F.startswith(piece, F.lit(reference[1:])), F.concat(F.lit(character), rest(F.lit(reference[1:])))
+
+    frequent = reduce(lambda c, e: c.when(*read(*e)), PLAIN_REFERENCES, F.when(*read(*ENTITIES[-1])))  # no look-up
     return (
-        F.when(F.startswith(piece, F.lit("amp;")), F.concat(F.lit("&"), rest(F.lit("amp;"))))  # by far the most frequent: no look-up
-        .when(number != "", F.concat(_numbered(number), rest(number)))
+        frequent.when(number != "", F.concat(_numbered(number), rest(number)))
         .when(named.isNotNull(), F.concat(named, rest(name)))
         .when(unclosed != "", F.concat(F.try_element_at(_table(UNCLOSED), unclosed), rest(unclosed)))
         .otherwise(F.concat(F.lit("&"), piece))
@@ -105,10 +117,13 @@ def decoded(text: Column) -> Column:
     """Text with its character references decoded once, named and numeric ones, as HTML defines them."""
 
     def others(t: Column) -> Column:
-        pieces = F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(_after_ampersand(p)))
-        return F.when(t.rlike("&(?!amp;)[#A-Za-z]"), F.array_join(pieces, "")).otherwise(F.replace(t, F.lit("&amp;"), F.lit("&")))
+        return F.array_join(F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(_after_ampersand(p))), "")
+
+    def rare(t: Column) -> Column:
+        return F.when(t.rlike("&(?!amp;)[#A-Za-z]"), others(t)).otherwise(F.replace(t, F.lit("&amp;"), F.lit("&")))
 
-    return _let(reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), PLAIN_REFERENCES, text), others)
+    whole = _let(reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), PLAIN_REFERENCES, text), rare)
+    return F.when(~F.contains(text, F.lit("&")), text).when(F.octet_length(text) > LONG, whole).otherwise(others(text))
 
 
 def visible(html: Column) -> Column:
@@ -116,10 +131,42 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "")
 
 
-def plain_text(markup: Column) -> Column:
-    """The text of ``visible`` markup: lines by block elements, references decoded, spaces collapsed."""
+def turns(markup: Column) -> Column:
+    """Text and tags of ``visible`` markup in turn, beginning with text; null where < or > stand elsewhere, too, and of long pages."""
+    return F.when((F.octet_length(markup) <= LONG) & markup.rlike(PLAIN), F.split(F.replace(markup, F.lit(">"), F.lit("<")), "<"))
+
+
+def _shown(piece: Column, i: Column) -> Column:
+    """What a piece of ``turns`` shows."""
+
+    def block(name: Column) -> Column:
+        return name.isin(BLOCK_NAMES) | (~name.isin(INLINE_NAMES) & piece.rlike(BLOCK))
+
+    return F.when(i % 2 == 0, piece).when(_let(F.substring_index(piece, " ", 1), block), "\n").otherwise("")
+
+
+def _spaced(text: Column) -> Column:
+    """Text with each run of spaces, or of spaces and line ends, as one space or line end; none at its ends."""
+
+    def by_patterns(t: Column) -> Column:
+        return F.btrim(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPACES, t), F.lit(" \n"))
+
+    def within(t: Column) -> Column:
+        found = reduce(lambda c, x: c | F.contains(t, F.lit(x)), "\t\r\f\x0B", F.contains(t, F.lit("  ")))
+        return F.when(found, F.regexp_replace(t, *SPACES[0])).otherwise(t)
+
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_BLANKS))), lambda line: line != "")
+    return F.when(F.octet_length(text) > LONG, by_patterns(text)).otherwise(_let(F.array_join(lines, "\n"), within))
+
+
+def plain_text(markup: Column, pieces: Column | None = None) -> Column:
+    """The text of ``visible`` markup: lines by block elements, references decoded, spaces collapsed.
+
+    ``pieces`` are its ``turns``, where it has them."""
     out = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), TO_TEXT, markup)
-    return F.btrim(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPACES, decoded(out)), F.lit(" \n"))
+    if pieces is not None:
+        out = F.coalesce(F.array_join(F.transform(pieces, _shown), ""), out)
+    return _let(_let(out, decoded), _spaced)
 
 
 def record_id(*parts: Column) -> Column:
@@ -182,10 +229,16 @@ def metadata_block(payload: Column, markup: Column, tags: Column) -> Column:
     return F.concat(F.array_join(lines, CRLF), F.lit(CRLF))
 
 
-def linking_tags(markup: Column) -> Column:
-    """Links and root elements of visible markup, without what encloses a tag; not those within another tag's values."""
+def linking_tags(markup: Column, pieces: Column) -> Column:
+    """Links and root elements of visible markup, without what encloses a tag; not those within another tag's values.
+
+    ``pieces`` are its ``turns``, where it has them."""
+
+    def linking(piece: Column, i: Column) -> Column:
+        return (i % 2 == 1) & reduce(lambda c, x: c | F.startswith(piece, F.lit(x)), "AhH", F.startswith(piece, F.lit("a"))) & piece.rlike(LINK)
+
     every = F.filter(F.regexp_extract_all(markup, F.lit(LINKING), F.lit(1)), lambda tag: tag != "")
-    return F.when(markup.rlike(NESTED), every).otherwise(F.regexp_extract_all(markup, F.lit(LINKS_ONLY), F.lit(1)))
+    return F.coalesce(F.filter(pieces, linking), every)
 
 
 def _one_line(value: Column) -> Column:
@@ -200,9 +253,9 @@ def derivatives(source: DataFrame) -> DataFrame:
     conversion and a metadata block without title, language and links. Comments, scripts, styles, tags and
     quoted values that are not closed reach to the end of the page, as in browsers, and links in comments do
     not count. Every pattern passes a page once, whatever it holds."""
-    source = source.withColumn("_visible", visible(F.col("payload"))).withColumn("_tags", linking_tags(F.col("_visible")))
-    shown = F.col("_visible")
-    kinds = (("metadata", "application/warc-fields", metadata_block(F.col("payload"), shown, F.col("_tags"))), ("conversion", "text/plain; charset=utf-8", plain_text(shown)))
+    shown, pieces = F.col("_visible"), F.col("_pieces")
+    source = source.withColumn("_visible", visible(F.col("payload"))).withColumn("_pieces", turns(shown)).withColumn("_tags", linking_tags(shown, pieces))
+    kinds = (("metadata", "application/warc-fields", metadata_block(F.col("payload"), shown, F.col("_tags"))), ("conversion", "text/plain; charset=utf-8", plain_text(shown, pieces)))
     records = F.array(*[F.struct(F.lit(k).alias("record_type"), F.lit(t).alias("content_type"), b.alias("block")) for k, t, b in kinds])
     one = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_payload_digest"), *_carried(source), F.inline(records))
     return one.select(

@@ -473,6 +473,54 @@ def test_hostile_pages_take_linear_time(spark):
     assert time.time() - begun < 60
 
 
+def test_pieces_and_patterns_agree(spark, monkeypatch):
+    """Pages cut at their tags give what patterns find in whole ones; what stands around < and > otherwise is not cut."""
+    rng = random.Random(9)
+    tags = ["<p>", "</P >", "<br/>", "<hr\t>", "<bloc\u212aquote>", "<H7>", "<b>", "</i>", "<a href='/q'>", "<A HREF=/u>", "<a/href=q>", "<a =x href=1>", '<a href = "/x y">', "<a x=y\">", "<html\nlang=de>", "<header>", "<p=x>", "</ odd>", "<?x?>", "<title>", "</title>"]
+    texts = ["a", "b c", "  ", "\n", "\t", "\x0b", "\r\n", "&amp;", "&lt;", "&nbsp;", "&copy;", "&#10;", "&eacute;", "&amp", "&am", "&", "é", "\U0001f600", '"', "="]
+    odd = ["<", ">", " > ", "<a title='>", '<img alt="a > b">', '<img alt="<a href=/no>">', "<td"]
+    pages = ["".join(rng.choice(tags if rng.random() < 0.5 else texts) for _ in range(rng.randint(0, 15))) for _ in range(1500)]
+    pages += [p + rng.choice(odd) + rng.choice(pages) for p in pages[:300]] + [rng.choice(tags) * 100_000]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, v string").repartition(4)
+    v, cut = F.col("v"), warc.turns(F.col("v"))
+    none = F.lit(None).cast("array<string>")
+    got = df.select("page_id", v, cut.alias("cut"), warc.plain_text(v, cut).alias("text"), warc.linking_tags(v, cut).alias("tags")).collect()
+    monkeypatch.setattr(warc, "LONG", -1)
+    whole = {r.page_id: r for r in df.select("page_id", warc.turns(v).alias("cut"), warc.plain_text(v).alias("text"), warc.linking_tags(v, none).alias("tags")).collect()}
+    for r in got:
+        told = whole[r.page_id]
+        assert (r.text, r.tags) == (told.text, told.tags) and told.cut is None
+        if r.cut is not None:
+            assert r.v == "".join(x if i % 2 == 0 else f"<{x}>" for i, x in enumerate(r.cut))
+    assert sum(r.cut is not None for r in got if r.page_id < 1500) > 1400 and all(r.cut is None for r in got if r.page_id >= 1500)
+
+
+def test_pages_take_the_time_of_few_passes(spark):
+    """Nearly all of the time went into ten patterns that each passed the whole page."""
+    import time
+
+    words = " ".join(f"wört{i % 7} of" for i in range(60))
+    part = f'<div class="ad"><p><b>{words}</b> &amp; {words}<br>{words}</p><a href="/x">{words}</a></div>'
+    page = F.concat(F.lit("<!DOCTYPE html><html lang=de><head><title>T</title><style>p{}</style></head><body><!-- ad -->"), F.repeat(F.lit(part), 4), F.lit("&middot; &copy;"))
+    pages = spark.range(0, 6000, 1, 4).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(page, F.col("id").cast("string")).alias("html")).cache()
+
+    def least(df):
+        spent = []
+        for _ in range(4):
+            begun = time.time()
+            df.write.format("noop").mode("overwrite").save()
+            spent.append(time.time() - begun)
+        return min(spent)
+
+    assert pages.count() == 6000
+    passes = F.col("html")
+    for i in range(4):
+        passes = F.regexp_replace(passes, f"[\x01-{chr(i + 2)}]", "")
+    one = least(pages.select(passes)) / 4
+    assert least(warc.derivatives(warc.responses(pages))) < 8 * one
+    pages.unpersist()
+
+
 def test_references_are_decoded(spark, column):
     bodies = {
         "<title>Caf&eacute; &#233; &middot;</title><p>&copy; A &hellip;</p>": ("Café é ·", "Café é ·\n© A …"),
