@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import html as html_lib
 import io
 import json
+import re
 import zipfile
-from typing import Callable, Iterator
+from json.encoder import encode_basestring
+from typing import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pandas._libs.parsers import STR_NA_VALUES
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
@@ -50,9 +55,13 @@ def decode_utf8(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html_lib.unescape, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _unescape(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html_lib.unescape(t) for t in texts.to_pylist()], pa.string())
+
+
+# so that a filter on a text stays above it, as with the readers below
+_unescape = _unescape.asNondeterministic()
 
 
 def html_to_text(markup: Column) -> Column:
@@ -60,20 +69,110 @@ def html_to_text(markup: Column) -> Column:
     comments and declarations are left out.
 
     Only texts with uncommon entities pass through Python; the others reach it as null."""
-    bare = F.regexp_replace(F.regexp_replace(markup, HIDDEN_PARTS, " "), TAGS, " ")
+    return _decode_entities(_without_markup(markup))
+
+
+def _without_markup(markup: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(markup, HIDDEN_PARTS, " "), TAGS, " ")
+
+
+def _decode_entities(bare: Column) -> Column:
     common = bare
     for entity, char in COMMON_ENTITIES:
         common = F.replace(common, F.lit(entity), F.lit(char))
     return F.coalesce(_unescape(F.when(bare.rlike(OTHER_ENTITY), bare)), common)
 
 
+#: Longer files and those with anything unusual in them are parsed by pandas, whose rules the short way keeps to.
+SHORT_CSV = 1 << 16
+_WHOLE = re.compile(r"0|-?[1-9][0-9]{0,14}").fullmatch
+_DECIMAL = re.compile(r"0|-?(?:0(?=\.)|[1-9][0-9]*)(?:\.[0-9]+)?").fullmatch
+_ODD, _ODD_START = ("\r", "\0", "\n\n", "\n ", "\n\t"), ("\n", " ", "\t", "\ufeff")
+_NEITHER = {"true", "false", "inf", "infinity", "nan"}
+
+
 def _csv_text(payload: bytes) -> str:
+    told = _plain_csv(payload) if len(payload) <= SHORT_CSV else None
+    if told is not None:
+        return told
     frame = pd.read_csv(io.BytesIO(payload))
     return "\n".join(" ".join(str(cell) for cell in row) for row in frame.itertuples(index=False, name=None))
 
 
+def _plain_csv(payload: bytes) -> str | None:
+    """The cells of a file as ``pd.read_csv`` types them, by column; None where its rules are not sure to be the ones here:
+    other line ends, blank or uneven rows, outer blanks, cells across lines, spelled-out values, numbers of unusual form."""
+    try:
+        text = payload.decode()
+    except UnicodeDecodeError:
+        return None
+    text = text.removesuffix("\n")
+    if not text or text[-1] == "\n" or text.startswith(_ODD_START) or any([x in text for x in _ODD]):
+        return None
+    lines = text.split("\n")
+    if '"' in text:
+        try:
+            rows = list(csv.reader(lines, strict=True))
+        except csv.Error:
+            return None
+        if len(rows) != len(lines):
+            return None
+    else:
+        rows = [x.split(",") for x in lines]
+    if len(set(map(len, rows))) > 1:
+        return None
+    columns = []
+    for cells in zip(*rows[1:]):
+        if not all(map(_WHOLE, cells)):
+            cells = _typed(cells)
+            if cells is None:
+                return None
+        columns.append(cells)
+    return "\n".join(map(" ".join, zip(*columns)))
+
+
+def _typed(cells: tuple[str, ...]) -> Sequence[str] | None:
+    """Cells of a column with text or decimals; None if that is not sure."""
+    complete = STR_NA_VALUES.isdisjoint(cells)
+    if any(x[:1].isalpha() and x not in STR_NA_VALUES and x.lower() not in _NEITHER for x in cells):
+        return cells if complete else ["nan" if x in STR_NA_VALUES else x for x in cells]
+    known = cells if complete else [x for x in cells if x not in STR_NA_VALUES]
+    # up to 15 digits any parser rounds alike
+    if all([len(x) <= 16 and _DECIMAL(x) for x in known]):
+        return [repr(float(x)) if complete or x not in STR_NA_VALUES else "nan" for x in cells]
+    return None
+
+
 def _json_text(payload: bytes) -> str:
-    return json.dumps(json.loads(payload), ensure_ascii=False, indent=2)
+    """As ``json.dumps`` with an indent of two, which walks even the smallest value by a chain of generators."""
+    value = json.loads(payload)
+    try:
+        return _indented(value, "\n")
+    except RecursionError:
+        return json.dumps(value, ensure_ascii=False, indent=2)
+
+
+_CONSTANTS = {None: "null", True: "true", False: "false"}
+DEEPEST = 100
+
+
+def _indented(value: object, line: str) -> str:
+    if isinstance(value, str):
+        return encode_basestring(value)
+    if value is None or isinstance(value, bool):
+        return _CONSTANTS[value]
+    if isinstance(value, int):
+        return int.__repr__(value)
+    if isinstance(value, float):
+        return json.dumps(value)
+    if not value:
+        return "{}" if isinstance(value, dict) else "[]"
+    inner = line + "  "
+    if len(inner) > 2 * DEEPEST:
+        raise RecursionError
+    if isinstance(value, dict):
+        return "{" + inner + ("," + inner).join([f"{encode_basestring(k)}: {_indented(v, inner)}" for k, v in value.items()]) + line + "}"
+    return "[" + inner + ("," + inner).join([_indented(v, inner) for v in value]) + line + "]"
 
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -97,12 +196,15 @@ FILE_READERS: dict[str, Extractor] = {"csv": _csv_text, "json": _json_text, "doc
 
 
 def _read_files(readers: dict[str, Extractor]):
-    @F.pandas_udf(T.StringType())
-    def read(chunks: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A function of kind and content. It counts as nondeterministic so that a filter on the text stays above it; the
+    optimizer would else have every file read for the filter and once more for the text."""
+
+    @F.arrow_udf(T.StringType())
+    def read(chunks: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for kinds, payloads in chunks:
-            yield pd.Series([_safely(readers.get(k), p) for k, p in zip(kinds, payloads)], dtype="object")
+            yield pa.array([_safely(readers.get(k), p) for k, p in zip(kinds.to_pylist(), payloads.to_pylist())], pa.string())
 
-    return read
+    return read.asNondeterministic()
 
 
 def _safely(reader: Extractor | None, payload: bytes | None) -> str | None:
@@ -125,13 +227,15 @@ def extract_text(df: DataFrame, name: str = "path", content: str = "content", re
     read = _read_files(readers)(F.when(by_reader, kind), F.when(by_reader, F.col(content)))
     empty = kind.isin(IMAGE_EXTENSIONS + [k for k in PLUGGABLE_EXTENSIONS if k not in readers])
     marked = df.withColumn("file_kind", extension(F.col(name)))
-    return marked.withColumn("read_text", read).withColumn(
+    # markup is a column of its own, so that it is taken out once and not once for each use
+    bare = _without_markup(F.when(kind.isin(HTML_EXTENSIONS) & ~by_reader, decoded))
+    return marked.withColumn("read_text", read).withColumn("bare_text", bare).withColumn(
         "text",
         F.when(by_reader, F.coalesce("read_text", F.lit("")))
         .when(empty, F.lit(""))
-        .when(kind.isin(HTML_EXTENSIONS), html_to_text(F.when(kind.isin(HTML_EXTENSIONS), decoded)))
+        .when(kind.isin(HTML_EXTENSIONS), _decode_entities(F.col("bare_text")))
         .otherwise(decoded),
-    ).drop("file_kind", "read_text")
+    ).drop("file_kind", "read_text", "bare_text")
 
 
 def text_or_trace(content: Column) -> Column:

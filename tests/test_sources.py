@@ -4,6 +4,7 @@ import json
 import zipfile
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,44 @@ def test_extract_by_extension(spark):
     assert got == {k: v[1] for k, v in FILES.items()}
 
 
+PLAIN_SHEETS = [
+    b'a,b,c\n1,"x y",17.0\n-2,"z",0.50\n', b"a\n1\n\n2\n", b"a,b\n1,NA\n2,3\n", b"a,b\nNA,x\nnull,\n", b"a,b\n1,2.50\n,3\n", b"a,a\n7,7\n",
+    b'a,b\n"1,5","q""r"\n2,s\n', b"a,b\n007,1e3\n", b"a\ntrue\nFalse\n", b"a\nTrue\nx\n", b"a\ninf\n1\n", b"a,b\n1\n2,3\n", b"a\n1,2\n3,4\n",
+    "a,b\né,٣\n".encode(), b"\xef\xbb\xbfa\n1\n", b"a\n\xff\n", b"a\r\n1\r\n", b"a\n 1\n2 \n", b'a\n"x\n', b'a\n"x\ny"\n', b"a", b"", b"\n", b"a\n-0\n",
+    b"a\n12345678901234567890\n", b"a\n0.30000000000000004\n", b"a\n1_0\n", b"a,b\n,\n,\n",
+]
+
+
+def test_sheets_are_read_as_pandas_reads_them(monkeypatch):
+    def by_pandas(payload):
+        frame = pd.read_csv(io.BytesIO(payload))
+        return "\n".join(" ".join(map(str, row)) for row in frame.itertuples(index=False, name=None))
+
+    for payload in PLAIN_SHEETS:
+        assert d._safely(d._csv_text, payload) == d._safely(by_pandas, payload), payload
+    monkeypatch.setattr(d.pd, "read_csv", None)  # plain files do without it
+    assert d._csv_text(PLAIN_SHEETS[0]) == "1 x y 17.0\n-2 z 0.5" and d._csv_text(b"a,b\n1,NA\n2,3\n") == "1 nan\n2 3.0"
+
+
+@pytest.mark.parametrize("value", [{"k": 76}, {}, [], {"a": [1, {"é\n": None}], "b": {}, "c": [[]]}, "x", 1.5, True, None, float("nan"), 1e300, 10**30, ["a\"b"]])
+def test_json_is_indented_as_before(value):
+    payload = json.dumps(value).encode()
+    assert d._json_text(payload) == json.dumps(json.loads(payload), ensure_ascii=False, indent=2)
+    assert d._json_text(b"[" * 150 + b"]" * 150) == json.dumps(json.loads("[" * 150 + "]" * 150), indent=2)
+
+
+def test_a_filter_on_texts_reads_files_once(spark, tmp_path):
+    def reader(payload):
+        with open(tmp_path / "calls", "a") as calls:
+            calls.write("x")
+        return payload.decode()
+
+    files = spark.createDataFrame([(f"{i}.pdf", bytearray(b"text &eacute; " * (i % 2))) for i in range(6)] + [("a.html", bytearray(b"<p>&eacute;"))], "path string, content binary")
+    read = d.extract_text(files.repartition(2, "path"), readers={"pdf": reader}).where("trim(text) <> ''")
+    assert sorted(r["text"].strip() for r in read.collect()) == ["text &eacute;"] * 3 + ["é"]
+    assert (tmp_path / "calls").read_text() == "x" * 6
+
+
 def test_extra_reader_and_binary_source(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "x.pdf").write_bytes(b"abc")
