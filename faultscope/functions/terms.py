@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from faultscope.functions.text import ensure_str, fold_single
 
 LOT = 1 << 19
 MOST_WORDS = 500_000
+#: Texts of fewer words than this on average are counted together.
+SHORT = 100
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b == 95 else 32 for b in range(256))
 _K, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _A, _B, _C = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -87,9 +90,15 @@ def lots(batches: Iterator[pa.Array]) -> Iterator[list[bytes | None]]:
 
 def counted(texts: list[bytes | None], ngrams: tuple[int, int], cleaned: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of rows, and the distinct hashes of each row, ascending, with their counts."""
+    told = [words_of(text, cleaned) for text in texts]
+    together = sum(map(len, told)) < SHORT * len(told)
+    return _counted_together(told, *ngrams) if together else _counted_singly(told, *ngrams)
+
+
+def _counted_singly(told: list[list[bytes]], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     offsets, hashes, counts = [0], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-    for text in texts:
-        own = np.sort(gram_hashes(words_of(text, cleaned), *ngrams))
+    for words in told:
+        own = np.sort(gram_hashes(words, low, high))
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
         hashes.append(own[first])
         counts.append(np.diff(first, append=len(own)).astype(np.int32))
@@ -97,6 +106,25 @@ def counted(texts: list[bytes | None], ngrams: tuple[int, int], cleaned: bool) -
     return np.array(offsets), np.concatenate(hashes), np.concatenate(counts)
 
 
+def _counted_together(told: list[list[bytes]], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many short texts, without a step for each."""
+    row = np.repeat(np.arange(len(told)), np.fromiter(map(len, told), np.int64, len(told)))
+    first = grams = _hashed([*chain.from_iterable(told)])
+    hashes, rows = ([grams], [row]) if low == 1 else ([], [])
+    for n in range(2, high + 1):  # terms that reach into the next text drop out
+        grams = _longer(grams[:-1], first[n - 1:])
+        if n >= low:
+            inside = row[:-(n - 1)] == row[n - 1:]
+            hashes.append(grams[inside])
+            rows.append(row[:-(n - 1)][inside])
+    found, row = np.concatenate(hashes).view(np.int64), np.concatenate(rows)
+    order = np.argsort(found, kind="stable")
+    order = order[np.argsort(row[order].astype(np.uint16 if len(told) < 1 << 16 else np.int64), kind="stable")]
+    found, row = found[order], row[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(found)), bool), (found[1:] != found[:-1]) | (row[1:] != row[:-1]))))
+    return np.searchsorted(row[at], np.arange(len(told) + 1)), found[at], np.diff(at, append=len(found)).astype(np.int32)
+
+
 def hashed_terms(text: str, ngrams: tuple[int, int] = (1, 2), cleaned: bool = False) -> Column:
     """``terms`` (hashes, ascending) and ``tfs`` of a text column."""
 

@@ -24,6 +24,9 @@ CRITICAL = "Critique"
 NOT_CRITICAL = "Pas critique"
 
 OUTER_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+SPACE, NO_SPACE = r"(?U)[\s\x1c-\x1f]", r"(?U)[^\s\x1c-\x1f]"
+# What ``clip_text`` leaves something of.
+ANY_TEXT = r"(?U)[^\s\x00\x1c-\x1f]"
 
 
 @cache
@@ -108,7 +111,10 @@ def guess_language(c: Column) -> Column:
 
 def clip_text(c: Column, max_chars: int | None = None) -> Column:
     """Without NUL characters and outer white space, at most ``max_chars`` long (None: whole)."""
-    bare = F.regexp_replace(F.replace(ensure_str(c), F.lit("\x00"), F.lit("")), OUTER_SPACE, "")
+    whole = F.replace(ensure_str(c), F.lit("\x00"), F.lit(""))
+    # most texts have no outer space, and the pattern would try every inner one
+    ends = F.concat(F.left(whole, F.lit(1)), F.right(whole, F.lit(1)))
+    bare = F.when(ends.rlike(SPACE), F.regexp_replace(whole, OUTER_SPACE, "")).otherwise(whole)
     return bare if max_chars is None else F.substring(bare, 1, max_chars)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultscope.functions.rules import OTHER_TYPE, device_type
-from faultscope.functions.text import OUTER_SPACE, clean_text, clip_text, ensure_str, guess_language
+from faultscope.functions.text import ANY_TEXT, NO_SPACE, clean_text, clip_text, ensure_str, guess_language
 from faultscope.operators.learning import embed_texts, explain_texts, score_embeddings, score_texts
 from faultscope.operators.prepare import drop_blank
 from faultscope.session import materialize
@@ -33,7 +33,7 @@ def translate_if_needed(
     whole = ensure_str(F.col(text))
     fixed = LANGUAGE_CHOICES[choice]
     source = guess_language(whole) if fixed is None else F.lit(fixed)
-    blank = F.regexp_replace(whole, OUTER_SPACE, "") == ""
+    blank = ~whole.rlike(NO_SPACE)
     df = df.withColumn("src_lang", F.when(blank, "fr").otherwise(source))
     if translator is None or not force:
         return df.withColumn("model_text", whole).withColumn("translated", F.lit(0))
@@ -106,8 +106,11 @@ def score_documents(
     ``max_chars`` is the length analysed per document, None for the whole text.
     ``compat_language`` records an untranslated text as French under automatic choice.
     ``embedder`` and ``keyword_model`` are those of ``predict``."""
-    clipped = drop_blank(documents.select(
-        F.col(name).cast("string").alias("file_name"), clip_text(F.col(text), max_chars).alias("doc_text"), *keep), "doc_text")
+    # the first character that counts tells, before texts are clipped
+    clipped = documents.where(F.col(text).cast("string").rlike(ANY_TEXT)).select(
+        F.col(name).cast("string").alias("file_name"), clip_text(F.col(text), max_chars).alias("doc_text"), *keep)
+    if max_chars is not None:
+        clipped = drop_blank(clipped, "doc_text")
     ready = translate_if_needed(clipped, "doc_text", choice, force, translator)
     if translator is not None and force:
         ready = materialize(ready, "translated")  # texts are scored and explained, but translated once

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultscope.functions import terms
@@ -92,3 +93,12 @@ def test_computed_results_stay_within_their_bytes():
     tracemalloc.stop()
     assert len(often) == 1 and held < 10 << 20
     assert memo.joined(["y" * (5 << 20)]) == b"y" * (5 << 20) and len(memo.each) > 0
+
+
+@pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (2, 2), (1, 3), (2, 3)])
+def test_short_texts_are_counted_together(ngrams):
+    texts = [None, b"", b"a", b"ok ok ok", b"pump fire pump fire", b"b", b"fire", b"x"]
+    told = [terms.words_of(t) for t in texts]
+    together, singly = terms._counted_together(told, *ngrams), terms._counted_singly(told, *ngrams)
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(together, singly))
+    assert all(a.tolist() == b.tolist() for a, b in zip(terms._counted_together([], *ngrams), terms._counted_singly([], *ngrams)))
