@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from faultscope.functions.text import decision_label
+from faultscope.operators import forest
 from faultscope.operators.term_table import TermTable, fit_term_table, strongest_terms
 from faultscope.session import path_exists
 
@@ -54,7 +55,6 @@ def classifier(preset: Preset, n_rows: int, features: str = "features", label: s
         return RandomForestClassifier(
             featuresCol=features, labelCol=label, numTrees=preset.trees, maxDepth=preset.max_depth,
             featureSubsetStrategy="sqrt", seed=preset.seed,
-            maxMemoryInMB=256,  # each running task holds as much
         )
     raise ValueError(f"unknown classifier {preset.classifier!r}")
 
@@ -80,7 +80,7 @@ def _fit(estimator, prepared: DataFrame, n_rows: int):
         prepared = prepared.repartition(tasks)
     prepared = prepared.persist(StorageLevel.DISK_ONLY)
     try:
-        return estimator.fit(prepared)
+        return forest.fit(estimator, prepared, n_rows) if isinstance(estimator, RandomForestClassifier) else estimator.fit(prepared)
     finally:
         prepared.unpersist()
 
